@@ -13,12 +13,18 @@ DEFS: dict[str, str] = {}
 AS_OF = "DATE '2001-12-31'"
 
 
+def _doubles(sql: str) -> str:
+    parts = re.split(r"('(?:[^']|'')*')", sql)
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", p) for p in parts[::2]]
+    return "".join(parts)
+
+
 def oracle(name: str, sql: str) -> None:
-    DEFS[name] = re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1e0", sql.replace("$AS_OF", AS_OF).strip())
+    DEFS[name] = _doubles(sql.replace("$AS_OF", AS_OF).strip())
 
 
 def needs(name: str) -> list[str]:
-    words = set(re.findall(r"[a-z_][a-z0-9_]*", re.sub(r"'[^']*'", "", DEFS[name])))
+    words = set(re.findall(r"[a-z_][a-z0-9_]*", re.sub(r"'(?:[^']|'')*'", "", DEFS[name])))
     return [d for d in DEFS if d != name and d in words]
 
 
@@ -79,6 +85,11 @@ def R(num: str, den: str, scale=None, digits=None, empty="NULL") -> str:
     return f"CASE WHEN ({den}) > 0 THEN {q} ELSE {empty}::DOUBLE END"
 
 
+def RD(x: str, digits: int) -> str:
+    """Round half up on the decimal value, as Spark does."""
+    return f"round(({x})::DECIMAL(28,8), {digits})::DOUBLE"
+
+
 QUARTER_AS_OF = "'Q' || quarter($AS_OF) || ' ' || year($AS_OF)"
 
-from oracles import base, pipeline  # noqa: E402,F401
+from oracles import base, customer, forecast, pipeline, sales, territory  # noqa: E402,F401

@@ -103,3 +103,15 @@ FROM (SELECT event_id, user_id AS case_id, activity, ts AS timestamp, 'Team ' ||
  FROM (SELECT *, {M("event_type", {"click": "Discovery", "view": "Proposal", "purchase": "Negotiation", "signup": "Legal Review"}, "Security Review")} AS activity FROM events))
 LEFT JOIN (SELECT stage_name AS activity, expected_days AS benchmark_days FROM stage_benchmarks) USING (activity)
 """)
+
+oracle("leads", """
+SELECT event_id AS lead_id, user_id, CASE event_id%4 WHEN 0 THEN 'Inbound' WHEN 1 THEN 'Outbound' WHEN 2 THEN 'Partner' ELSE 'Event' END AS lead_source,
+ CASE user_id%3 WHEN 0 THEN 'Enterprise' WHEN 1 THEN 'Mid-Market' ELSE 'SMB' END AS segment,
+ CASE event_id%7 WHEN 0 THEN 'MQL' WHEN 1 THEN 'MQL' WHEN 2 THEN 'SQL' WHEN 3 THEN 'Qualified' WHEN 4 THEN 'Converted' WHEN 5 THEN 'Disqualified' ELSE 'New' END AS status,
+ least(floor(value)::INT,100)::INT AS lead_score, ts AS created_date, nxt AS first_response_date
+FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type='signup'
+""")
+oracle("lead_touches", f"""
+SELECT lead_id, l.user_id, first_response_date AS activity_date, {M("event_type", {"click": "Email", "view": "Call", "purchase": "Meeting", "signup": "Demo"}, "Task")} AS activity_type
+FROM leads l JOIN events e ON e.user_id=l.user_id AND e.ts=l.first_response_date
+""")

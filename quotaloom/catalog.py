@@ -8,6 +8,9 @@ MODULES = (
     "sources.warehouse",
     "operators.enrichment",
     "operators.pipeline",
+    "operators.sales",
+    "operators.forecast",
+    "operators.territory",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.

@@ -56,3 +56,25 @@ def rank_from_counts(df: DataFrame, value: str, out: str, within: tuple[str, ...
         .withColumn(out, (F.col("_before") + F.col("_inside")).cast("int"))
         .drop("_band", "_inside", "_before", *[f"_k_{k}" for k in keys])
     )
+
+
+def number_from_counts(df: DataFrame, order: list[Column], out: str, grain: Column) -> DataFrame:
+    """Global ``row_number`` in the given (descending, unique) order without one global window.
+
+    ``grain`` must fall as the order falls; it may be a struct of bands.  Only
+    the per-band counts are numbered in one task.
+    """
+    banded = df.withColumn("_band", grain)
+    start = banded.groupBy("_band").agg(F.count("*").alias("_n")).select(
+        F.col("_band").alias("_start_band"),
+        F.coalesce(
+            F.sum("_n").over(Window.orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_before"),
+    )
+    inside = F.row_number().over(Window.partitionBy("_band").orderBy(*order))
+    numbered = banded.withColumn("_inside", inside)
+    return (
+        numbered.join(start, numbered["_band"].eqNullSafe(start["_start_band"]), "left")
+        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("int"))
+        .drop("_band", "_inside", "_before", "_start_band")
+    )

@@ -254,3 +254,28 @@ def process_events(events: DataFrame, stage_benchmarks: DataFrame) -> DataFrame:
             (F.col("timestamp") > F.col("_first_seen")).alias("is_rework"),
         )
     )
+
+
+@job
+def leads(events: DataFrame) -> DataFrame:
+    """One lead per sign-up event; the user's next event is the first response."""
+    k = F.col("event_id")
+    return next_time(events, "user_id", "ts", "event_id", "next_ts").filter("event_type = 'signup'").select(
+        k.alias("lead_id"),
+        "user_id",
+        by_value(k % 4, {0: "Inbound", 1: "Outbound", 2: "Partner"}, "Event").alias("lead_source"),
+        by_value(F.col("user_id") % 3, {0: "Enterprise", 1: "Mid-Market"}, "SMB").alias("segment"),
+        by_value(k % 7, {0: "MQL", 1: "MQL", 2: "SQL", 3: "Qualified", 4: "Converted", 5: "Disqualified"}, "New").alias("status"),
+        F.least(F.floor("value").cast("int"), F.lit(100)).alias("lead_score"),
+        F.col("ts").alias("created_date"),
+        F.col("next_ts").alias("first_response_date"),
+    )
+
+
+@job
+def lead_touches(leads: DataFrame, events: DataFrame) -> DataFrame:
+    """The event that answered a lead."""
+    answer = events.select("user_id", F.col("ts").alias("first_response_date"), by_value("event_type", ACTIVITY_TYPES, "Task").alias("activity_type"))
+    return leads.select("lead_id", "user_id", "first_response_date").join(answer, ["user_id", "first_response_date"]).select(
+        "lead_id", "user_id", F.col("first_response_date").alias("activity_date"), "activity_type"
+    )

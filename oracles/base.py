@@ -35,7 +35,7 @@ c AS (SELECT c_custkey AS account_id, c_name AS account_name, {SEGMENT} AS segme
  FROM customer LEFT JOIN nation ON c_nationkey=n_nationkey LEFT JOIN region ON n_regionkey=r_regionkey),
 x AS (SELECT o.*, c.* EXCLUDE (account_id), s.* EXCLUDE (opportunity_id),
   CASE WHEN is_closed THEN d ELSE $AS_OF - (30 + a%180)::INT END AS created_date,
-  CASE WHEN is_closed THEN d + (30 + o.opportunity_id%90)::INT ELSE $AS_OF + (o.opportunity_id%180 - 60)::INT END AS close_date
+  CASE WHEN is_closed THEN d + (30 + o.opportunity_id%120)::INT ELSE $AS_OF + (o.opportunity_id%180 - 60)::INT END AS close_date
  FROM o LEFT JOIN c USING (account_id) LEFT JOIN deal_signals s USING (opportunity_id))
 SELECT x.* EXCLUDE (d, a, last_ship),
  stage_name='Closed Won' AS is_won,
@@ -115,3 +115,19 @@ oracle("lead_touches", f"""
 SELECT lead_id, l.user_id, first_response_date AS activity_date, {M("event_type", {"click": "Email", "view": "Call", "purchase": "Meeting", "signup": "Demo"}, "Task")} AS activity_type
 FROM leads l JOIN events e ON e.user_id=l.user_id AND e.ts=l.first_response_date
 """)
+oracle("contacts", "SELECT c_custkey AS contact_id, c_custkey AS account_id, 'First' || (c_custkey%20) AS first_name, 'Last' || (c_custkey%50) AS last_name, 'c' || (c_custkey%400) || '@mail.example' AS email, c_custkey%3<>0 AS is_primary FROM customer")
+oracle("product_events", f"""SELECT user_id AS account_id, event_id%7 AS user_id, {M("event_type", {"click": "core_click", "view": "core_view", "purchase": "premium_purchase", "signup": "signup"}, "error")} AS event_name, ts - INTERVAL 8058 DAY AS event_timestamp FROM events""")
+oracle("tickets_raw", """
+SELECT event_id AS id, user_id AS organization_id, 'u' || (event_id%9) || '@' || CASE WHEN event_id%3=0 THEN 'customer' || lpad(user_id::VARCHAR,9,'0') || '.example' ELSE 'other.example' END AS requester_email, 'Ticket ' || event_id AS subject,
+ CASE event_id%4 WHEN 0 THEN 'open' WHEN 1 THEN 'pending' WHEN 2 THEN 'solved' ELSE 'closed' END AS status, CASE WHEN value>100 THEN 'urgent' WHEN value>50 THEN 'high' WHEN value>20 THEN 'normal' ELSE 'low' END AS priority,
+ ts - INTERVAL 8058 DAY AS created_at, CASE WHEN event_id%4>=2 THEN nxt - INTERVAL 8058 DAY END AS solved_at, CASE WHEN event_id%4>=2 THEN 1+event_id%5 END::INT AS satisfaction_rating
+FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE event_type='error'
+""")
+oracle("account_domains", "SELECT domain, account_id FROM accounts")
+oracle("marketing_raw", """SELECT event_id AS id, user_id AS "leadId", (event_id%12)::INT AS "activityTypeId", ts - INTERVAL 8058 DAY AS "activityDate", event_id%8 AS "campaignId", 'Asset ' || (event_id%15) AS "primaryAttributeValue" FROM events WHERE event_type IN ('click','view')""")
+oracle("sales_interventions", """
+SELECT 'DEC-' || o_orderkey AS decision_id, $AS_OF + (o_orderkey%10)::INT AS decision_date, CASE o_orderkey%4 WHEN 0 THEN 'Rep' WHEN 1 THEN 'Manager' WHEN 2 THEN 'VP' END AS actor_role, o_orderkey AS opportunity_id, 'ACT-' || o_orderkey AS action_id,
+ CASE o_orderkey%5 WHEN 0 THEN 'Accept' WHEN 1 THEN 'Override' WHEN 2 THEN 'Defer' WHEN 3 THEN 'Escalate' END AS decision_type, (30+o_orderkey%40)::INT AS pre_health_score, (30+o_orderkey%40+o_orderkey%30-5)::INT AS post_health_score,
+ o_totalprice*0.5 AS expected_impact_amount, o_totalprice*(o_orderkey%4)*0.25 AS realized_impact_amount, CASE o_orderkey%7 WHEN 0 THEN 'Won' WHEN 1 THEN 'Lost' WHEN 2 THEN 'Slip' ELSE 'Open' END AS result, CASE WHEN o_orderkey%11<>0 THEN 'Q4 2001' END AS quarter
+FROM orders WHERE o_orderstatus<>'F' AND o_orderkey%3=0
+""")

@@ -11,6 +11,8 @@ MODULES = (
     "operators.sales",
     "operators.forecast",
     "operators.territory",
+    "operators.customer",
+    "operators.telemetry",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.

@@ -116,7 +116,7 @@ def opportunities(orders: DataFrame, customer: DataFrame, nation: DataFrame, reg
             "forecast_category": by_value("stage_name", FORECAST_CATEGORY, "Pipeline"),
             "win_probability": by_value("stage_name", {s: float(p) for s, p in WIN_PERCENT.items()}, 0.0),
             "created_date": F.when(closed, F.col("_ordered")).otherwise(F.date_sub(today, 30 + F.col("_age") % 180)),
-            "close_date": F.when(closed, F.date_add("_ordered", (30 + k % 90).cast("int"))).otherwise(
+            "close_date": F.when(closed, F.date_add("_ordered", (30 + k % 120).cast("int"))).otherwise(
                 F.date_add(today, (k % 180 - 60).cast("int"))
             ),
             "days_in_current_stage": F.when(closed, F.lit(0)).otherwise(F.col("_age") % 60),
@@ -279,3 +279,92 @@ def lead_touches(leads: DataFrame, events: DataFrame) -> DataFrame:
     return leads.select("lead_id", "user_id", "first_response_date").join(answer, ["user_id", "first_response_date"]).select(
         "lead_id", "user_id", F.col("first_response_date").alias("activity_date"), "activity_type"
     )
+
+
+def shifted(ts: str = "ts"):
+    """Event time moved onto the order calendar."""
+    return F.expr(f"{ts} - INTERVAL '{EVENT_SHIFT_DAYS}' DAY")
+
+
+@job
+def contacts(customer: DataFrame) -> DataFrame:
+    k = F.col("c_custkey")
+    return customer.select(
+        k.alias("contact_id"),
+        k.alias("account_id"),
+        F.concat(F.lit("First"), (k % 20).cast("string")).alias("first_name"),
+        F.concat(F.lit("Last"), (k % 50).cast("string")).alias("last_name"),
+        F.concat(F.lit("c"), (k % 400).cast("string"), F.lit("@mail.example")).alias("email"),
+        (k % 3 != 0).alias("is_primary"),
+    )
+
+
+@job
+def product_events(events: DataFrame) -> DataFrame:
+    # Fixed values of the mapping: feature names by event type.
+    features = {"click": "core_click", "view": "core_view", "purchase": "premium_purchase", "signup": "signup"}
+    return events.select(
+        F.col("user_id").alias("account_id"),
+        (F.col("event_id") % 7).alias("user_id"),
+        by_value("event_type", features, "error").alias("event_name"),
+        shifted().alias("event_timestamp"),
+    )
+
+
+@job
+def tickets_raw(events: DataFrame) -> DataFrame:
+    """One support ticket per error event, solved at the user's next event."""
+    k = F.col("event_id")
+    status = by_value(k % 4, {0: "open", 1: "pending", 2: "solved"}, "closed")
+    done = (k % 4) >= 2
+    domain = F.concat(F.lit("customer"), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit(".example"))
+    return next_time(events, "user_id", "ts", "event_id", "next_ts").filter("event_type = 'error'").select(
+        k.alias("id"),
+        F.col("user_id").alias("organization_id"),
+        F.concat(F.lit("u"), (k % 9).cast("string"), F.lit("@"), F.when(k % 3 == 0, domain).otherwise(F.lit("other.example"))).alias("requester_email"),
+        F.concat(F.lit("Ticket "), k.cast("string")).alias("subject"),
+        status.alias("status"),
+        cases([(F.col("value") > 100, "urgent"), (F.col("value") > 50, "high"), (F.col("value") > 20, "normal")], "low").alias("priority"),
+        shifted().alias("created_at"),
+        F.when(done, shifted("next_ts")).alias("solved_at"),
+        F.when(done, (1 + k % 5).cast("int")).alias("satisfaction_rating"),
+    )
+
+
+@job
+def account_domains(accounts: DataFrame) -> DataFrame:
+    return accounts.select("domain", "account_id")
+
+
+@job
+def marketing_raw(events: DataFrame) -> DataFrame:
+    k = F.col("event_id")
+    return events.filter(F.col("event_type").isin("click", "view")).select(
+        k.alias("id"),
+        F.col("user_id").alias("leadId"),
+        (k % 12).cast("int").alias("activityTypeId"),
+        shifted().alias("activityDate"),
+        (k % 8).alias("campaignId"),
+        F.concat(F.lit("Asset "), (k % 15).cast("string")).alias("primaryAttributeValue"),
+    )
+
+
+@job
+def sales_interventions(orders: DataFrame, *, as_of) -> DataFrame:
+    """Recorded decisions on every third open deal."""
+    k = F.col("o_orderkey")
+    before = (30 + k % 40).cast("int")
+    return orders.filter((F.col("o_orderstatus") != "F") & (k % 3 == 0)).select(
+        F.concat(F.lit("DEC-"), k.cast("string")).alias("decision_id"),
+        F.date_add(F.lit(as_of), (k % 10).cast("int")).alias("decision_date"),
+        by_value(k % 4, {0: "Rep", 1: "Manager", 2: "VP"}).alias("actor_role"),
+        k.alias("opportunity_id"),
+        F.concat(F.lit("ACT-"), k.cast("string")).alias("action_id"),
+        by_value(k % 5, {0: "Accept", 1: "Override", 2: "Defer", 3: "Escalate"}).alias("decision_type"),
+        before.alias("pre_health_score"),
+        (before + k % 30 - 5).cast("int").alias("post_health_score"),
+        (F.col("o_totalprice") * 0.5).alias("expected_impact_amount"),
+        (F.col("o_totalprice") * (k % 4) * 0.25).alias("realized_impact_amount"),
+        by_value(k % 7, {0: "Won", 1: "Lost", 2: "Slip"}, "Open").alias("result"),
+        F.when(k % 11 != 0, F.lit("Q4 2001")).alias("quarter"),
+    )

@@ -87,7 +87,7 @@ def R(num: str, den: str, scale=None, digits=None, empty="NULL") -> str:
 
 def RD(x: str, digits: int) -> str:
     """Round half up on the decimal value, as Spark does."""
-    return f"round(({x})::DECIMAL(28,8), {digits})::DOUBLE"
+    return f"round((({x})::DOUBLE)::VARCHAR::DECIMAL(38,18), {digits})::DOUBLE"
 
 
 QUARTER_AS_OF = "'Q' || quarter($AS_OF) || ' ' || year($AS_OF)"

@@ -13,6 +13,8 @@ MODULES = (
     "operators.territory",
     "operators.customer",
     "operators.telemetry",
+    "operators.models",
+    "operators.loop",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.

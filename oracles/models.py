@@ -110,7 +110,7 @@ oracle("account_recommendations", f"""
 SELECT account_id, account_name, segment, owner_id, open_opportunities, open_pipeline, furthest_stage, churn_risk_tier, churn_probability, risk_factors, pending_actions,
  CASE WHEN churn_risk_tier='Critical' THEN 'URGENT: Schedule executive business review' WHEN churn_risk_tier='High' THEN 'Schedule customer success check-in' WHEN open_opportunities=0 AND segment='Enterprise' THEN 'Identify expansion opportunities'
   WHEN open_pipeline>500000 THEN 'Assign executive sponsor for strategic account' WHEN pending_actions>3 THEN 'Prioritize and consolidate pending actions' ELSE 'Maintain regular engagement cadence' END AS strategic_recommendation,
- round(coalesce(churn_probability,0)*30 + least(coalesce(open_pipeline,0)/100000,50.0) + coalesce(max_priority,0)*0.2,6) AS priority_score, $AS_OF AS generated_at
+ {RD("coalesce(churn_probability,0)*30 + least(coalesce(open_pipeline,0)/100000,50.0) + coalesce(max_priority,0)*0.2", 6)} AS priority_score, $AS_OF AS generated_at
 FROM (SELECT account_id, account_name, segment, owner_id FROM accounts) LEFT JOIN (SELECT account_id, count(*) AS open_opportunities, {S("amount")} AS open_pipeline, arg_max(stage_name, {ORDER}) AS furthest_stage FROM opportunities WHERE NOT is_closed GROUP BY 1) USING (account_id)
  LEFT JOIN (SELECT account_id, churn_probability, churn_risk_tier, risk_factors FROM churn_scores) USING (account_id) LEFT JOIN (SELECT account_id, count(*) AS pending_actions, max(priority) AS max_priority FROM deal_recommendations GROUP BY 1) USING (account_id)
 """)

@@ -6,6 +6,8 @@ import importlib
 
 MODULES = (
     "sources.warehouse",
+    "sources.crm_raw",
+    "operators.ingest",
     "operators.enrichment",
     "operators.pipeline",
     "operators.sales",

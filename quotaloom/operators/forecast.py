@@ -45,8 +45,8 @@ def forecast_confidence(deal_health: DataFrame, *, as_of) -> DataFrame:
     for i, name in enumerate(CLOSE_RATES):
         amount, weighted = F.col(f"a{i}"), F.col(f"w{i}")
         lines.append(line(name, amount, F.round(ratio(weighted, amount, digits=2, empty=0) * 100, 0), weighted))
-    amount = sum((F.col(f"a{i}") for i in range(3)), F.col("won"))
-    weighted = sum((F.col(f"w{i}") for i in range(3)), F.col("won"))
+    amount = F.round(sum((F.col(f"a{i}") for i in range(3)), F.col("won")), 2)
+    weighted = F.round(sum((F.col(f"w{i}") for i in range(3)), F.col("won")), 4)
     lines.append(line("TOTAL FORECAST", amount, ratio(weighted, amount, 100, 0, empty=0), weighted, True))
     share = F.when(F.col("_total"), F.round(F.col("weighted_amount") / QUARTER_TARGET * 100, 1))
     return (

@@ -17,10 +17,14 @@ MODULES = (
     "operators.telemetry",
     "operators.models",
     "operators.loop",
+    "sources.tenant_feeds",
+    "operators.commercial",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.
 DIMENSIONS = {"stage_benchmarks"}
+# Raw feeds shaped from the given tables; the staging jobs over them are the queries.
+FEED_PREFIXES = ("crm_a_", "crm_b_")
 
 
 def load() -> None:

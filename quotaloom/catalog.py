@@ -19,6 +19,7 @@ MODULES = (
     "operators.loop",
     "sources.tenant_feeds",
     "operators.commercial",
+    "operators.monitor",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.

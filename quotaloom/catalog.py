@@ -20,10 +20,12 @@ MODULES = (
     "sources.tenant_feeds",
     "operators.commercial",
     "operators.monitor",
+    "sources.billing_feeds",
+    "operators.billing",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.
-DIMENSIONS = {"stage_benchmarks"}
+DIMENSIONS = {"stage_benchmarks", "plan_limits"}
 # Raw feeds shaped from the given tables; the staging jobs over them are the queries.
 FEED_PREFIXES = ("crm_a_", "crm_b_")
 

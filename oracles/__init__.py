@@ -92,4 +92,4 @@ def RD(x: str, digits: int) -> str:
 
 QUARTER_AS_OF = "'Q' || quarter($AS_OF) || ' ' || year($AS_OF)"
 
-from oracles import base, billing, commercial, customer, forecast, ingest, models, monitor, pipeline, sales, telemetry, territory  # noqa: E402,F401
+from oracles import base, billing, commercial, customer, forecast, ingest, models, monitor, pipeline, reports, sales, telemetry, territory  # noqa: E402,F401

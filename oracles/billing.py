@@ -5,13 +5,13 @@ END = "($AS_OF + 1)::TIMESTAMP"
 oracle("subscriptions", """SELECT c_custkey AS tenant_id, CASE c_custkey%3 WHEN 0 THEN 'starter' WHEN 1 THEN 'growth' ELSE 'enterprise' END AS plan_code, CASE WHEN c_custkey%2=0 THEN 'annual' ELSE 'monthly' END AS billing_interval, ((c_custkey%6)*5)::INT AS discount_percent, CASE c_custkey%6 WHEN 0 THEN 'US' WHEN 1 THEN 'EU' WHEN 2 THEN 'UK' WHEN 3 THEN 'APAC' WHEN 4 THEN 'LATAM' ELSE 'GLOBAL' END AS region,
  c_custkey%4=0 AS has_tax_id, $AS_OF - (c_custkey%300)::INT AS contract_start, ($AS_OF - (c_custkey%300)::INT + INTERVAL 12 MONTHS)::DATE AS contract_end, 12 AS term_months, c_custkey%7=0 AS cancel_at_period_end, CASE WHEN c_custkey%5=0 THEN $AS_OF + (c_custkey%10)::INT END AS trial_ends FROM customer""")
 oracle("subscription_add_ons", """SELECT tenant_id, add_on, (1+tenant_id%3)::INT AS quantity, CASE WHEN tenant_id%8=0 THEN $AS_OF - (tenant_id%60)::INT END AS deactivated_on FROM (SELECT c_custkey AS tenant_id, 'coaching_ai' AS add_on FROM customer WHERE c_custkey%4=0 UNION ALL SELECT c_custkey, 'data_export' FROM customer WHERE c_custkey%6=0 UNION ALL SELECT c_custkey, 'extra_workspace' FROM customer WHERE c_custkey%10=0)""")
-oracle("usage_records", f"""SELECT user_id AS tenant_id, {M("event_type", {"click": "ai_insight_credits", "view": "agent_actions", "purchase": "deals", "signup": "seats"}, "api_calls")} AS meter, floor(value)::BIGINT+1 AS quantity, ts - INTERVAL 8058 DAY AS at FROM events""")
+oracle("usage_records", f"""SELECT user_id AS tenant_id, {M("event_type", {"click": "ai_insight_credits", "view": "agent_actions", "purchase": "deals", "signup": "seats"}, "api_calls")} AS meter, floor(value)::BIGINT+1 AS quantity, ts - INTERVAL 8058 DAY AS used_at FROM events""")
 oracle("ramp_steps", """WITH c AS (SELECT c_custkey AS k, $AS_OF + (c_custkey%40-20)::INT AS t FROM customer WHERE c_custkey%3=0) SELECT k AS tenant_id, 1 AS step, (t - INTERVAL 6 MONTHS)::DATE AS start_date, t AS end_date, 'growth' AS plan_code, CASE WHEN k%2=0 THEN 1200.0 END AS price_override FROM c UNION ALL SELECT k, 2, t, (t + INTERVAL 6 MONTHS)::DATE, 'enterprise', CASE WHEN k%4=0 THEN 4200.0 END FROM c""")
 _v = lambda x: "NULL" if x is None else (f"'{x}'" if isinstance(x, str) else str(x))
 oracle("plan_limits", "SELECT plan_code, meter, included::BIGINT AS included, cap_type, overage_price::DOUBLE AS overage_price FROM (VALUES " + ",".join("(" + ",".join(_v(c) for c in r) + ")" for r in PLAN_LIMITS) + ") t(plan_code, meter, included, cap_type, overage_price)")
 PP = "CASE WHEN billing_interval='annual' THEN CASE {p} WHEN 'starter' THEN 4990.0 WHEN 'growth' THEN 14990.0 ELSE 49990.0 END{a} ELSE CASE {p} WHEN 'starter' THEN 499.0 WHEN 'growth' THEN 1499.0 ELSE 4999.0 END{m} END"
 MON = PP.format(p="plan_code", a="/12", m="")
-oracle("meter_usage", "SELECT tenant_id, meter, strftime(at,'%Y-%m') AS period, sum(quantity)::BIGINT AS used, count(*) AS records FROM usage_records GROUP BY 1,2,3")
+oracle("meter_usage", "SELECT tenant_id, meter, strftime(used_at,'%Y-%m') AS period, sum(quantity)::BIGINT AS used, count(*) AS records FROM usage_records GROUP BY 1,2,3")
 oracle("quota_enforcement", """
 WITH g AS (SELECT tenant_id, meter, sum(more)::BIGINT AS more FROM (SELECT tenant_id, CASE add_on WHEN 'coaching_ai' THEN 'ai_insight_credits' WHEN 'data_export' THEN 'api_calls' END AS meter, CASE add_on WHEN 'coaching_ai' THEN 10000 WHEN 'data_export' THEN 100000 END AS more FROM subscription_add_ons WHERE deactivated_on IS NULL) WHERE meter IS NOT NULL GROUP BY 1,2),
 j AS (SELECT s.tenant_id, plan_code, l.meter, cap_type, overage_price, coalesce(used,0) AS used, l.included+coalesce(more,0) AS included, l.included IS NULL AS unlimited FROM subscriptions s JOIN plan_limits l USING (plan_code) LEFT JOIN g ON g.tenant_id=s.tenant_id AND g.meter=l.meter LEFT JOIN (SELECT * FROM meter_usage WHERE period='2001-12') u ON u.tenant_id=s.tenant_id AND u.meter=l.meter)
@@ -19,7 +19,7 @@ SELECT *, greatest(0,included-used)::BIGINT AS remaining, coalesce(greatest(0,us
  CASE WHEN used>=included AND cap_type='hard' THEN 'limit reached' WHEN used>=included AND cap_type='soft' THEN 'overage charges apply' END AS message FROM (SELECT * REPLACE (CASE WHEN unlimited THEN NULL ELSE included END AS included) FROM j)
 """)
 oracle("usage_threshold_crossings", """
-WITH d AS (SELECT tenant_id, meter, at::DATE AS day, sum(quantity)::BIGINT AS q FROM usage_records WHERE strftime(at,'%Y-%m')='2001-12' GROUP BY 1,2,3), r AS (SELECT *, (sum(q) OVER (PARTITION BY tenant_id, meter ORDER BY day))::BIGINT AS total FROM d)
+WITH d AS (SELECT tenant_id, meter, used_at::DATE AS day, sum(quantity)::BIGINT AS q FROM usage_records WHERE strftime(used_at,'%Y-%m')='2001-12' GROUP BY 1,2,3), r AS (SELECT *, (sum(q) OVER (PARTITION BY tenant_id, meter ORDER BY day))::BIGINT AS total FROM d)
 SELECT r.tenant_id, r.meter, day, total, included, cap_type, p AS threshold FROM r JOIN quota_enforcement e ON e.tenant_id=r.tenant_id AND e.meter=r.meter, (VALUES (70),(90),(100)) v(p) WHERE NOT unlimited AND included>0 AND total*100>=included*p AND (total-q)*100<included*p
 """)
 oracle("overage_charges", "SELECT u.tenant_id, period, u.meter, used, included, used-included AS overage, overage_price AS unit_price, round((used-included)*overage_price,6) AS total FROM meter_usage u JOIN subscriptions s USING (tenant_id) JOIN plan_limits l ON l.plan_code=s.plan_code AND l.meter=u.meter WHERE used>included AND overage_price IS NOT NULL")

@@ -22,6 +22,8 @@ MODULES = (
     "operators.monitor",
     "sources.billing_feeds",
     "operators.billing",
+    "plans.quality",
+    "plans.sqlpack",
 )
 
 # Literal dimensions: inputs of jobs, not queries over the given tables.

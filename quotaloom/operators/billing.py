@@ -48,7 +48,7 @@ def period_of(as_of) -> str:
 
 @job
 def meter_usage(usage_records: DataFrame) -> DataFrame:
-    return usage_records.groupBy("tenant_id", "meter", F.date_format("at", "yyyy-MM").alias("period")).agg(F.sum("quantity").alias("used"), F.count("*").alias("records"))
+    return usage_records.groupBy("tenant_id", "meter", F.date_format("used_at", "yyyy-MM").alias("period")).agg(F.sum("quantity").alias("used"), F.count("*").alias("records"))
 
 
 @job
@@ -87,8 +87,8 @@ def usage_threshold_crossings(usage_records: DataFrame, quota_enforcement: DataF
     Use is summed per day first; the running total covers one tenant's days.
     """
     daily = (
-        usage_records.filter(F.date_format("at", "yyyy-MM") == period_of(as_of))
-        .groupBy("tenant_id", "meter", F.to_date("at").alias("day"))
+        usage_records.filter(F.date_format("used_at", "yyyy-MM") == period_of(as_of))
+        .groupBy("tenant_id", "meter", F.to_date("used_at").alias("day"))
         .agg(F.sum("quantity").alias("q"))
         .withColumn("total", F.sum("q").over(Window.partitionBy("tenant_id", "meter").orderBy("day")))
     )

@@ -43,6 +43,8 @@ class Tables(Mapping[str, DataFrame]):
         for p in inspect.signature(fn).parameters.values():
             if p.name == "spark":
                 args["spark"] = self.spark
+            elif p.name == "tables":
+                args["tables"] = self
             elif p.name == "as_of":
                 args["as_of"] = self.as_of
             elif p.default is inspect.Parameter.empty:

@@ -39,7 +39,7 @@ def subscription_add_ons(customer: DataFrame, *, as_of) -> DataFrame:
 @job
 def usage_records(events: DataFrame) -> DataFrame:
     return events.select(
-        F.col("user_id").alias("tenant_id"), by_value("event_type", METERS, "api_calls").alias("meter"), (F.floor("value") + 1).alias("quantity"), shifted().alias("at"),
+        F.col("user_id").alias("tenant_id"), by_value("event_type", METERS, "api_calls").alias("meter"), (F.floor("value") + 1).alias("quantity"), shifted().alias("used_at"),
     )
 
 

@@ -79,5 +79,5 @@ def _rules():
                 yield table, r.name, "pattern", "warning", N(f"NOT regexp_matches({r.name},'{r.pattern}')")
 
 
-oracle("contract_violations", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{f}' AS field, '{r}' AS rule, '{lv}' AS level, {e} AS violations FROM {t}" for t, f, r, lv, e in _rules()))
+oracle("contract_violations", " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{f}' AS field, '{r}' AS rule, '{lv}' AS level, {e} AS violations" + ("" if r == "type" else f" FROM {t}") for t, f, r, lv, e in _rules()))
 oracle("sql_contract_violations", 'SELECT "table", field, rule, violations FROM contract_violations WHERE violations>0')

@@ -111,7 +111,11 @@ REPORTS = {
         f"SELECT round(100D * count_if(is_won) / nullif(count(*), 0), 1) AS win_rate, round({usd(where='is_won')} / nullif(count_if(is_won), 0), 4) AS avg_won_deal FROM {{deal_health}} WHERE is_closed AND close_date >= date_sub(:today, 90)",
         args=("today",),
     ),
-    "sql_funnel_by_stage": Report(f"SELECT stage_name, min(stage_order) AS stage_order, count(*) AS count, {usd()} AS value FROM {{deal_health}} JOIN {{stage_benchmarks}} USING (stage_name) WHERE {OPEN} GROUP BY stage_name ORDER BY min(stage_order)", ("deal_health", "stage_benchmarks")),
+    "sql_funnel_by_stage": Report(
+        f"SELECT d.stage_name, min(b.stage_order) AS stage_order, count(*) AS count, {usd('d.amount')} AS value FROM (SELECT stage_name, amount FROM {{opportunities}} WHERE {OPEN}) d "
+        "JOIN {stage_benchmarks} b ON d.stage_name = b.stage_name GROUP BY d.stage_name ORDER BY min(b.stage_order)",
+        ("opportunities", "stage_benchmarks"),
+    ),
     "sql_pipeline_by_close_month": Report(f"SELECT CAST(date_trunc('month', close_date) AS DATE) AS month, {usd()} AS value FROM {{deal_health}} WHERE {OPEN} AND close_date >= :today GROUP BY 1", args=("today",)),
     "sql_newest_open_deals": Report(f"SELECT opportunity_id, opportunity_name, account_name, stage_name, amount, close_date, owner_name FROM {{deal_health}} WHERE {OPEN} ORDER BY created_date DESC, opportunity_id LIMIT 10"),
     "sql_recent_builds": Report("SELECT dataset_path, build_id, status, duration_seconds, error_message FROM {build_log} WHERE build_timestamp > CAST(:now AS TIMESTAMP_NTZ) - INTERVAL 24 HOURS AND build_timestamp < CAST(:now AS TIMESTAMP_NTZ)", ("build_log",), ("now",)),

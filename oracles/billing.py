@@ -82,3 +82,23 @@ WITH m AS (SELECT {N("NOT is_closed AND days_since_activity>14")}/greatest({N("N
  round({S("amount", "NOT is_closed")}/(SELECT {S("quota_amount")} FROM quotas),6) AS pipeline_coverage FROM deal_health)
 {" UNION ALL ".join(f"SELECT '{i}' AS rule_id, '{m}' AS metric_name, {m} AS metric_value, '{op}' AS operator, {t}::DOUBLE AS threshold, '{s}' AS severity, {m} {'=' if op == '==' else op} {t}::DOUBLE AS triggered FROM m" for i, m, op, t, s in METRIC_RULES)}
 """)
+from quotaloom.operators.billing import PRICE_BOOK  # noqa: E402  (fixed values only)
+
+_d = lambda x: "NULL::DATE" if x is None else f"DATE '{x}'"
+oracle("price_book", "SELECT plan_code, region, bm::DOUBLE AS bm, ba::DOUBLE AS ba, vf, vt FROM (VALUES " + ",".join(f"('{p}','{r}',{m},{a},{_d(f)},{_d(t)})" for p, r, m, a, f, t in PRICE_BOOK) + ") t(plan_code, region, bm, ba, vf, vt)")
+_b = lambda i: RD(M("plan_code", {"starter": (499.0, 4990.0)[i], "growth": (1499.0, 14990.0)[i]}, (4999.0, 49990.0)[i]) + "*rate", 2)
+oracle("tenant_prices", f"""
+WITH s AS (SELECT tenant_id, plan_code, billing_interval, region, has_tax_id, {M("region", {"EU": "EUR", "UK": "GBP", "APAC": "SGD", "LATAM": "BRL"}, "USD")} AS currency, {M("region", {"EU": 0.92, "UK": 0.79, "APAC": 1.34, "LATAM": 4.97}, 1.0)} AS rate FROM subscriptions),
+p AS (SELECT s.* EXCLUDE (rate), coalesce(bm, {_b(0)}) AS monthly_price, coalesce(ba, {_b(1)}) AS annual_price, bm IS NOT NULL AS from_book, CASE WHEN s.region='EU' AND has_tax_id THEN 0 ELSE {M("s.region", {"EU": 20, "UK": 20, "APAC": 10, "LATAM": 16}, 0)} END AS tax_rate, {M("s.region", {"US": "sales_tax", "EU": "vat", "UK": "vat", "APAC": "gst", "LATAM": "vat"}, "none")} AS tax_type
+ FROM s LEFT JOIN (SELECT * FROM price_book WHERE vf<=$AS_OF AND (vt IS NULL OR $AS_OF<=vt)) b USING (plan_code, region)),
+t AS (SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END*tax_rate/100", 2)} AS tax_amount FROM p)
+SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END+tax_amount", 2)} AS total_with_tax FROM t
+""")
+oracle("regional_price_list", f"SELECT plan_code, region, currency, max(monthly_price) AS monthly_price, max(annual_price) AS annual_price, count(*) AS tenants, {S('total_with_tax')} AS billed FROM tenant_prices GROUP BY 1,2,3")
+oracle("notification_trends", f"""
+WITH d AS (SELECT customer_id, summary_date, sum(total_sent) AS sent, sum(total_delivered) AS ok FROM notification_summary GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY summary_date) AS f, row_number() OVER (PARTITION BY customer_id ORDER BY summary_date DESC) AS l FROM d),
+g AS (SELECT customer_id, coalesce(sum(sent) FILTER (WHERE f<=7),0)::BIGINT AS older_volume, coalesce(sum(sent) FILTER (WHERE l<=7),0)::BIGINT AS recent_volume, coalesce(sum(ok) FILTER (WHERE f<=7),0) AS o, coalesce(sum(ok) FILTER (WHERE l<=7),0) AS n FROM r GROUP BY 1),
+h AS (SELECT customer_id, older_volume, recent_volume, {R("o", "older_volume", empty=0)} AS older_rate, {R("n", "recent_volume", empty=0)} AS recent_rate FROM g)
+SELECT *, CASE WHEN recent_rate>older_rate+0.02 THEN 'improving' WHEN recent_rate<older_rate-0.02 THEN 'declining' ELSE 'stable' END AS delivery_rate_trend, CASE WHEN recent_volume>older_volume*1.1 THEN 'increasing' WHEN recent_volume<older_volume*0.9 THEN 'decreasing' ELSE 'stable' END AS volume_trend, CASE WHEN recent_rate<0.95 THEN 'Delivery rate below 95%' END AS issue FROM h
+""")
+oracle("ops_overview", f"""SELECT * FROM (SELECT count(*) AS queue_items, {N("severity='critical'")} AS critical_items, avg(estimated_resolution_min) AS avg_minutes FROM ops_agent_queue), (SELECT count(*) AS datasets, {N('is_healthy')} AS healthy, {N('is_slow')} AS slow, sum(record_count)::BIGINT AS records FROM build_metrics)""")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, nvl, present, ratio, stack_rows, tally, under
+from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, nvl, present, ratio, side_by_side, stack_rows, tally, under
 from quotaloom.operators.commercial import up_to
 from quotaloom.plans.registry import job
 
@@ -365,3 +365,82 @@ def metric_rule_alerts(deal_health: DataFrame, quotas: DataFrame) -> DataFrame:
         for i, m, op, t, s in METRIC_RULES
     ]
     return one.select(F.inline(F.array(*rows)))
+
+
+# Currency of a region and its rate to the dollar.
+CURRENCY = {"US": "USD", "EU": "EUR", "UK": "GBP", "APAC": "SGD", "LATAM": "BRL", "GLOBAL": "USD"}
+RATES = {"USD": 1.0, "EUR": 0.92, "GBP": 0.79, "AUD": 1.53, "SGD": 1.34, "BRL": 4.97}
+# Price book rows: plan, region, monthly, annual, valid from, valid to (none = open).
+PRICE_BOOK = (
+    ("growth", "EU", 1399.0, 13990.0, "2001-01-01", None), ("enterprise", "UK", 3999.0, 39990.0, "2000-01-01", "2001-06-30"), ("starter", "APAC", 649.0, 6490.0, "2001-07-01", "2002-06-30"),
+)
+
+
+@job
+def price_book(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(list(PRICE_BOOK), "plan_code string, region string, book_monthly double, book_annual double, valid_from string, valid_to string")
+    return F.broadcast(rows.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")}))
+
+
+@job
+def tenant_prices(subscriptions: DataFrame, price_book: DataFrame, *, as_of) -> DataFrame:
+    """Price in the region's currency: the book row valid today, else base price times rate; with tax."""
+    today = F.lit(as_of)
+    live = price_book.filter((F.col("valid_from") <= today) & (F.col("valid_to").isNull() | (today <= F.col("valid_to")))).drop("valid_from", "valid_to")
+    rate = by_value("currency", RATES, 1.0)
+    base = lambda i: F.round(by_value("plan_code", {p: v[i] for p, v in PLANS.items()}) * rate, 2)
+    charge = F.when(F.col("billing_interval") == "annual", F.col("annual_price")).otherwise(F.col("monthly_price"))
+    return (
+        subscriptions.select("tenant_id", "plan_code", "billing_interval", "region", "has_tax_id")
+        .withColumn("currency", by_value("region", CURRENCY))
+        .join(live, ["plan_code", "region"], "left")
+        .withColumns(
+            {
+                "monthly_price": F.coalesce(F.col("book_monthly"), base(1)), "annual_price": F.coalesce(F.col("book_annual"), base(2)),
+                "from_book": F.col("book_monthly").isNotNull(), "tax_rate": tax_rate(), "tax_type": by_value("region", {r: v[1] for r, v in TAXES.items()}),
+            }
+        )
+        .withColumn("tax_amount", F.round(charge * F.col("tax_rate") / 100, 2))
+        .withColumn("total_with_tax", F.round(charge + F.col("tax_amount"), 2))
+        .drop("book_monthly", "book_annual")
+    )
+
+
+@job
+def regional_price_list(tenant_prices: DataFrame) -> DataFrame:
+    """Price of each plan in each region in use, with the tenants and revenue on it."""
+    return tenant_prices.groupBy("plan_code", "region", "currency").agg(
+        F.max("monthly_price").alias("monthly_price"), F.max("annual_price").alias("annual_price"), F.count("*").alias("tenants"), exact_sum("total_with_tax").alias("billed")
+    )
+
+
+@job
+def notification_trends(notification_summary: DataFrame) -> DataFrame:
+    """First against last seven active days per tenant: delivery rate and volume."""
+    daily = notification_summary.groupBy("customer_id", "summary_date").agg(F.sum("total_sent").alias("sent"), F.sum("total_delivered").alias("ok"))
+    days = Window.partitionBy("customer_id")
+    placed = daily.withColumns({"first": F.row_number().over(days.orderBy("summary_date")), "last": F.row_number().over(days.orderBy(F.desc("summary_date")))})
+    early, late = F.col("first") <= 7, F.col("last") <= 7
+    part = lambda test, c: nvl(F.sum(F.when(test, F.col(c))), 0)
+    old, new = F.col("older_volume"), F.col("recent_volume")
+    return (
+        placed.groupBy("customer_id")
+        .agg(part(early, "sent").alias("older_volume"), part(late, "sent").alias("recent_volume"), part(early, "ok").alias("_o"), part(late, "ok").alias("_n"))
+        .withColumns({"older_rate": ratio("_o", old, empty=0), "recent_rate": ratio("_n", new, empty=0)})
+        .withColumns(
+            {
+                "delivery_rate_trend": cases([(F.col("recent_rate") > F.col("older_rate") + 0.02, "improving"), (F.col("recent_rate") < F.col("older_rate") - 0.02, "declining")], "stable"),
+                "volume_trend": cases([(new > old * 1.1, "increasing"), (new < old * 0.9, "decreasing")], "stable"),
+                "issue": F.when(F.col("recent_rate") < 0.95, F.lit("Delivery rate below 95%")),
+            }
+        )
+        .drop("_o", "_n")
+    )
+
+
+@job
+def ops_overview(build_metrics: DataFrame, ops_agent_queue: DataFrame) -> DataFrame:
+    """Queue and dataset counters of the ops page."""
+    queue = ops_agent_queue.agg(F.count("*").alias("queue_items"), tally(F.col("severity") == "critical").alias("critical_items"), F.avg("estimated_resolution_min").alias("avg_minutes"))
+    state = build_metrics.agg(F.count("*").alias("datasets"), tally("is_healthy").alias("healthy"), tally("is_slow").alias("slow"), F.sum("record_count").alias("records"))
+    return side_by_side(queue, state)

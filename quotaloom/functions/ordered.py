@@ -10,21 +10,21 @@ def next_time(df: DataFrame, key: str, time: str, tie: str, out: str) -> DataFra
     """Time of the following row of the same key.
 
     A plain ``lead`` sorts a whole key in one task.  Here the window covers one
-    key and day; the last row of a day takes the first time of the key's next
-    active day from a (key, day) summary, so a hot key spreads over its days.
+    key and hour; the last row of an hour takes the first time of the key's next
+    active hour from a (key, hour) summary, so a hot key spreads over its hours.
     """
-    day = f"_{time}_day"
-    dated = df.withColumn(day, F.to_date(time))
-    within = Window.partitionBy(key, day).orderBy(time, tie)
-    per_day = dated.groupBy(key, day).agg(F.min(time).alias("_first"))
-    following = per_day.select(
-        key, day, F.lead("_first").over(Window.partitionBy(key).orderBy(day)).alias("_next_day_first")
+    slot = ["_slot_day", "_slot_hour"]
+    dated = df.withColumns({"_slot_day": F.to_date(time), "_slot_hour": F.hour(time)})
+    within = Window.partitionBy(key, *slot).orderBy(time, tie)
+    per_slot = dated.groupBy(key, *slot).agg(F.min(time).alias("_first"))
+    following = per_slot.select(
+        key, *slot, F.lead("_first").over(Window.partitionBy(key).orderBy(*slot)).alias("_next_slot_first")
     )
     return (
-        dated.withColumn("_in_day", F.lead(time).over(within))
-        .join(following, [key, day], "left")
-        .withColumn(out, F.coalesce("_in_day", "_next_day_first"))
-        .drop(day, "_in_day", "_next_day_first")
+        dated.withColumn("_in_slot", F.lead(time).over(within))
+        .join(following, [key, *slot], "left")
+        .withColumn(out, F.coalesce("_in_slot", "_next_slot_first"))
+        .drop(*slot, "_in_slot", "_next_slot_first")
     )
 
 

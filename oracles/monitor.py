@@ -91,7 +91,7 @@ LEFT JOIN (SELECT customer_id, dataset_path, status AS current_status, is_health
 """)
 oracle("api_build_requests", """SELECT md5('request|' || event_id) AS request_id, event_id, dataset_path, '{"dataset":"' || md5(dataset_path) || '","branch":"master","abortOnFailure":true,"retryCount":1}' AS request_payload, event_ts AS created_ts, 'pending' AS execution_status FROM ops_agent_queue WHERE suggested_action='TRIGGER_REBUILD'""")
 oracle("review_tickets", """SELECT md5('ticket|' || decision_id) AS ticket_id, decision_id, dataset_path, CASE WHEN o THEN 'optimization' ELSE 'data_quality' END AS ticket_type, CASE WHEN o THEN 'Optimize transform: ' ELSE 'Data quality review: ' END || split_part(dataset_path,'/',3) AS summary, CASE WHEN o THEN 'Medium' ELSE 'High' END AS priority,
- CASE WHEN o THEN '["revops","optimization","auto-generated"]' ELSE '["revops","data-quality","auto-generated"]' END AS labels, decision_ts AS created_ts FROM (SELECT *, suggested_action='OPTIMIZE_TRANSFORM' AS o FROM agent_decisions WHERE suggested_action IN ('OPTIMIZE_TRANSFORM','REVIEW_DATA_QUALITY') AND requires_human_review)""")
+ CASE WHEN o THEN '["sales-ops","optimization","auto-generated"]' ELSE '["sales-ops","data-quality","auto-generated"]' END AS labels, decision_ts AS created_ts FROM (SELECT *, suggested_action='OPTIMIZE_TRANSFORM' AS o FROM agent_decisions WHERE suggested_action IN ('OPTIMIZE_TRANSFORM','REVIEW_DATA_QUALITY') AND requires_human_review)""")
 oracle("chat_messages", """SELECT md5('message|' || escalation_id) AS message_id, escalation_id, CASE WHEN urgency='high' THEN '#ops-critical' ELSE '#ops-alerts' END AS channel, '[{"type":"header","text":"Agent Escalation"},{"type":"section","text":"Dataset: ' || dataset_path || '"},{"type":"section","text":"Reason: ' || decision_reason || '"}]' AS message_blocks, escalation_ts AS created_ts, 'pending' AS sent_status FROM escalation_queue WHERE escalation_channel='slack'""")
 oracle("paging_incidents", "SELECT md5('incident|' || escalation_id) AS incident_id, escalation_id, 'Pipeline Alert: ' || split_part(dataset_path,'/',3) AS title, CASE WHEN urgency='high' THEN 'high' ELSE 'low' END AS urgency, 'Dataset: ' || dataset_path || '. Reason: ' || decision_reason AS body, escalation_ts AS created_ts FROM escalation_queue WHERE escalation_channel='pagerduty'")
 oracle("api_execution_summary", "SELECT *, build_api_requests+tickets_created+chat_messages_sent+paging_incidents AS total_api_calls, $AS_OF AS summary_ts FROM (SELECT count(*) AS build_api_requests FROM api_build_requests), (SELECT count(*) AS tickets_created FROM review_tickets), (SELECT count(*) AS chat_messages_sent FROM chat_messages), (SELECT count(*) AS paging_incidents FROM paging_incidents)")

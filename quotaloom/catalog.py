@@ -8,6 +8,7 @@ MODULES = (
     "sources.warehouse",
     "sources.crm_raw",
     "operators.ingest",
+    "operators.matching",
     "operators.enrichment",
     "operators.pipeline",
     "operators.sales",

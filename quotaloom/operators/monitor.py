@@ -489,7 +489,7 @@ def review_tickets(agent_decisions: DataFrame) -> DataFrame:
     return agent_decisions.filter(F.col("suggested_action").isin("OPTIMIZE_TRANSFORM", "REVIEW_DATA_QUALITY") & F.col("requires_human_review")).select(
         key_id(F.lit("ticket"), "decision_id").alias("ticket_id"), "decision_id", "dataset_path", pick("optimization", "data_quality").alias("ticket_type"),
         F.concat(pick("Optimize transform: ", "Data quality review: "), leaf).alias("summary"), pick("Medium", "High").alias("priority"),
-        F.to_json(F.array(F.lit("revops"), pick("optimization", "data-quality"), F.lit("auto-generated"))).alias("labels"), F.col("decision_ts").alias("created_ts"),
+        F.to_json(F.array(F.lit("sales-ops"), pick("optimization", "data-quality"), F.lit("auto-generated"))).alias("labels"), F.col("decision_ts").alias("created_ts"),
     )
 
 

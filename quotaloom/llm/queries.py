@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, order_minhash, packing, token_counts, toxicity
+from . import bpe, licenses, order_minhash, packing, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,9 +36,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op7_toxicity, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op7_toxicity, op8_licenses, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, order_minhash, packing, token_counts, toxicity
+from . import bpe, licenses, order_minhash, packing, pii, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,11 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(pii.find(docs, pii.train(docs)))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels nothing may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -44,5 +49,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op7_toxicity, op8_licenses, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op5_pii, op7_toxicity, op8_licenses, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

@@ -13,18 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .common import arrow_pass, col, strings
+from .hashing import U, mix
 
-U = np.uint64
 POSITION_BITS = 24
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective 64-bit mixer."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class OrderMinHash:
     """``sketches`` orders; of each, the two least occurrence-numbered ``k``-mers, in text order, hashed to 16 bits.
 

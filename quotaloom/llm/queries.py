@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, order_minhash, packing, pii, token_counts, toxicity
+from . import bpe, jaccard_join, licenses, order_minhash, packing, pii, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,5 +49,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op5_pii, op7_toxicity, op8_licenses, op9_token_counts)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op5_pii, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, order_minhash, packing, pii, token_counts, toxicity
+from . import bpe, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +25,10 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.report(pii.find(docs, pii.train(docs)))
@@ -53,5 +57,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op5_pii, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity
+from . import bpe, embedding_itq, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(docs, pii.train(docs)))
 
 
+def op6_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels nothing may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
@@ -57,5 +61,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

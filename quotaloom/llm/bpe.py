@@ -21,7 +21,7 @@ from .tokens import byte_alphabet
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Python takes these for white space, the format does not.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class WordEndBPE:
@@ -35,6 +35,7 @@ class WordEndBPE:
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         self.vocabulary, self.alphabet = vocabulary, byte_alphabet()
         self.strings = {i: s for s, i in vocabulary.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.numbers = {i: str(i) for i in self.strings}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, m in enumerate(spec["model"]["merges"]):
@@ -78,16 +79,16 @@ class WordEndBPE:
         return text.lower() if "Σ" not in text and "İ" not in text else "".join(c.lower() for c in text)
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """Number of ids, ids joined by spaces, vocabulary strings joined by spaces."""
+        """Number of ids, ids joined by spaces, vocabulary strings joined by spaces, of a normalised chunk."""
         ids: list[int] = []
-        for piece in self.cut.findall(self.normal(chunk)):
+        for piece in self.cut.findall(chunk):
             known = self.pieces.get(piece)
             if known is None:
                 known = self.merge(piece)
                 if len(piece) < 64:
                     self.pieces[piece] = known
             ids += known
-        return len(ids), " ".join(map(str, ids)), " ".join([self.strings[i] for i in ids])
+        return len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.strings[i] for i in ids])
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """The chunks of a text in order, each encoded."""
@@ -100,7 +101,7 @@ class WordEndBPE:
             if run in self.special:
                 out.append((1, str(self.special[run]), run))
                 continue
-            known = self.chunks
+            known, run = self.chunks, self.normal(run)
             for c in run.split() if not any(s in run for s in SEPARATORS) else filter(None, self.white.split(run)):
                 if (found := known.get(c)) is None:
                     found = self.chunk(c)

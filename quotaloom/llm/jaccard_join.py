@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, LongType, StructField, StructType
 
 from .common import arrow_pass, col, components, slices, store, strings
 from .hashing import U, mix, shingles, word_hashes
@@ -46,19 +48,26 @@ class Orders:
 
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
         at = np.argsort(frequent)
-        self.frequent, self.counts = frequent[at], counts[at].astype(U)
+        self.frequent = frequent[at]
+        self.rank = np.empty(len(at), U)  # of the frequent tokens by count
+        self.rank[np.lexsort((self.frequent, counts[at]))] = np.arange(len(at), dtype=U)
 
-    def hot(self, tokens: np.ndarray) -> np.ndarray:
-        """0, or the count of a frequent token."""
+    def hot(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens are in the frequent table, and the rank of those."""
         if not len(self.frequent):
-            return np.zeros(len(tokens), U)
+            return np.zeros(len(tokens), bool), np.zeros(0, U)
         at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == tokens, self.counts[at], U(0))
+        hot = self.frequent[at] == tokens
+        return hot, self.rank[at[hot]]
 
-    def prefix(self, tokens: np.ndarray, hot: np.ndarray, order: U, percent: int) -> np.ndarray:
+    def prefix(self, tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, order: U, percent: int) -> np.ndarray:
         """Positions in ``tokens`` of the first ones in an order."""
         n = prefix_length(len(tokens), percent)
-        return np.lexsort((mix(tokens ^ order), hot))[:n]
+        if n >= len(tokens):
+            return np.arange(len(tokens))
+        place = mix(tokens ^ order) >> U(1)
+        place[hot] = rank + U(1 << 63)
+        return np.argpartition(place, n)[:n]
 
 
 def repeated_tokens(docs: DataFrame, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,73 +97,69 @@ def repeated_tokens(docs: DataFrame, k: int, least: int) -> tuple[np.ndarray, np
     return np.array([r["token"] for r in rows], np.int64).view(U), np.array([r["n"] for r in rows], np.int64)
 
 
-def described(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
-    """(id, key, s, n, b, c) of every row: set signature and size; prefixes under the second and third order as 32-bit values."""
+def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
+    """One pass with two kinds of rows.
+
+    ``token`` null: (id, key, s, n, b, c) of every row: set signature (null without words) and size, and its prefixes
+    under the second and third order as 16-bit values.  Else (token, s, n, tokens): the prefix under the first order,
+    once per set and task, with all tokens of the set where the token is frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             s, n, b, c = [], [], [], []
+            token, owner, size, whole = [], [], [], []
             for tokens in token_sets(strings(batch), k):
-                hot = orders.hot(tokens)
-                s.append(signature(tokens) if len(tokens) else None)
                 n.append(len(tokens))
+                s.append(own := signature(tokens) if len(tokens) else None)
+                hot, rank = orders.hot(tokens)
                 for out, order in ((b, ORDERS[1]), (c, ORDERS[2])):
-                    out.append((tokens[orders.prefix(tokens, hot, order, percent)] & U(0x7FFFFFFF)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(s, pa.int64()), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (b, c))], names=["id", "key", "s", "n", "b", "c"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return arrow_pass(docs.select("id", "key", "text"), run, f"id {kind}, key long, s long, n long, b array<int>, c array<int>")
-
-
-def postings(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
-    """(token, s, n, tokens): the prefix under the first order, once per set and task; with all tokens where the token is frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            token, s, n, whole = [], [], [], []
-            for tokens in token_sets(strings(batch), k):
-                own = signature(tokens)
-                if not len(tokens) or own in seen:
+                    out.append(tokens[orders.prefix(tokens, hot, rank, order, percent)].astype(np.int16))
+                if own is None or own in seen:
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(own)
-                hot = orders.hot(tokens)
-                at = orders.prefix(tokens, hot, ORDERS[0], percent)
+                at = orders.prefix(tokens, hot, rank, ORDERS[0], percent)
                 token.append(tokens[at])
-                s.append(np.full(len(at), own, np.int64))
-                n.append(np.full(len(at), len(tokens), np.int64))
+                owner.append(np.full(len(at), own, np.int64))
+                size.append(np.full(len(at), len(tokens), np.int64))
                 data = tokens.tobytes() if hot[at].any() else None
                 whole += [data if h else None for h in hot[at].tolist()]
                 if len(whole) > 200_000:
-                    yield made(token, s, n, whole)
+                    yield rows(token=owned(token), s=owned(owner), n=owned(size), tokens=pa.array(whole, pa.binary()))
+                    token, owner, size, whole = [], [], [], []
             if whole:
-                yield made(token, s, n, whole)
+                yield rows(token=owned(token), s=owned(owner), n=owned(size), tokens=pa.array(whole, pa.binary()))
+            yield rows(id=batch.column("id"), key=batch.column("key"), s=pa.array(s, pa.int64()), n=pa.array(n, pa.int64()), b=pa.array(b, kinds["b"]), c=pa.array(c, kinds["c"]))
 
-    def made(token: list, s: list, n: list, whole: list) -> pa.RecordBatch:
-        arrays = [pa.array(np.concatenate(x).view(np.int64)) for x in (token, s, n)]
-        out = pa.RecordBatch.from_arrays([*arrays, pa.array(whole, pa.binary())], names=["token", "s", "n", "tokens"])
-        for x in (token, s, n, whole):
-            x.clear()
-        return out
+    def owned(parts: list[np.ndarray]) -> pa.Array:
+        return pa.array(np.concatenate(parts).view(np.int64))
 
-    return arrow_pass(docs.select("text"), run, "token long, s long, n long, tokens binary")
+    def rows(**columns: pa.Array) -> pa.RecordBatch:
+        size = len(columns["s"])
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
+
+    id_kind = docs.schema["id"].dataType
+    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int16()), "c": pa.list_(pa.int16()), "token": pa.int64(), "tokens": pa.binary()}
+    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<smallint>, c array<smallint>, token long, tokens binary")
 
 
 def small_lists(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets that share an infrequent token of the first order's prefixes and fit in size."""
     own = posted.where("tokens is null").select("token", "s", "n")
-    other = own.select("token", F.col("s").alias("b"), F.col("n").alias("m"))
-    fits = (F.col("s") < F.col("b")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return own.join(other, "token").where(fits).select(F.col("s").alias("a"), "b").distinct()
+    x, y = own.alias("x"), own.alias("y")  # one exchange serves both sides
+    fits = (F.col("x.s") < F.col("y.s")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+    return x.join(y, F.col("x.token") == F.col("y.token")).where(fits).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
 
 
-def other_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose prefixes meet under the second and the third order too, with the keys of their documents."""
-    x = classes.select(F.col("s").alias("a"), F.col("key").alias("ka"), F.col("b").alias("b1"), F.col("c").alias("c1"))
-    y = classes.select(F.col("s").alias("b"), F.col("key").alias("kb"), F.col("b").alias("b2"), F.col("c").alias("c2"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    classes = store(rows.join(wanted, "s").groupBy("s").agg(F.min_by(F.struct("key", "b", "c"), "key").alias("x")), "jaccard-candidates")
+    x, y = classes.select(F.col("s").alias("a"), F.col("x")), classes.select(F.col("s").alias("b"), F.col("x").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
-    return both.where(F.arrays_overlap("b1", "b2") & F.arrays_overlap("c1", "c2")).select("a", "b", "ka", "kb")
+    return both.where(F.arrays_overlap("x.b", "y.b") & F.arrays_overlap("x.c", "y.c")).select("a", "b", F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -169,9 +174,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 keep.append(same and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select("key", "text")
-    both = pairs.join(texts.select(F.col("key").alias("ka"), F.col("text").alias("ta")), "ka").join(texts.select(F.col("key").alias("kb"), F.col("text").alias("tb")), "kb")
-    return arrow_pass(both.select("a", "b", "ta", "tb"), run, "a long, b long")
+    x, y = docs.select("key", "text").alias("x"), docs.select("key", "text").alias("y")  # one exchange serves both
+    one = pairs.join(x, F.col("ka") == F.col("x.key")).select("a", "b", "kb", F.col("x.text").alias("ta"))
+    both = one.join(y, F.col("kb") == F.col("y.key")).select("a", "b", "ta", F.col("y.text").alias("tb"))
+    return arrow_pass(both, run, "a long, b long")
 
 
 def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -230,32 +236,69 @@ def large_lists(posted: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.groupBy("token", "lo", "hi").applyInArrow(in_block(percent), "a long, b long")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 512) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: size of its set of ``k``-word shingles and the smallest id reachable
-    by links; two rows link when 100 * intersection >= ``percent`` * union.  Exact: no link is missed.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text): the key, by which texts are fetched, is the id or else a hash of id and text."""
+    few = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    return few.select("id", key_of(few.schema["id"].dataType).alias("key"), "text")
+
+
+def key_of(kind: DataType) -> Column:
+    other = F.xxhash64("id", "text")
+    return F.coalesce(F.col("id").cast("long"), other) if isinstance(kind, IntegralType) else other
+
+
+def grouped(docs: DataFrame, k: int, percent: int, frequent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key, s, n) of every row of ``docs`` (id, key, text), and (s, root) of every set: equal roots are one group.
 
     1. Tokens that repeat are counted over all documents; the more frequent a token, the later in every order.
     2. Equal sets are one class.  Classes that share an infrequent token in their prefixes under the first order are
        candidates; they stay so if their prefixes also meet under the second and third order; then the texts decide.
     3. Lists of frequent tokens are cut into blocks, and each pair of blocks is compared where it lies, so a large group
        of near copies emits a spanning forest and no pairs.
+    """
+    orders = Orders(*repeated_tokens(docs, k, frequent))
+    every = store(indexed(docs, orders, k, percent), "jaccard-index")
+    rows, posted = every.where("token is null").select("id", "key", "s", "n", "b", "c"), every.where("token is not null")
+    pairs = store(small_lists(posted, percent), "jaccard-pairs")
+    pairs = store(other_orders(pairs, rows.where("s is not null")), "jaccard-filtered")
+    edges = store(verified(pairs, docs, k, percent).unionAll(large_lists(posted, percent, block)), "jaccard-edges")
+    roots = components(edges, name="jaccard-components")
+    sets = rows.where("s is not null").select("s").distinct()
+    named = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("root"))
+    return rows.select("id", "key", "s", "n"), store(named, "jaccard-classes")
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 512) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: size of its set of ``k``-word shingles and the smallest id reachable
+    by links; two rows link when 100 * intersection >= ``percent`` * union.  Exact: no link is missed.
+
     Null and empty texts, and texts of white space, have the empty set and link with nothing.  Null ids take part, but
     are nobody's component id; a row none of whose group has an id gets null.  Repeated ids are rows of their own, each
     with its own set; texts of fewer than ``k`` words are one shingle.  Empty table: no rows.
     """
-    few = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    few = few.select("id", F.coalesce(F.col("id").cast("long"), F.xxhash64("text")).alias("key") if dict(few.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("id", "text").alias("key"), "text")
-    orders = Orders(*repeated_tokens(few, k, frequent))
-    rows = store(described(few, orders, k, percent), "jaccard-sets")
-    posted = store(postings(few, orders, k, percent), "jaccard-postings")
-    classes = rows.where("s is not null").groupBy("s").agg(F.min_by(F.struct("key", "b", "c"), "key").alias("x")).select("s", "x.*")
-    pairs = other_orders(small_lists(posted, percent), classes)
-    edges = verified(pairs, few, k, percent).unionAll(large_lists(posted, percent, block))
-    roots = components(edges, name="jaccard-components")
-    ids = rows.where("s is not null").groupBy("s").agg(F.min("id").alias("least"))
-    named = ids.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", "least", F.coalesce("component", "s").alias("root"))
-    named = store(named, "jaccard-classes")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = store(named.join(least, "root").select("s", "component_id"), "jaccard-named")
+    rows, named = grouped(keyed(docs, id_col, text_col), k, percent, frequent, block)
+    least = rows.where("s is not null").groupBy("s").agg(F.min("id").alias("least")).join(named, "s")
+    by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_set = store(named.join(by_root, "root").select("s", "component_id"), "jaccard-named")
     out = rows.select("id", "s", F.col("n").alias("n_shingles")).join(by_set, "s", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 512) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stay when each group of linked documents keeps one: that with the
+    smallest id (null ids last).  Texts without a word stay; of rows equal in id and shingles one stays."""
+    rows, named = grouped(keyed(docs, id_col, text_col), k, percent, frequent, block)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "s")).alias("x")
+    kept = rows.where("s is not null").join(named, "s").groupBy("root").agg(first).select("x.key", "x.s")
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = [signature(t) if len(t) else None for t in token_sets([t or "" for t in batch.column("rest").field(place).to_pylist()], k)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("key"), pa.array(s, pa.int64())], names=["rest", "key", "s"])
+
+    place = docs.columns.index(text_col)
+    packed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("rest"), col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    packed = packed.select("rest", key_of(packed.schema["id"].dataType).alias("key"))
+    whole = arrow_pass(packed, signed, StructType([*packed.schema.fields, StructField("s", LongType())]))
+    stay = whole.join(kept, ["key", "s"]).dropDuplicates(["key", "s"])
+    return stay.select("rest.*").unionAll(whole.where("s is null").select("rest.*"))

@@ -175,3 +175,17 @@ def score(docs: DataFrame, model: ToxicModel, *, id_col: str = "doc_id", text_co
     few = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     out = arrow_pass(few, run, f"id {few.schema['id'].dataType.simpleString()}, score double, predicted int, passages array<struct<first:long,last:long,score:double>>")
     return out.select(F.col("id").alias(id_col), "score", "predicted", "passages")
+
+
+def clean(docs: DataFrame, model: ToxicModel, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``threshold``, with all their columns.  Null and empty texts stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.column("rest")
+            keep = [model.probability(model.statistic(*model.segments(t or ""))) < threshold for t in rest.field(place).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    place = docs.columns.index(text_col)
+    packed = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("rest"))
+    return arrow_pass(packed, run, packed.schema).select("rest.*")

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DataType, IntegralType, StringType, StructField, StructType
 
 from .common import arrow_pass, col, slices, store, strings
 from .hashing import POWERS, U, mix, word_hashes
@@ -63,8 +63,8 @@ class Minimisers:
 
 
 def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
-    """(run, key, s, place): a row for each selected suffix, once per text and task, and one with null run for every row
-    of ``docs`` whose ``place`` is its number of words."""
+    """(run, key, s, n): the leading words of the selected suffixes, each once per text and task, and for every row of
+    ``docs`` one with null run and its number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -81,20 +81,24 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
                             seen.add(x)
                 pick = np.unique(m.place[new[m.doc]])
                 doc = np.searchsorted(m.first, pick, side="right") - 1
-                own = keys[lo:hi]
-                n = np.diff(m.first)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.r_[m.runs[pick].view(np.int64), np.zeros(hi - lo, np.int64)], mask=np.r_[np.zeros(len(pick), bool), np.ones(hi - lo, bool)]),
-                    *(pa.array(np.r_[x[doc], x]) for x in (own, s)), pa.array(np.r_[pick - m.first[doc], n]),
-                ], names=["run", "key", "s", "place"])
+                each = np.lexsort((m.runs[pick], doc))
+                pick, doc = pick[each], doc[each]
+                other = np.r_[True, (doc[1:] != doc[:-1]) | (m.runs[pick[1:]] != m.runs[pick[:-1]])][: len(pick)]
+                pick, doc = pick[other], doc[other]
+                yield rows(m.runs[pick].view(np.int64), keys[lo:hi][doc], s[doc], None)
+                yield rows(None, keys[lo:hi], s, np.diff(m.first))
 
-    return arrow_pass(docs.select("key", "text"), run, "run long, key long, s long, place long")
+    def rows(run: np.ndarray | None, key: np.ndarray, s: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
+        arrays = [pa.nulls(len(s), pa.int64()) if x is None else pa.array(x) for x in (run, key, s, n)]
+        return pa.RecordBatch.from_arrays(arrays, names=["run", "key", "s", "n"])
+
+    return arrow_pass(docs.select("key", "text"), run, "run long, key long, s long, n long")
 
 
 def neighbours(sorted_rows: DataFrame, by: str, other: str, keep: list[str]) -> DataFrame:
     """Of rows that arrive sorted by (``by``, ``other``): those of each run of equal ``by`` with two values of ``other``,
     with the least of them as ``least``.  Streams; only rows that may still turn out to be alone are held."""
-    names = [by, other, *keep]
+    names = list(dict.fromkeys([by, other, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, open_by, open_least = None, None, None  # rows of an open run with one value so far; or its key and least value
@@ -126,31 +130,36 @@ def neighbours(sorted_rows: DataFrame, by: str, other: str, keep: list[str]) ->
 
 
 def windows(texts: DataFrame, least: int, k: int) -> DataFrame:
-    """(window, key, s, at) of the windows whose minimiser is among ``places``."""
+    """(window, key, s, at) of the windows whose minimiser starts one of the ``runs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every, keys, s = strings(batch), batch.column("key").to_numpy(), batch.column("s").to_numpy()
-            places = batch.column("places").to_pylist()
+            runs = batch.column("runs").to_pylist()
             for lo, hi in slices(every):
                 m = Minimisers(every[lo:hi], least, k)
                 right = np.array(m.signatures(), np.int64) == s[lo:hi]  # another text under a repeated id
-                known = np.zeros(len(m.words) + 1, bool)
-                for i in range(hi - lo):
-                    if right[i]:
-                        known[m.first[i] + np.array(places[lo + i], np.int64)] = True
-                hit = known[m.place]
+                own, bounds = m.runs[m.place].view(np.int64), np.searchsorted(m.doc, np.arange(hi - lo + 1))
+                hit = np.zeros(len(own), bool)
+                for i in np.flatnonzero(right):
+                    a, b = bounds[i], bounds[i + 1]
+                    hit[a:b] = np.isin(own[a:b], runs[lo + i])
                 start, doc = m.start[hit], m.doc[hit]
                 yield pa.RecordBatch.from_arrays([pa.array(run_hashes(m.words, least)[start].view(np.int64)), pa.array(keys[lo:hi][doc]), pa.array(s[lo:hi][doc]), pa.array(start - m.first[doc])], names=["window", "key", "s", "at"])
 
-    return arrow_pass(texts.select("key", "s", "text", "places"), run, "window long, key long, s long, at long")
+    return arrow_pass(texts.select("key", "s", "text", "runs"), run, "window long, key long, s long, at long")
+
+
+def key_of(kind: DataType) -> Column:
+    """Orders documents: the id, or for rows without an integer id a hash of id and text that lies above all ids."""
+    other = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("id", "text"), 3)
+    return F.coalesce(F.col("id").cast("long"), other) if isinstance(kind, IntegralType) else other
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, text): the key orders documents; rows without an integer id come last, by a hash of id and text."""
+    """(id, key, text)."""
     few = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    other = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("id", "text"), 3)
-    return few.select("id", (F.coalesce(F.col("id").cast("long"), other) if isinstance(few.schema["id"].dataType, IntegralType) else other).alias("key"), "text")
+    return few.select("id", key_of(few.schema["id"].dataType).alias("key"), "text")
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 50, k: int = 16) -> DataFrame:
@@ -167,15 +176,15 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     every = store(suffixes(docs, least, k), "suffixes")
     texts = every.where("run is null").groupBy("s").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = every.where("run is not null").select("run", "s", "place").repartition(parts, "run").sortWithinPartitions("run", "s")
-    places = neighbours(ordered, "run", "s", ["place"]).groupBy("s").agg(F.collect_set("place").alias("places"))
-    chosen = places.join(texts, "s").select("s", F.col("first_key").alias("key"), "places")
+    ordered = every.where("run is not null").select("run", "s").repartition(parts, "run").sortWithinPartitions("run", "s")
+    runs = neighbours(ordered, "run", "s", ["run"]).groupBy("s").agg(F.collect_set("run").alias("runs"))
+    chosen = runs.join(texts, "s").select("s", F.col("first_key").alias("key"), "runs")
     found = windows(docs.join(chosen, "key"), least, k)
     ordered = found.repartition(parts, "window").sortWithinPartitions("window", "key", "at")
     rows = neighbours(ordered, "window", "key", ["s", "at"])
     passages = joined(rows, least)
-    whole = every.where(F.col("run").isNull() & (F.col("place") >= least)).join(texts.where("copies > 1"), "s")
-    copies = whole.select("key", "s", F.lit(0).cast("long").alias("start"), F.col("place").alias("words"), "first_key", (F.col("key") != F.col("first_key")).alias("removed"))
+    whole = every.where(F.col("run").isNull() & (F.col("n") >= least)).join(texts.where("copies > 1"), "s")
+    copies = whole.select("key", "s", F.lit(0).cast("long").alias("start"), F.col("n").alias("words"), "first_key", (F.col("key") != F.col("first_key")).alias("removed"))
     return passages.unionAll(copies)
 
 
@@ -205,12 +214,9 @@ def without(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the removed passages: from the first of their words to the word after them.  All rows and columns
     stay; a text that is repeated as a whole becomes empty."""
     cuts = repeats(docs, id_col=id_col, text_col=text_col, least=least, k=k).where("removed").groupBy("key", "s").agg(F.collect_list(F.struct("start", "words")).alias("cuts"))
-    kinds = dict(docs.dtypes)
     rest = [c for c in docs.columns if c != text_col]
-    inner = keyed(docs.select("*"), id_col, text_col)
     packed = docs.select(F.struct(*(col(c) for c in rest)).alias("rest"), col(text_col).alias("own"), col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
-    other = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("id", "text"), 3)
-    packed = packed.withColumn("key", F.coalesce(F.col("id").cast("long"), other) if isinstance(inner.schema["id"].dataType, IntegralType) else other).drop("id", "text")
+    packed = packed.select("rest", "own", key_of(packed.schema["id"].dataType).alias("key"))
     by_key = cuts.groupBy("key").agg(F.collect_list(F.struct("s", "cuts")).alias("by_text"))
     both = packed.join(by_key, "key", "left")
 
@@ -225,7 +231,7 @@ def without(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 texts.append(text)
             yield pa.RecordBatch.from_arrays([batch.column("rest"), pa.array(texts, pa.string())], names=["rest", "text"])
 
-    out = arrow_pass(both.select("rest", "own", "by_text"), run, f"rest {both.schema['rest'].dataType.simpleString()}, text {kinds[text_col]}")
+    out = arrow_pass(both.select("rest", "own", "by_text"), run, StructType([both.schema["rest"], StructField("text", StringType())]))
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))
 
 

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, col, store, strings
+from .common import arrow_pass, col, slices, store, strings
+from .hashing import shingles, word_hashes
 
 #: Bytes of a word's start that stand for its unseen forms, longest first; a whole word goes before them.
 PREFIXES = (6, 5, 4)
@@ -39,12 +40,9 @@ class ToxicModel:
         self.gates = {u.rstrip(b"$")[: PREFIXES[-1]] for u in self.units}
 
     def unit_score(self, word: bytes) -> float | None:
-        found = self.units.get(word + b"$")
-        for n in PREFIXES:
-            if found is not None or len(word) < n:
-                continue
-            found = self.units.get(word[:n])
-        return found
+        """The highest score among the word and its starts."""
+        found = [s for u in (word + b"$", *(word[:n] for n in PREFIXES if len(word) >= n)) if (s := self.units.get(u)) is not None]
+        return max(found, default=None)
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """(number of words, all maximal scoring segments as first word, last word, score), in linear time."""
@@ -81,54 +79,76 @@ class ToxicModel:
         return [x for x in found if -math.expm1(-self.k * max(n, 1) * math.exp(-self.lam * x[2])) <= 0.05]
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, marks = strings(batch), []
+        for lo, hi in slices(texts):
+            hashes, first = word_hashes(texts[lo:hi])
+            for a, b in zip(first[:-1], first[1:]):
+                marks.append(int(shingles(hashes[a:b], 5).min(initial=2**64 - 1)) >> 1)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=["toxic", "text", "mark"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of each label that hold a word; under the empty word all texts, under a space all words of them."""
     for batch in batches:
         by: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for text, toxic in zip(strings(batch), batch.column("toxic").to_pylist()):
-            c = by[toxic]
             own = words(text)
-            c.update(w + b"$" for w in own)
-            for n in PREFIXES:
-                c.update(w[:n] for w in own if len(w) >= n)
-            c[b""] += len(own)
+            by[toxic].update({*own, b""})
+            by[toxic][b" "] += len(own)
         units = list(by[0].keys() | by[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()), pa.array([by[1][u] for u in units], pa.int64()), pa.array([by[0][u] for u in units], pa.int64())], names=["unit", "y1", "y0"])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, prior: float = 5_000.0, z: float = 3.0, drift: float = 0.1) -> ToxicModel:
-    """Fit on about ``sample`` labelled rows at most (chosen by a hash of the id; equal texts count once).
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, prior: float = 0.01, z: float = 1.5, floor: float = 2.0, drift: float = 0.1) -> ToxicModel:
+    """Fit on about ``sample`` labelled rows at most, chosen by a hash of the id.
 
-    A unit is a whole word or the first 4 to 6 bytes of words.  Its log-odds between toxic and clean text use a
-    Dirichlet prior of ``prior`` pseudo-counts spread as in both together; units with a z-score below ``z`` score as
-    background.  Lambda and K follow from the scores' distribution in clean text, the last step (a logistic curve over
-    the segments' normalised scores) from the sample's documents.  Null ids, labels and texts are left out.  Without a
-    label of each kind nothing is toxic.
+    Of rows of one label whose least 5-word shingle hash is equal, as in copies and most near copies, one counts: else
+    the words of a large group of copies would pass for toxic ones.
+
+    A unit is a whole word, counted by the texts that hold it, or the first 4 to 6 bytes of words, counted by the
+    different words that begin so (one frequent word doesn't make its start toxic).  Its log-odds between toxic and
+    clean use a Dirichlet prior spread as in both together, with pseudo-counts of the share ``prior`` of all counts; its
+    score is their lower bound, ``z`` standard errors below, and units whose bound is under ``floor`` score as background.
+    Lambda and K follow from the scores' distribution in clean text, the last step (a logistic curve over the segments'
+    normalised scores) from the sample's documents.  Null ids, labels and texts are left out.  Without a label of each
+    kind nothing is toxic.
     """
     known = labels.where(col(id_col).isNotNull() & col(label_col).isNotNull()).groupBy(col(id_col).alias("lid")).agg(F.max(col(label_col).cast("int")).alias("toxic"))
     n = known.count()
     share = F.lit(min(1.0, sample / max(n, 1)) * 1e6)
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "lid"), F.lit(10**6)) < share).where("toxic in (0, 1)")
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("lid"))
-    rows = store(rows.where("text is not null").select("toxic", "text").dropDuplicates(["text"]), "toxicity-sample")
+    marked = arrow_pass(rows.where("text is not null").select("toxic", "text"), _marked, "toxic int, text string, mark long")
+    rows = store(marked.dropDuplicates(["toxic", "mark"]).select("toxic", "text"), "toxicity-sample")
     counts = store(arrow_pass(rows, _counted, "unit binary, y1 long, y0 long").groupBy("unit").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "toxicity-counts")
-    whole = counts.where("unit = X''").first()
-    if not whole or not whole["y1"] or not whole["y0"]:
+    totals = {bytes(r["unit"]): r for r in counts.where("unit in (X'', X'20')").collect()}
+    if not totals or not totals[b""]["y1"] or not totals[b""]["y0"]:
         return ToxicModel()
-    n1, n0 = whole["y1"], whole["y0"]
-    candidates = counts.where(f"unit <> X'' and y1 >= 3 and y1 * {n0 / n1!r} > 2 * y0").collect()
+    found = counts.where("unit not in (X'', X'20')")
+    starts = F.explode(F.array(*(F.when(F.length("unit") >= n, F.substring("unit", 1, n)) for n in PREFIXES))).alias("start")
+    types = found.select(starts, (F.col("y1") > 0).cast("long").alias("y1"), (F.col("y0") > 0).cast("long").alias("y0")).where("start is not null")
+    kinds = types.where(F.length("start") == PREFIXES[-1]).agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")).first()
+    clean = max(totals[b" "]["y0"], 1)
     units: dict[bytes, float] = {}
-    for u, y1, y0 in ((bytes(r["unit"]), r["y1"], r["y0"]) for r in candidates):
-        a = prior * (y1 + y0) / (n1 + n0)
-        odds = math.log((y1 + a) / (n1 + prior - y1 - a)) - math.log((y0 + a) / (n0 + prior - y0 - a))
-        if odds / math.sqrt(1 / (y1 + a) + 1 / (y0 + a)) >= z:
-            units[u] = odds
-    return _calibrated(units, rows, n0, {bytes(r["unit"]): r["y0"] for r in candidates}, drift)
-
-
-def _calibrated(units: dict[bytes, float], rows: DataFrame, n0: int, clean: dict[bytes, int], drift: float) -> ToxicModel:
+    chance: dict[bytes, float] = {}
+    for table, whole, end in ((found, totals[b""], b"$"), (types.groupBy(F.col("start").alias("unit")).agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), kinds, b"")):
+        n1, n0 = whole["y1"] or 1, whole["y0"] or 1
+        for r in table.where(f"y1 >= 3 and y1 * {n0 / n1!r} > 2 * y0").collect():
+            y1, y0, a = r["y1"], r["y0"], prior * (r["y1"] + r["y0"])
+            more = prior * (n1 + n0)
+            odds = math.log((y1 + a) / max(n1 + more - y1 - a, 0.5)) - math.log((y0 + a) / (n0 + more - y0 - a))
+            bound = odds - z * math.sqrt(1 / (y1 + a) + 1 / (y0 + a))
+            if bound >= floor:
+                units[bytes(r["unit"]) + end] = bound
+                chance[bytes(r["unit"]) + end] = (y0 + 0.5) / clean
+    return _calibrated(units, chance, rows, drift)
+
+
+def _calibrated(units: dict[bytes, float], p: dict[bytes, float], rows: DataFrame, drift: float) -> ToxicModel:
+    """``p``: how often a word of clean text has the unit, with half a count for what clean text does not hold."""
     model = ToxicModel(units, -drift)
-    # chance of each score in clean text; half a count for what it does not hold
-    p = {u: (clean[u] + 0.5) / (n0 + 1) for u in units}
     mass = min(0.5, sum(p.values()))
     scores, weights = np.array([*units.values(), -drift]), np.array([*p.values(), 1 - mass])
     lo, hi = 0.0, 50.0

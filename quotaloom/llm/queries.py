@@ -62,4 +62,40 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: Words that white space separates, A-Z in lower case.
+WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+ORACLE_SQL = {
+    "op4_suffix_dedup": f"""
+        WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        texts AS (SELECT w, min(doc_id) AS first_doc_id, count(*) AS copies FROM docs GROUP BY w),
+        spots AS (SELECT first_doc_id AS doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS spot FROM texts),
+        windows AS (SELECT doc_id, spot, md5(array_to_string(w[spot + 1 : spot + 50], ' ')) AS h FROM spots),
+        shared AS (SELECT h, min(doc_id) AS first_doc_id FROM windows GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+        hits AS (SELECT doc_id, first_doc_id, spot, spot - row_number() OVER (PARTITION BY doc_id, first_doc_id ORDER BY spot) AS island
+                 FROM (SELECT DISTINCT doc_id, first_doc_id, spot FROM windows JOIN shared USING (h)))
+        SELECT doc_id, min(spot)::BIGINT AS start_word, (max(spot) - min(spot) + 50)::BIGINT AS n_words, first_doc_id, doc_id <> first_doc_id AS removed
+        FROM hits GROUP BY doc_id, first_doc_id, island
+        UNION ALL
+        SELECT d.doc_id, 0::BIGINT, len(d.w)::BIGINT, t.first_doc_id, d.doc_id <> t.first_doc_id
+        FROM docs d JOIN texts t ON d.w = t.w WHERE t.copies > 1 AND len(d.w) >= 50""",
+    "op6_embedding_itq": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93),
+        reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+        n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+        c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM c LEFT JOIN n ON n.a = c.vec_id""",
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') || ' ' || least(len(w), 4) AS s
+                     FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM docs WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+        reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id
+        FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY ALL""",
+}

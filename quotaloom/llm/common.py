@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,7 +64,7 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
-def slices(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str], chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``chars`` characters, so that lists of words stay small."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -15,7 +15,7 @@ from .common import arrow_pass, col, components, slices, store, strings
 from .hashing import U, mix, shingles, word_hashes
 
 #: Tokens a task holds before it counts which of them repeat.
-TOKENS_A_ROUND = 1 << 22
+TOKENS_A_ROUND = 1 << 21
 #: The order's table of frequent tokens is bounded (1.6 MB); which tokens it holds changes the work, never the result.
 FREQUENT = 200_000
 ORDERS = (U(0), U(0x5851F42D4C957F2D), U(0x14057B7EF767814F))
@@ -162,22 +162,48 @@ def other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("x.b", "y.b") & F.arrays_overlap("x.c", "y.c")).select("a", "b", F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges (a, b) of the pairs whose texts, fetched by key and recognised by signature, are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """Edges (a, b) that join the pairs whose texts are similar enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (token_sets(strings(batch, c), k) for c in ("ta", "tb"))
-            keep = []
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), left, right):
-                same = signature(x) == a and signature(y) == b
-                keep.append(same and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    Sets that candidate pairs connect are placed in blocks of about ``block``; a text goes once to each pair of blocks in
+    which it has candidates, not to every pair, and what is connected there already isn't compared again.
+    """
+    connected = components(pairs, name="jaccard-connected").withColumnRenamed("node", "s")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("ka").alias("key")), F.struct(F.col("b").alias("s"), F.col("kb").alias("key")))).alias("e")).select("e.*").distinct()
+    placed = store(ends.join(connected, "s"), "jaccard-ends")
+    buckets = max(1, -(-placed.count() // block))
+    large = placed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("s"), "parts").cast("int"), F.lit(0))
+    placed = store(placed.join(large, "component", "left").select("s", "key", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), part.alias("part")), "jaccard-placed")
+    x, y = placed.select(F.col("s").alias("a"), "bucket", F.col("part").alias("pa")), placed.select(F.col("s").alias("b"), F.col("part").alias("pb"))
+    where = ["bucket", "lo", "hi"]
+    pairs = store(pairs.join(x, "a").join(y, "b").select("a", "b", "bucket", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")), "jaccard-placed-pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("s"), *where).distinct().join(placed.select("s", "key"), "s")
+    own = [F.col(c).alias(f"own_{c}") for c in where]
+    texts = docs.select("key", "text").join(members.select("s", "key", *own), "key").select("s", *(f"own_{c}" for c in where), "text")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for s, tokens in zip(left.column("s").to_pylist(), token_sets(strings(left), k)):
+            if signature(tokens) == s:  # else another text under a repeated id
+                sets[s] = tokens
+        parent, edges = {s: s for s in sets}, []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
+            p, q = root(a), root(b)
+            if p != q and linked(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]), percent):
+                parent[p] = q
+                edges.append((a, b))
+        a, b = zip(*edges) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    x, y = docs.select("key", "text").alias("x"), docs.select("key", "text").alias("y")  # one exchange serves both
-    one = pairs.join(x, F.col("ka") == F.col("x.key")).select("a", "b", "kb", F.col("x.text").alias("ta"))
-    both = one.join(y, F.col("kb") == F.col("y.key")).select("a", "b", "ta", F.col("y.text").alias("tb"))
-    return arrow_pass(both, run, "a long, b long")
+    return texts.groupBy(*(f"own_{c}" for c in where)).cogroup(pairs.groupBy(*where)).applyInArrow(run, "a long, b long")
 
 
 def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -261,14 +287,14 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, block: int) ->
     rows, posted = every.where("token is null").select("id", "key", "s", "n", "b", "c"), every.where("token is not null")
     pairs = store(small_lists(posted, percent), "jaccard-pairs")
     pairs = store(other_orders(pairs, rows.where("s is not null")), "jaccard-filtered")
-    edges = store(verified(pairs, docs, k, percent).unionAll(large_lists(posted, percent, block)), "jaccard-edges")
+    edges = store(verified(pairs, docs, k, percent, block).unionAll(large_lists(posted, percent, block)), "jaccard-edges")
     roots = components(edges, name="jaccard-components")
     sets = rows.where("s is not null").select("s").distinct()
     named = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("root"))
     return rows.select("id", "key", "s", "n"), store(named, "jaccard-classes")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 512) -> DataFrame:
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 256) -> DataFrame:
     """(id, n_shingles, component_id) of every row: size of its set of ``k``-word shingles and the smallest id reachable
     by links; two rows link when 100 * intersection >= ``percent`` * union.  Exact: no link is missed.
 
@@ -284,7 +310,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k:
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 512) -> DataFrame:
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, frequent: int = 64, block: int = 256) -> DataFrame:
     """The rows of ``docs``, with all columns, that stay when each group of linked documents keeps one: that with the
     smallest id (null ids last).  Texts without a word stay; of rows equal in id and shingles one stays."""
     rows, named = grouped(keyed(docs, id_col, text_col), k, percent, frequent, block)

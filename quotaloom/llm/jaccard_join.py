@@ -101,7 +101,7 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
     """One pass with two kinds of rows.
 
     ``token`` null: (id, key, s, n, b, c) of every row: set signature (null without words) and size, and its prefixes
-    under the second and third order as 16-bit values.  Else (token, s, n, tokens): the prefix under the first order,
+    under the second and third order as 32-bit values.  Else (token, s, n, tokens): the prefix under the first order,
     once per set and task, with all tokens of the set where the token is frequent.
     """
 
@@ -115,7 +115,7 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
                 s.append(own := signature(tokens) if len(tokens) else None)
                 hot, rank = orders.hot(tokens)
                 for out, order in ((b, ORDERS[1]), (c, ORDERS[2])):
-                    out.append(tokens[orders.prefix(tokens, hot, rank, order, percent)].astype(np.int16))
+                    out.append(tokens[orders.prefix(tokens, hot, rank, order, percent)].astype(np.uint32).view(np.int32))
                 if own is None or own in seen:
                     continue
                 if len(seen) < 1 << 20:
@@ -141,8 +141,8 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
     id_kind = docs.schema["id"].dataType
-    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int16()), "c": pa.list_(pa.int16()), "token": pa.int64(), "tokens": pa.binary()}
-    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<smallint>, c array<smallint>, token long, tokens binary")
+    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int32()), "c": pa.list_(pa.int32()), "token": pa.int64(), "tokens": pa.binary()}
+    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<int>, c array<int>, token long, tokens binary")
 
 
 def small_lists(posted: DataFrame, percent: int) -> DataFrame:

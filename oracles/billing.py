@@ -102,3 +102,25 @@ h AS (SELECT customer_id, older_volume, recent_volume, {R("o", "older_volume", e
 SELECT *, CASE WHEN recent_rate>older_rate+0.02 THEN 'improving' WHEN recent_rate<older_rate-0.02 THEN 'declining' ELSE 'stable' END AS delivery_rate_trend, CASE WHEN recent_volume>older_volume*1.1 THEN 'increasing' WHEN recent_volume<older_volume*0.9 THEN 'decreasing' ELSE 'stable' END AS volume_trend, CASE WHEN recent_rate<0.95 THEN 'Delivery rate below 95%' END AS issue FROM h
 """)
 oracle("ops_overview", f"""SELECT * FROM (SELECT count(*) AS queue_items, {N("severity='critical'")} AS critical_items, avg(estimated_resolution_min) AS avg_minutes FROM ops_agent_queue), (SELECT count(*) AS datasets, {N('is_healthy')} AS healthy, {N('is_slow')} AS slow, sum(record_count)::BIGINT AS records FROM build_metrics)""")
+from quotaloom.operators.billing import ALERT_RULES  # noqa: E402  (fixed values only)
+
+_pct = lambda x: f"printf('%.1f%%', round({x}*100,1))"
+_texts = {
+    "stale_pipeline": f"'Pipeline staleness at ' || {_pct('v')} || ', exceeds 10.0% threshold. ' || n_stale || ' deals need attention.'",
+    "build_failure": "'Build ' || b.build_id || ' failed for dataset ' || b.dataset_path || '. Error: ' || coalesce(b.error_message,'')",
+    "data_quality_drop": f"'Data quality dropped to ' || {_pct('v')} || ', below 90.0% threshold.'",
+    "sync_delay": "'CRM sync delayed by ' || printf('%.0f', round(v,0)) || ' minutes (threshold: 60min).'",
+    "health_critical": "printf('%.0f', v) || ' deals in critical health status, representing $' || format('{:,}', round(critical_amount,0)::BIGINT) || ' at risk.'",
+    "forecast_miss": f"'Forecast variance at ' || {_pct('v')} || ', exceeds 20.0% tolerance.'",
+    "quota_at_risk": f"'Projected quota attainment at ' || {_pct('v')} || ', below 80.0% threshold.'",
+}
+oracle("alert_rule_events", f"""
+WITH d AS (SELECT {N("NOT is_closed")} AS n_live, {N("NOT is_closed AND days_since_activity>14")} AS n_stale, {N("NOT is_closed AND health_category='Critical'")} AS n_critical, {S("amount", "NOT is_closed AND health_category='Critical'")} AS critical_amount,
+ {S("amount", "close_date BETWEEN DATE '2001-10-01' AND DATE '2001-12-31' AND (is_won OR (NOT is_closed AND forecast_category='Commit'))")} AS projected FROM deal_health),
+f AS (SELECT * FROM build_log WHERE status<>'success' AND build_timestamp > DATE '2001-12-31' AND build_timestamp < DATE '2002-01-01'),
+b AS (SELECT count(*) AS n_failed, min(build_id) AS build_id, (SELECT dataset_path FROM f ORDER BY build_id LIMIT 1) AS dataset_path, (SELECT error_message FROM f ORDER BY build_id LIMIT 1) AS error_message FROM f),
+m AS (SELECT d.*, b.*, (SELECT overall_score FROM data_quality_summary) AS quality, (SELECT max(datesub('second', last_success_at, TIMESTAMP '2002-01-01')/60) FROM sync_state) AS delay,
+ (SELECT max(1-avg_accuracy) FROM forecast_accuracy WHERE recommended) AS missed, (SELECT {S("quota_amount")} FROM quotas) AS quota FROM d, b)
+{" UNION ALL ".join(f"SELECT '{a}' AS alert_type, '{metric}' AS metric_name, v AS metric_value, '{op}' AS operator, {t}::DOUBLE AS threshold, '{sev}' AS severity, '{title}' AS title, coalesce(v {'=' if op == '==' else op} {t}::DOUBLE, false) AS triggered, CASE WHEN v {'=' if op == '==' else op} {t}::DOUBLE THEN {_texts[a]} END AS message FROM (SELECT *, round(({e})::DOUBLE,6) AS v FROM m) b"
+  for (a, metric, op, t, sev, title, _), e in zip(ALERT_RULES, ("n_stale/greatest(n_live,1)", "CASE WHEN n_failed>0 THEN 1 ELSE 0 END", "quality", "delay", "n_critical", "missed", "projected/nullif(quota,0)")))}
+""")

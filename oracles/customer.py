@@ -18,14 +18,14 @@ WITH s AS (SELECT *, {RD("health_score*0.40 + CASE WHEN open_pipeline>0 THEN 30
 SELECT *, round(current_arr*expansion_score/100,0) AS expansion_potential, {L("expansion_score", ">=", [(80, "High"), (60, "Medium"), (40, "Low")], "None")} AS expansion_tier,
  CASE WHEN health_score>=80 AND open_pipeline=0 THEN 'Initiate expansion conversation - healthy account with no active deals' WHEN health_score>=60 AND open_pipeline>0 THEN 'Accelerate existing opportunity - good health, deal in progress'
   WHEN health_score<60 AND churn_risk IN ('High','Critical') THEN 'Focus on retention before expansion - address churn risk first' ELSE 'Monitor and nurture - build relationship before expansion' END AS recommended_play,
- (row_number() OVER (ORDER BY expansion_score DESC, current_arr DESC, account_id))::INT AS priority_rank FROM s
+ (row_number() OVER (ORDER BY expansion_score DESC, current_arr DESC, account_id))::BIGINT AS priority_rank FROM s
 """)
 oracle("churn_risk_analysis", """
 WITH s AS (SELECT *, concat_ws(', ', CASE WHEN days_since_activity>30 THEN 'No recent engagement' END, CASE WHEN contacts_engaged<2 THEN 'Single-threaded' END, CASE WHEN engagement_score<50 THEN 'Low engagement' END, CASE WHEN days_to_renewal<90 THEN 'Renewal approaching' END) AS risk_factors,
  round(CASE churn_risk WHEN 'Critical' THEN current_arr WHEN 'High' THEN current_arr*0.7 ELSE current_arr*0.3 END,3) AS arr_at_risk, CASE churn_risk WHEN 'Critical' THEN 0.3 WHEN 'High' THEN 0.5 ELSE 0.7 END AS save_probability,
  CASE WHEN churn_risk='Critical' THEN 'Immediate executive outreach required' WHEN churn_risk='High' AND days_to_renewal<90 THEN 'Schedule urgent renewal review meeting' WHEN days_since_activity>60 THEN 'Re-engagement campaign - customer going dark' ELSE 'Increase touchpoint frequency' END AS recommended_action,
  CASE WHEN churn_risk='Critical' OR days_to_renewal<30 THEN 'Immediate' WHEN churn_risk='High' OR days_to_renewal<60 THEN 'This Week' ELSE 'This Month' END AS urgency FROM customer_health_scores WHERE churn_risk IN ('High','Critical'))
-SELECT *, (row_number() OVER (ORDER BY CASE WHEN churn_risk='Critical' THEN 1 ELSE 2 END, arr_at_risk DESC, account_id))::INT AS priority_rank FROM s
+SELECT *, (row_number() OVER (ORDER BY CASE WHEN churn_risk='Critical' THEN 1 ELSE 2 END, arr_at_risk DESC, account_id))::BIGINT AS priority_rank FROM s
 """)
 oracle("customer_health_summary", f"""
 SELECT *, round((total_arr+total_expansion_potential-total_arr_at_risk)/total_arr,3) AS net_retention_forecast, $AS_OF AS snapshot_date FROM

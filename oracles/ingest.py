@@ -56,14 +56,12 @@ SELECT *, 'CRM B' AS source_system FROM (SELECT c_custkey AS contact_id, 'c' ||
 """)
 oracle("staging_marketing_activities", f"""SELECT event_id, 'Email Campaign' AS activity_type, event_id%8 AS campaign_id, 'c' || (event_id%400) || '@mail.example' AS contact_email, et AS event_type, {_ts(AT)} AS event_timestamp, 77 AS portal_id, et IN ('OPEN','CLICK') AS is_engagement, 'CRM B' AS source_system
 FROM (SELECT *, CASE event_id%5 WHEN 0 THEN 'SENT' WHEN 1 THEN 'DELIVERED' WHEN 2 THEN 'OPEN' WHEN 3 THEN 'CLICK' ELSE 'BOUNCE' END AS et FROM events WHERE event_type='click')""")
-oracle("merged_opportunities", """
-WITH a AS (SELECT lower(trim(opportunity_name)) AS match_name, opportunity_id, account_id, amount, stage_name, close_date, 'CRM A' AS source FROM staging_opportunities WHERE opportunity_id%3=0)
-SELECT * FROM a UNION ALL SELECT lower(trim(opportunity_name)), opportunity_id, account_id, amount, stage_name, close_date, 'CRM B' FROM staging_b_opportunities WHERE lower(trim(opportunity_name)) NOT IN (SELECT match_name FROM a)
-""")
-oracle("merged_accounts", """
-WITH a AS (SELECT lower(trim(account_name)) AS match_name, account_id, industry, annual_revenue, employee_count, segment, 'CRM A' AS source FROM staging_accounts WHERE account_id%2=0)
-SELECT * FROM a UNION ALL SELECT lower(trim(account_name)), account_id, industry, annual_revenue, employee_count, segment, 'CRM B' FROM staging_b_accounts WHERE lower(trim(account_name)) NOT IN (SELECT match_name FROM a)
-""")
+MERGED = lambda a, b, name, key, cols: f"""
+WITH a AS (SELECT lower(trim({name})) AS match_name, {cols}, 'CRM A' AS source FROM {a}), b AS (SELECT lower(trim({name})) AS match_name, {cols}, 'CRM B' AS source FROM {b})
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {" AND ".join(f"a.{k} = b.{k}" for k in key)})
+"""
+oracle("merged_opportunities", MERGED("staging_opportunities", "staging_b_opportunities", "opportunity_name", ["match_name", "account_id"], "opportunity_id, account_id, amount, stage_name, close_date"))
+oracle("merged_accounts", MERGED("staging_accounts", "staging_b_accounts", "account_name", ["match_name"], "account_id, industry, annual_revenue, employee_count, segment"))
 oracle("masked_contacts", """SELECT contact_id, account_id, title, department, sha256(lower(email)) AS email_hash, '***' || substr(email, strpos(email,'@')) AS email_masked, '+1-555-***' || right(phone,4) AS phone_masked, left(first_name,1) || '. ' || left(last_name,1) || '.' AS name_masked FROM staging_contacts""")
 oracle("recent_product_events", "SELECT * FROM product_events WHERE event_timestamp >= ($AS_OF - 30)::TIMESTAMP AND event_timestamp < ($AS_OF + 1)::TIMESTAMP")
 oracle("contact_rule_violations", f"""

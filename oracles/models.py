@@ -89,12 +89,12 @@ RULES = [("quiet>14", "REACTIVATE_STALE", "85+least(quiet-14,10)", "'No activity
          ("month(close_date) IN (3,6,9,12) AND dleft<=14 AND stage_name IN ('Proposal','Negotiation','Verbal Commit')", "QUARTER_END_PUSH", "95", "'Quarter ending soon with deal in late stage'", "timing", "critical"),
          ("amount>100000 AND stage_name IN ('Solution Design','Proposal')", "EXECUTIVE_SPONSOR", "90", "'Large deal may benefit from executive involvement'", "strategy", "high"),
          ("dleft<0", "UPDATE_CLOSE_DATE", "60", "'Close date is ' || (-dleft) || ' days past due'", "hygiene", "low"),
-         ("primary_alert='MISSING_NEXT_STEPS'", "ADD_NEXT_STEP", "65", "'No next step defined'", "hygiene", "low"),
+         ("is_missing_next_steps", "ADD_NEXT_STEP", "65", "'No next step defined'", "hygiene", "low"),
          ("stage_name='Solution Design' AND met>=2", "SEND_PROPOSAL", "85", "'Deal ready to advance to proposal stage'", "progression", "high")]
 oracle("deal_recommendations", f"""
-WITH d AS (SELECT o.opportunity_id, opportunity_name, account_id, o.account_name, o.owner_id, o.amount, o.stage_name, o.close_date, contact_name, engagement_score, primary_alert, coalesce(($AS_OF-lt)::INT,999) AS quiet, (o.close_date-$AS_OF)::INT AS dleft, coalesce(m,0) AS met
+WITH d AS (SELECT o.opportunity_id, opportunity_name, account_id, o.account_name, o.owner_id, o.amount, o.stage_name, o.close_date, contact_name, engagement_score, is_missing_next_steps, coalesce(($AS_OF-lt)::INT,999) AS quiet, (o.close_date-$AS_OF)::INT AS dleft, coalesce(m,0) AS met
  FROM (SELECT * FROM opportunities WHERE NOT is_closed) o LEFT JOIN (SELECT opportunity_id, engagement_score FROM deal_scores) s USING (opportunity_id) LEFT JOIN (SELECT opportunity_id, max(activity_date) AS lt, {N("activity_type='Meeting'")} AS m FROM activities GROUP BY 1) t USING (opportunity_id)
- LEFT JOIN (SELECT opportunity_id, primary_alert FROM pipeline_hygiene_alerts) h USING (opportunity_id) LEFT JOIN (SELECT account_id, first_name || ' ' || last_name AS contact_name FROM contacts WHERE is_primary) c USING (account_id))
+ LEFT JOIN (SELECT opportunity_id, is_missing_next_steps FROM pipeline_hygiene_alerts) h USING (opportunity_id) LEFT JOIN (SELECT account_id, first_name || ' ' || last_name AS contact_name FROM contacts WHERE is_primary) c USING (account_id))
 {" UNION ALL ".join(f"SELECT opportunity_id, opportunity_name, account_id, account_name, owner_id, amount, stage_name, contact_name, '{a}' AS action_type, ({p})::INT AS priority, {t} AS reason, '{c}' AS category, '{i}' AS impact, $AS_OF AS generated_at FROM d WHERE {w}" for w, a, p, t, c, i in RULES)}
 """)
 oracle("rep_recommendations", f"""

@@ -22,7 +22,7 @@ UNION ALL SELECT customer_id, dataset_path, domain, run_id, 'QUALITY_ALERT', 'wa
 UNION ALL SELECT customer_id, dataset_path, domain, run_id, 'DATASET_STALE', alert_level, 'Dataset is ' || round((age_hours::DOUBLE)::VARCHAR::DECIMAL(38,18),1)::DECIMAL(18,1) || ' hours old', '{"alert_level":"' || alert_level || '"}', true, 'TRIGGER_REBUILD' FROM stale_datasets)
 SELECT *, md5(customer_id || '|' || dataset_path || '|' || event_type) AS event_id, $AS_OF AS event_ts, CASE severity WHEN 'critical' THEN 100 WHEN 'warning' THEN 50 WHEN 'info' THEN 10 ELSE 0 END AS priority_score, 'pending' AS action_status FROM e
 """)
-oracle("ops_agent_queue", f"SELECT * EXCLUDE (requires_action, run_id), {M('suggested_action', {'TRIGGER_REBUILD': 15, 'CHECK_UPSTREAM_DATA': 30, 'OPTIMIZE_TRANSFORM': 60, 'REVIEW_DATA_QUALITY': 45}, 30)} AS estimated_resolution_min, (row_number() OVER (ORDER BY priority_score DESC, event_id DESC))::INT AS queue_position FROM pipeline_events WHERE requires_action")
+oracle("ops_agent_queue", f"SELECT * EXCLUDE (requires_action, run_id), {M('suggested_action', {'TRIGGER_REBUILD': 15, 'CHECK_UPSTREAM_DATA': 30, 'OPTIMIZE_TRANSFORM': 60, 'REVIEW_DATA_QUALITY': 45}, 30)} AS estimated_resolution_min, (row_number() OVER (ORDER BY priority_score DESC, event_id DESC))::BIGINT AS queue_position FROM pipeline_events WHERE requires_action")
 oracle("tenant_alert_thresholds", "SELECT customer_id, CASE customer_id%3 WHEN 0 THEN 0.10 WHEN 1 THEN 0.50 ELSE 0.75 END AS stale_pct_threshold, CASE WHEN customer_id%2=0 THEN 0.90 ELSE 0.97 END AS data_quality_threshold, CASE WHEN customer_id%4=0 THEN 60 ELSE 600 END AS sync_delay_threshold FROM tenant_settings")
 oracle("previous_alerts", f"""SELECT customer_id, alert_type, triggered_at, 'warning' AS severity, NULL::DOUBLE AS metric_value, NULL::DOUBLE AS threshold, 'stored' AS message, false AS is_resolved, NULL::TIMESTAMP AS resolved_at FROM (SELECT customer_id, 'stale_pipeline' AS alert_type, {END} - INTERVAL 30 MINUTE AS triggered_at FROM tenant_settings WHERE customer_id%3=0
  UNION ALL SELECT customer_id, 'sync_delay', {END} - INTERVAL 30 HOUR FROM tenant_settings WHERE customer_id%5=0)""")

@@ -6,7 +6,7 @@ CLOSED = "stage_name IN ('Closed Won','Closed Lost')"
 oracle("rep_performance", f"""
 SELECT rep_id, rep_name, email, manager_name, region, segment, role, tenure_months, ytd_attainment, win_rate, avg_stakeholders, avg_sales_cycle_days, current_pipeline, pipeline_coverage, deals_in_pipeline,
  activities_this_month, {RD('won_deals/total_closed', 2)} AS calculated_win_rate, avg_stakeholders_won, avg_stakeholders_lost, won_deals, lost_deals, won_revenue,
- (rank() OVER (ORDER BY win_rate DESC))::INT AS overall_rank, (rank() OVER (PARTITION BY segment ORDER BY win_rate DESC))::INT AS segment_rank, t_win AS team_avg_win_rate, t_st AS team_avg_stakeholders,
+ rank() OVER (ORDER BY win_rate DESC) AS overall_rank, rank() OVER (PARTITION BY segment ORDER BY win_rate DESC) AS segment_rank, t_win AS team_avg_win_rate, t_st AS team_avg_stakeholders,
  round(win_rate-t_win,3) AS win_rate_vs_team, round(avg_stakeholders-t_st,1) AS stakeholders_vs_team, round(avg_sales_cycle_days-t_cycle,0) AS cycle_vs_team,
  {L("ytd_attainment", ">=", [(1.1, "Top Performer"), (0.9, "On Track"), (0.7, "Needs Improvement")], "At Risk")} AS performance_tier,
  CASE WHEN avg_stakeholders<2 THEN 'Multi-threading - Avg stakeholders below 2.0' WHEN win_rate<0.20 THEN 'Qualification - Win rate below 20%' WHEN avg_sales_cycle_days>t_cycle*1.3 THEN 'Deal velocity - Cycles 30%+ longer than team'

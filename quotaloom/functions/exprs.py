@@ -71,24 +71,27 @@ def exact_sum(x: ColumnLike, digits: int = 2, where: Column | None = None) -> Co
     """Order-independent sum of a fixed-point double; 0 when nothing matches.
 
     Summing scaled bigints gives the same bits whatever the partitioning or
-    task retries, which a plain double sum does not.  With more than two digits
-    the sum is kept in two limbs so that it cannot overflow on large tables.
+    task retries, which a plain double sum does not.  The sum is kept in two
+    limbs so that it cannot overflow on large tables.
     """
+    return F.coalesce(_limbs(_scaled(x, digits, where)), F.lit(0.0)) / F.lit(float(10**digits))
+
+
+def _scaled(x: ColumnLike, digits: int, where: Column | None) -> Column:
     scaled = F.round(c(x) * (10**digits)).cast("bigint")
-    if where is not None:
-        scaled = F.when(where, scaled)
-    if digits <= 2:
-        return F.coalesce(F.sum(scaled), F.lit(0)) / F.lit(float(10**digits))
-    high = F.coalesce(F.sum(F.floor(scaled / LIMB)), F.lit(0)).cast("double")
-    low = F.coalesce(F.sum(F.pmod(scaled, F.lit(LIMB))), F.lit(0)).cast("double")
-    return (high * float(LIMB) + low) / F.lit(float(10**digits))
+    return scaled if where is None else F.when(where, scaled)
+
+
+def _limbs(scaled: Column) -> Column:
+    """Sum of bigints as a double, of sums of their upper and lower parts; null of nothing."""
+    low = F.pmod(scaled, F.lit(LIMB))
+    high = F.sum(F.round((scaled - low) / LIMB).cast("bigint")).cast("double")
+    return high * float(LIMB) + F.sum(low).cast("double")
 
 
 def exact_avg(x: ColumnLike, digits: int = 2, where: Column | None = None) -> Column:
-    scaled = F.round(c(x) * (10**digits)).cast("bigint")
-    if where is not None:
-        scaled = F.when(where, scaled)
-    return F.try_divide(F.sum(scaled).cast("double"), F.count(scaled)) / F.lit(float(10**digits))
+    scaled = _scaled(x, digits, where)
+    return F.try_divide(_limbs(scaled), F.count(scaled)) / F.lit(float(10**digits))
 
 
 def ratio(num: ColumnLike, den: ColumnLike, scale: float | None = None, digits: int | None = None, empty=None) -> Column:

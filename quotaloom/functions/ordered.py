@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def next_time(df: DataFrame, key: str, time: str, tie: str, out: str) -> DataFrame:
-    """Time of the following row of the same key.
+def next_time(df: DataFrame, key: str, time: str, tie: str, out: str, carry: str | None = None) -> DataFrame:
+    """Time of the following row of the same key; with ``carry``, a struct of its time and that column.
 
     A plain ``lead`` sorts a whole key in one task.  Here the window covers one
     key and hour; the last row of an hour takes the first time of the key's next
     active hour from a (key, hour) summary, so a hot key spreads over its hours.
     """
     slot = ["_slot_day", "_slot_hour"]
+    seen = F.struct(time, carry) if carry else F.col(time)
+    first = F.min_by(seen, F.struct(time, tie)) if carry else F.min(time)
     dated = df.withColumns({"_slot_day": F.to_date(time), "_slot_hour": F.hour(time)})
     within = Window.partitionBy(key, *slot).orderBy(time, tie)
-    per_slot = dated.groupBy(key, *slot).agg(F.min(time).alias("_first"))
+    per_slot = dated.groupBy(key, *slot).agg(first.alias("_first"))
     following = per_slot.select(
         key, *slot, F.lead("_first").over(Window.partitionBy(key).orderBy(*slot)).alias("_next_slot_first")
     )
     return (
-        dated.withColumn("_in_slot", F.lead(time).over(within))
+        dated.withColumn("_in_slot", F.lead(seen).over(within))
         .join(following, [key, *slot], "left")
         .withColumn(out, F.coalesce("_in_slot", "_next_slot_first"))
         .drop(*slot, "_in_slot", "_next_slot_first")
@@ -53,7 +55,7 @@ def rank_from_counts(df: DataFrame, value: str, out: str, within: tuple[str, ...
         on = test if on is None else on & test
     return (
         ranked.join(start, on, "left")
-        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("int"))
+        .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_band", "_inside", "_before", *[f"_k_{k}" for k in keys])
     )
 
@@ -75,6 +77,6 @@ def number_from_counts(df: DataFrame, order: list[Column], out: str, grain: Colu
     numbered = banded.withColumn("_inside", inside)
     return (
         numbered.join(start, numbered["_band"].eqNullSafe(start["_start_band"]), "left")
-        .withColumn(out, (F.col("_before") + F.col("_inside")).cast("int"))
+        .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_band", "_inside", "_before", "_start_band")
     )

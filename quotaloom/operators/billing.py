@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, nvl, present, ratio, side_by_side, stack_rows, tally, under
+from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, in_quarter, nvl, present, ratio, side_by_side, stack_rows, tally, under
 from quotaloom.operators.commercial import up_to
 from quotaloom.plans.registry import job
 
@@ -367,6 +368,76 @@ def metric_rule_alerts(deal_health: DataFrame, quotas: DataFrame) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+# Alert rules of the operations guide: alert, metric, operator, threshold, severity, title, message.
+ALERT_RULES = (
+    ("stale_pipeline", "stale_deal_pct", ">", 0.10, "warning", "Stale Pipeline Alert", "Pipeline staleness at {value:.1%}, exceeds {threshold:.1%} threshold. {count} deals need attention."),
+    ("build_failure", "build_failed", "==", 1.0, "critical", "Build Failure", "Build {build_id} failed for dataset {dataset}. Error: {error}"),
+    ("data_quality_drop", "data_quality_score", "<", 0.90, "warning", "Data Quality Alert", "Data quality dropped to {value:.1%}, below {threshold:.1%} threshold."),
+    ("sync_delay", "sync_delay_minutes", ">", 60.0, "warning", "CRM Sync Delay", "CRM sync delayed by {value:.0f} minutes (threshold: {threshold:.0f}min)."),
+    ("health_critical", "critical_deal_count", ">", 5.0, "warning", "Critical Deals Alert", "{value:.0f} deals in critical health status, representing ${amount:,.0f} at risk."),
+    ("forecast_miss", "forecast_variance_pct", ">", 0.20, "warning", "Forecast Variance Alert", "Forecast variance at {value:.1%}, exceeds {threshold:.1%} tolerance."),
+    ("quota_at_risk", "quota_attainment_projected", "<", 0.80, "warning", "Quota Attainment Risk", "Projected quota attainment at {value:.1%}, below {threshold:.1%} threshold."),
+)
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A message template with its ``{name:format}`` places filled; formats are .1%, .0f and ,.0f."""
+    parts = []
+    for i, part in enumerate(re.split(r"\{([^}]*)\}", template)):
+        name, _, form = part.partition(":")
+        if i % 2 == 0:
+            parts.append(F.lit(part))
+        elif form == ".1%":
+            parts.append(F.format_string("%.1f%%", F.round(values[name] * 100, 1)))
+        elif form:
+            parts.append(F.format_string("%,.0f" if "," in form else "%.0f", F.round(values[name], 0)))
+        else:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
+@job
+def alert_rule_events(deal_health: DataFrame, build_log: DataFrame, data_quality_summary: DataFrame, sync_state: DataFrame, forecast_accuracy: DataFrame, quotas: DataFrame, *, as_of) -> DataFrame:
+    """The guide's rules on today's metrics: one row per rule, with its message where it fires.
+
+    Variance is that of the recommended forecast method, projected attainment what is won and committed this quarter.
+    """
+    live, now = ~F.col("is_closed"), F.date_add(F.lit(as_of), 1).cast("timestamp_ntz")
+    stale, critical = live & (F.col("days_since_activity") > 14), live & (F.col("health_category") == "Critical")
+    deals = deal_health.agg(
+        tally(live).alias("_live"), tally(stale).alias("_stale"), tally(critical).alias("_critical"), exact_sum("amount", where=critical).alias("_critical_amount"),
+        exact_sum("amount", where=in_quarter(as_of, "close_date") & (F.col("is_won") | (live & (F.col("forecast_category") == "Commit")))).alias("_projected"),
+    )
+    failed = build_log.filter((F.col("build_timestamp") > now - F.expr("INTERVAL 24 HOURS")) & (F.col("build_timestamp") < now) & (F.col("status") != "success"))
+    build = failed.agg(F.count("*").alias("_failed"), F.min_by(F.struct("build_id", "dataset_path", "error_message"), "build_id").alias("_build"))
+    behind = sync_state.agg(F.max(F.timestamp_diff("SECOND", F.col("last_success_at"), now) / 60).alias("_delay"))
+    quality = data_quality_summary.select(F.col("overall_score").alias("_quality"))
+    missed = forecast_accuracy.filter("recommended").agg(F.max(1 - F.col("avg_accuracy")).alias("_missed"))
+    goal = quotas.agg(exact_sum("quota_amount").alias("_quota"))
+    one = side_by_side(deals, build, behind, quality, missed, goal)
+    metrics = {
+        "stale_deal_pct": F.col("_stale") / F.greatest("_live", F.lit(1)), "build_failed": (F.col("_failed") > 0).cast("double"), "data_quality_score": F.col("_quality"),
+        "sync_delay_minutes": F.col("_delay"), "critical_deal_count": F.col("_critical").cast("double"), "forecast_variance_pct": F.col("_missed"),
+        "quota_attainment_projected": F.try_divide("_projected", "_quota"),
+    }
+    one = one.withColumns({m: F.round(v.cast("double"), 6) for m, v in metrics.items()})
+    compare = {">": lambda a, b: a > b, "<": lambda a, b: a < b, "==": lambda a, b: a == b}
+    rows = []
+    for alert, metric, op, threshold, severity, title, message in ALERT_RULES:
+        places = {
+            "value": F.col(metric), "threshold": F.lit(threshold), "count": F.col("_stale"), "amount": F.col("_critical_amount"),
+            "build_id": F.col("_build.build_id"), "dataset": F.col("_build.dataset_path"), "error": F.col("_build.error_message"),
+        }
+        fires = F.coalesce(compare[op](F.col(metric), F.lit(threshold)), F.lit(False))
+        rows.append(
+            F.struct(
+                F.lit(alert).alias("alert_type"), F.lit(metric).alias("metric_name"), F.col(metric).alias("metric_value"), F.lit(op).alias("operator"), F.lit(threshold).alias("threshold"),
+                F.lit(severity).alias("severity"), F.lit(title).alias("title"), fires.alias("triggered"), F.when(fires, filled(message, places)).alias("message"),
+            )
+        )
+    return one.select(F.inline(F.array(*rows)))
+
+
 # Currency of a region and its rate to the dollar.
 CURRENCY = {"US": "USD", "EU": "EUR", "UK": "GBP", "APAC": "SGD", "LATAM": "BRL", "GLOBAL": "USD"}
 RATES = {"USD": 1.0, "EUR": 0.92, "GBP": 0.79, "AUD": 1.53, "SGD": 1.34, "BRL": 4.97}

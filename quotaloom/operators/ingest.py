@@ -209,15 +209,16 @@ def staging_marketing_activities(crm_b_email_event: DataFrame) -> DataFrame:
     )
 
 
-def primary_source_wins(frames: list[tuple[int, str, DataFrame]], match: list[str], columns: list[str]) -> DataFrame:
-    """Deduplicated union of several sources; the lowest rank holding a key wins.
+def primary_source_wins(frames: list[tuple[str, DataFrame]], match: list[str], columns: list[str]) -> DataFrame:
+    """Union of several sources, the primary one first: a row gives way only to a row of an earlier source with equal keys.
 
-    The winner is a ``min_by`` aggregate, which combines map-side.
+    Rows of one source never collapse, and a row with a null key matches nothing.
     """
-    tagged = [df.select(*columns).withColumns({"_rank": F.lit(rank), "source": F.lit(name)}) for rank, name, df in frames]
-    rest = [c for c in columns if c not in match] + ["source"]
-    merged = reduce(DataFrame.unionByName, tagged)
-    return merged.groupBy(*match).agg(F.min_by(F.struct(*rest), F.struct("_rank", *rest)).alias("w")).select(*match, "w.*")
+    merged = None
+    for name, df in frames:
+        own = df.select(*columns).withColumn("source", F.lit(name))
+        merged = own if merged is None else merged.unionByName(own.join(merged.select(*match).distinct(), match, "left_anti"))
+    return merged
 
 
 @job
@@ -225,17 +226,17 @@ def merged_opportunities(staging_opportunities: DataFrame, staging_b_opportuniti
     """Both CRMs, A first, matched on the normalised deal name and account."""
     key = F.lower(F.trim("opportunity_name"))
     cols = ["match_name", "opportunity_id", "account_id", "amount", "stage_name", "close_date"]
-    a = staging_opportunities.filter("opportunity_id % 3 = 0").withColumn("match_name", key)
-    b = staging_b_opportunities.withColumn("match_name", key)
-    return primary_source_wins([(1, "CRM A", a), (2, "CRM B", b)], ["match_name"], cols)
+    frames = [("CRM A", staging_opportunities), ("CRM B", staging_b_opportunities)]
+    return primary_source_wins([(n, df.withColumn("match_name", key)) for n, df in frames], ["match_name", "account_id"], cols)
 
 
 @job
 def merged_accounts(staging_accounts: DataFrame, staging_b_accounts: DataFrame) -> DataFrame:
+    """Both CRMs, A first, matched on the normalised account name."""
     key = F.lower(F.trim("account_name"))
     cols = ["match_name", "account_id", "industry", "annual_revenue", "employee_count", "segment"]
-    a = staging_accounts.filter("account_id % 2 = 0").withColumn("match_name", key)
-    return primary_source_wins([(1, "CRM A", a), (2, "CRM B", staging_b_accounts.withColumn("match_name", key))], ["match_name"], cols)
+    frames = [("CRM A", staging_accounts), ("CRM B", staging_b_accounts)]
+    return primary_source_wins([(n, df.withColumn("match_name", key)) for n, df in frames], ["match_name"], cols)
 
 
 @job

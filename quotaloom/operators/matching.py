@@ -34,18 +34,23 @@ def shortened(name: str) -> Column:
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Best near-equal partner of each left row; both sides have (id, name)."""
-    a = left.filter(F.length("name") > 0).select("id", "name", F.explode(shortened("name")).alias("part"))
-    b = right.filter(F.length("name") > 0).select(F.col("id").alias("other_id"), F.col("name").alias("other"), F.explode(shortened("name")).alias("part"))
+    """Best near-equal partner of each left row; both sides have (id, name).
+
+    Distinct names are compared, so equal names never meet row by row; the smallest id stands for a name on the right.
+    """
+    a = left.filter(F.length("name") > 0).select("name").distinct().select("name", F.explode(shortened("name")).alias("part"))
+    names = right.filter(F.length("name") > 0).groupBy("name").agg(F.min("id").alias("other_id"))
+    b = names.select("other_id", F.col("name").alias("other"), F.explode(shortened("name")).alias("part"))
     similarity = 1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other"))
-    return (
+    best = (
         a.join(b, "part")
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") > SIMILARITY)
-        .groupBy("id")
+        .groupBy("name")
         .agg(F.max(F.struct("similarity", (-F.col("other_id")).alias("neg"))).alias("m"))
-        .select("id", (-F.col("m.neg")).alias("other_id"), F.round("m.similarity", 6).alias("similarity"))
+        .select("name", (-F.col("m.neg")).alias("other_id"), F.round("m.similarity", 6).alias("similarity"))
     )
+    return left.join(best, "name").select("id", "other_id", "similarity")
 
 
 @job
@@ -57,7 +62,7 @@ def account_matches(crm_b_company: DataFrame, accounts: DataFrame) -> DataFrame:
         k.alias("id"), F.when(k % 3 == 0, typo).when(k % 7 == 0, F.concat(F.lit("other "), k.cast("string"))).otherwise(F.lower("name")).alias("name"),
         F.when(k % 2 == 0, F.col("website")).alias("domain"), F.when(k % 5 == 0, k).alias("manual_id"),
     )
-    by_domain = accounts.select("domain", F.col("account_id").alias("domain_id"))
+    by_domain = accounts.groupBy("domain").agg(F.min("account_id").alias("domain_id"))
     near = near_names(company.select("id", "name"), accounts.select(F.col("account_id").alias("id"), F.lower("account_name").alias("name")))
     by_name = near.select("id", F.col("other_id").alias("name_id"), "similarity")
     found = cases([(F.col("domain_id").isNotNull(), "domain"), (F.col("name_id").isNotNull(), "name"), (F.col("manual_id").isNotNull(), "manual")], "none")

@@ -349,13 +349,14 @@ def deal_recommendations(opportunities: DataFrame, activities: DataFrame, contac
     touches = activities.filter(F.col("opportunity_id").isNotNull()).groupBy("opportunity_id").agg(
         F.max("activity_date").alias("last_touch"), tally(F.col("activity_type") == "Meeting").alias("meetings")
     )
-    people = contacts.filter("is_primary").select("account_id", F.concat_ws(" ", "first_name", "last_name").alias("contact_name"))
+    name = F.concat_ws(" ", "first_name", "last_name")
+    people = contacts.filter("is_primary").groupBy("account_id").agg(F.min_by(name, "contact_id").alias("contact_name"))  # one of several
     deals = (
         opportunities.filter(~F.col("is_closed"))
         .select("opportunity_id", "opportunity_name", "account_id", "account_name", "owner_id", "amount", "stage_name", "close_date")
         .join(deal_scores.select("opportunity_id", "engagement_score"), "opportunity_id", "left")
         .join(touches, "opportunity_id", "left")
-        .join(pipeline_hygiene_alerts.select("opportunity_id", "primary_alert"), "opportunity_id", "left")
+        .join(pipeline_hygiene_alerts.select("opportunity_id", "is_missing_next_steps"), "opportunity_id", "left")
         .join(people, "account_id", "left")
         .withColumns({"_quiet": nvl(age_days(as_of, "last_touch"), 999), "_left": days_ahead(as_of, "close_date"), "_met": nvl("meetings", 0)})
     )
@@ -376,7 +377,7 @@ def deal_recommendations(opportunities: DataFrame, activities: DataFrame, contac
         ),
         rule((amount > 100000) & stage.isin("Solution Design", "Proposal"), "EXECUTIVE_SPONSOR", 90, "Large deal may benefit from executive involvement"),
         rule(left < 0, "UPDATE_CLOSE_DATE", 60, F.format_string("Close date is %d days past due", -left)),
-        rule(F.col("primary_alert") == "MISSING_NEXT_STEPS", "ADD_NEXT_STEP", 65, "No next step defined"),
+        rule(F.col("is_missing_next_steps"), "ADD_NEXT_STEP", 65, "No next step defined"),
         rule((stage == "Solution Design") & (met >= 2), "SEND_PROPOSAL", 85, "Deal ready to advance to proposal stage"),
     ]
     keep = ["opportunity_id", "opportunity_name", "account_id", "account_name", "owner_id", "amount", "stage_name", "contact_name"]

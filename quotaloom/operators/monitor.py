@@ -138,8 +138,8 @@ def pipeline_events(build_metrics: DataFrame, stale_datasets: DataFrame, *, as_o
 def ops_agent_queue(pipeline_events: DataFrame) -> DataFrame:
     minutes = {"TRIGGER_REBUILD": 15, "CHECK_UPSTREAM_DATA": 30, "OPTIMIZE_TRANSFORM": 60, "REVIEW_DATA_QUALITY": 45}
     queue = pipeline_events.filter("requires_action").drop("requires_action", "run_id").withColumn("estimated_resolution_min", by_value("suggested_action", minutes, 30))
-    # The first hash digits split a severity into bands, so no band is numbered in one task alone.
-    grain = F.struct("priority_score", F.substring("event_id", 1, 2))
+    # The first hash digits split a severity into 65,536 bands, so no band is numbered in one task alone.
+    grain = F.struct("priority_score", F.substring("event_id", 1, 4))
     return number_from_counts(queue, [F.desc("priority_score"), F.desc("event_id")], "queue_position", grain)
 
 

@@ -60,21 +60,18 @@ def product_usage(product_events: DataFrame) -> DataFrame:
 def active_users_calendar(product_events: DataFrame) -> DataFrame:
     """True distinct users over 7 and 30 calendar days, per account and day.
 
-    Each (account, user, day) is carried to the days it counts for, so distinct
-    counting needs no window over raw events.
+    An active day counts from that day until the user's next active day or the window's end: +1 where that span starts
+    and -1 where it ends, summed per account and day, then along the account's days.
     """
     seen = product_events.select("account_id", "user_id", F.to_date("event_timestamp").alias("day")).distinct()
-    days = seen.select("account_id", F.col("day").alias("usage_date")).distinct()
-    spread = seen.select(
-        "account_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("lag"), "day"
-    ).select("account_id", "user_id", F.date_add("day", F.col("lag")).alias("usage_date"), "lag")
-    return (
-        spread.groupBy("account_id", "usage_date", "user_id")
-        .agg(F.min("lag").alias("lag"))
-        .groupBy("account_id", "usage_date")
-        .agg(tally(F.col("lag") <= 6).alias("true_wau"), F.count("*").alias("true_mau"))
-        .join(days, ["account_id", "usage_date"], "left_semi")
-    )
+    following = F.lead("day").over(Window.partitionBy("account_id", "user_id").orderBy("day"))
+    until = lambda days: F.least(F.date_add("day", days), F.coalesce("_next", F.date_add("day", days)))
+    step = lambda day, week, month, use: F.struct(day.alias("usage_date"), F.lit(week).alias("week"), F.lit(month).alias("month"), F.lit(use).alias("use"))
+    steps = seen.withColumn("_next", following).select("account_id", F.inline(F.array(step(F.col("day"), 1, 1, 1), step(until(7), -1, 0, 0), step(until(30), 0, -1, 0))))
+    along = Window.partitionBy("account_id").orderBy("usage_date")
+    daily = steps.groupBy("account_id", "usage_date").agg(F.sum("week").alias("week"), F.sum("month").alias("month"), F.sum("use").alias("use"))
+    running = daily.select("account_id", "usage_date", F.sum("week").over(along).alias("true_wau"), F.sum("month").over(along).alias("true_mau"), "use")
+    return running.filter("use > 0").drop("use")
 
 
 @job

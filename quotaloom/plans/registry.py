@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 JOBS: dict[str, Callable[..., DataFrame]] = {}
 
 ORDER_AS_OF = dt.date(2001, 12, 31)
+#: What most dashboards start from, in the order of their dependencies.
+SHARED = ("opportunities", "deal_health", "activities", "sales_reps", "build_metrics", "pipeline_events", "agent_decisions", "win_probability_scores")
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -51,6 +53,21 @@ class Tables(Mapping[str, DataFrame]):
                 args[p.name] = self[p.name]
         return fn(**args)
 
+    def materialise(self, path: str, names: tuple[str, ...] = SHARED) -> None:
+        """Write the named tables once, in this order, and read them from there on; later ones build on earlier ones.
+
+        ``path`` is a folder that all executors share.
+        """
+        for name in names:
+            df = self[name]
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            self._known[name] = self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, root: str | None = None, as_of: dt.date = ORDER_AS_OF, names: tuple[str, ...] = SHARED) -> Tables:
+        """Tables that start from what ``materialise`` wrote."""
+        return cls(spark, root, as_of, {name: spark.read.parquet(f"{path}/{name}") for name in names})
+
     def __iter__(self):
         return iter({**JOBS, **self._known})
 

@@ -123,6 +123,26 @@ REPORTS = {
     "sql_user_access": Report("SELECT build_id, dataset_path, build_timestamp FROM {build_log} WHERE customer_id = :user AND build_timestamp > CAST(:now AS TIMESTAMP_NTZ) - INTERVAL 30 DAYS", ("build_log",), ("user", "now")),
     "sql_forecast_snapshots": Report("SELECT snapshot_date, closed_won, commit_amount, ai_forecast, target FROM {forecast_history} WHERE snapshot_date >= date_sub(:today, 180)", ("forecast_history",), ("today",)),
     "sql_rep_attainment_list": Report("SELECT rep_name, quota, closed_won, commit, attainment FROM {rep_attainment}", ("rep_attainment",)),
+    "sql_rep_leaderboard": Report(
+        "SELECT rep_name, region, round(ytd_attainment * 100, 0) AS attainment_pct, round(win_rate * 100, 0) AS win_rate_pct, avg_stakeholders, avg_sales_cycle_days, current_pipeline FROM {sales_reps} ORDER BY ytd_attainment DESC, rep_id",
+        ("sales_reps",),
+    ),
+    "sql_month_quota_share": Report(
+        f"SELECT round(100D * {usd(where="stage_name = 'Closed Won'")} / nullif((SELECT {usd('quota_amount')} FROM {{quotas}}), 0), 2) AS attainment_pct FROM {{deal_health}} WHERE close_date >= date_trunc('month', :today) AND close_date <= :today",
+        ("deal_health", "quotas"), ("today",),
+    ),
+    "sql_recently_updated_deals": Report(
+        f"SELECT opportunity_id, opportunity_name, account_name, stage_name, amount, close_date, owner_name, last_modified_date FROM {{staging_opportunities}} WHERE {OPEN} ORDER BY last_modified_date DESC, opportunity_id LIMIT 10",
+        ("staging_opportunities",),
+    ),
+    "sql_commit_change": Report(
+        "SELECT snapshot_date, commit_amount, previous, commit_amount - previous AS change FROM (SELECT snapshot_date, commit_amount, lag(commit_amount) OVER (ORDER BY snapshot_date) AS previous FROM {forecast_history}) ORDER BY snapshot_date DESC LIMIT 1",
+        ("forecast_history",),
+    ),
+    "sql_week_build_success": Report(
+        "SELECT customer_id, count(*) AS builds, round(count_if(status = 'success') / count(*), 4) AS build_success_rate FROM {build_log} WHERE build_timestamp > CAST(:now AS TIMESTAMP_NTZ) - INTERVAL 7 DAYS AND build_timestamp < CAST(:now AS TIMESTAMP_NTZ) GROUP BY customer_id",
+        ("build_log",), ("now",),
+    ),
     "sql_contract_violations": Report("SELECT table, field, rule, violations FROM {contract_violations} WHERE violations > 0", ("contract_violations",)),
 }
 

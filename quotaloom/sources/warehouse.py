@@ -277,11 +277,11 @@ def leads(events: DataFrame) -> DataFrame:
 
 
 @job
-def lead_touches(leads: DataFrame, events: DataFrame) -> DataFrame:
+def lead_touches(events: DataFrame) -> DataFrame:
     """The event that answered a lead."""
-    answer = events.select("user_id", F.col("ts").alias("first_response_date"), by_value("event_type", ACTIVITY_TYPES, "Task").alias("activity_type"))
-    return leads.select("lead_id", "user_id", "first_response_date").join(answer, ["user_id", "first_response_date"]).select(
-        "lead_id", "user_id", F.col("first_response_date").alias("activity_date"), "activity_type"
+    timed = next_time(events, "user_id", "ts", "event_id", "answer", "event_type")
+    return timed.filter("event_type = 'signup' AND answer IS NOT NULL").select(
+        F.col("event_id").alias("lead_id"), "user_id", F.col("answer.ts").alias("activity_date"), by_value("answer.event_type", ACTIVITY_TYPES, "Task").alias("activity_type")
     )
 
 

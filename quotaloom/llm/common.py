@@ -76,6 +76,32 @@ def slices(texts: Sequence[str], chars: int = 1 << 19) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+class Forest:
+    """Union-find over the nodes of one task's block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart; the smaller root stays."""
+        a, b = sorted((self.root(a), self.root(b)))
+        self.parent[b] = a
+        return a != b
+
+    def stars(self) -> pa.Table:
+        """(a, b): each node b with the smallest node a of its tree."""
+        links = [(r, x) for x in list(self.parent) if (r := self.root(x)) != x]
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable from each node of the undirected ``edges``.
 
@@ -92,7 +118,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = cur.join(least.withColumnRenamed("x", "lo"), "lo").select(F.col("hi").alias("x"), F.col("m").alias("y"))
         # small star: every smaller neighbour of x, and x, link to the smallest of them
-        large = large.where("x > y").distinct()
+        large = large.where("x > y")
         low = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(low, "x").select(F.explode(F.array(F.struct(F.col("y").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("x").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         cur = store(small.select("e.lo", "e.hi").where("lo < hi").distinct(), name)

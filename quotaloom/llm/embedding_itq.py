@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, col, components, store
+from .common import Forest, arrow_pass, col, components, store
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -82,24 +82,16 @@ def in_block(cosine: float):
         new = ~(codes[i] == codes[j]).any(1)  # a pair counts in the first table where it meets
         i, j = i[new], j[new]
         links = np.bincount(i, n[j], len(h)) + np.bincount(j, n[i], len(h))
-        parent = np.arange(len(h))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        joined = []
-        for p, q in zip(i.tolist(), j.tolist()):
-            u, v = root(p), root(q)
-            if u != v:
-                parent[u] = v
-                joined.append((p, q))
+        forest = Forest()
+        for p, q in zip(h[i].tolist(), h[j].tolist()):
+            forest.join(p, q)
+        stars = forest.stars()
         some = np.flatnonzero(links)
-        p, q = np.array(joined, np.int64).reshape(-1, 2).T
-        none = pa.nulls(len(some), pa.int64())
-        return pa.table({"h": pa.array(np.r_[h[some], h[p]]), "links": pa.array(np.r_[links[some].astype(np.int64), np.zeros(len(p), np.int64)]), "other": pa.concat_arrays([none, pa.array(h[q])])})
+        columns = {
+            "h": pa.chunked_array([pa.array(h[some]), *stars.column("a").chunks]), "links": pa.array(np.r_[links[some].astype(np.int64), np.zeros(len(stars), np.int64)]),
+            "other": pa.chunked_array([pa.nulls(len(some), pa.int64()), *stars.column("b").chunks]),
+        }
+        return pa.table(columns)
 
     return run
 

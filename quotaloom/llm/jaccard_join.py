@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, IntegralType, LongType, StructField, StructType
 
-from .common import arrow_pass, col, components, slices, store, strings
+from .common import Forest, arrow_pass, col, components, slices, store, strings
 from .hashing import U, mix, shingles, word_hashes
 
 #: Tokens a task holds before it counts which of them repeat.
@@ -165,45 +165,33 @@ def other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) that join the pairs whose texts are similar enough.
 
-    Sets that candidate pairs connect are placed in blocks of about ``block``; a text goes once to each pair of blocks in
-    which it has candidates, not to every pair, and what is connected there already isn't compared again.
+    Each set goes to a cluster named after the smallest of itself and its candidates, clusters to blocks of about
+    ``block`` sets.  A text goes once to each pair of blocks in which it has candidates, not to every pair, and what is
+    connected there already isn't compared again.
     """
-    connected = components(pairs, name="jaccard-connected").withColumnRenamed("node", "s")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("ka").alias("key")), F.struct(F.col("b").alias("s"), F.col("kb").alias("key")))).alias("e")).select("e.*").distinct()
-    placed = store(ends.join(connected, "s"), "jaccard-ends")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("ka").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("s"), F.col("kb").alias("key"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    placed = store(both.groupBy("s", "key").agg(F.least("s", F.min("other")).alias("cluster")), "jaccard-ends")
     buckets = max(1, -(-placed.count() // block))
-    large = placed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
-    part = F.coalesce(F.pmod(F.xxhash64("s"), "parts").cast("int"), F.lit(0))
-    placed = store(placed.join(large, "component", "left").select("s", "key", F.pmod(F.xxhash64("component"), F.lit(buckets)).alias("bucket"), part.alias("part")), "jaccard-placed")
-    x, y = placed.select(F.col("s").alias("a"), "bucket", F.col("part").alias("pa")), placed.select(F.col("s").alias("b"), F.col("part").alias("pb"))
-    where = ["bucket", "lo", "hi"]
-    pairs = store(pairs.join(x, "a").join(y, "b").select("a", "b", "bucket", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")), "jaccard-placed-pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("s"), *where).distinct().join(placed.select("s", "key"), "s")
-    own = [F.col(c).alias(f"own_{c}") for c in where]
-    texts = docs.select("key", "text").join(members.select("s", "key", *own), "key").select("s", *(f"own_{c}" for c in where), "text")
+    large = placed.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("s"), "parts"), F.lit(0))
+    placed = store(placed.join(large, "cluster", "left").select("s", "key", (F.pmod(F.xxhash64("cluster"), F.lit(buckets)) + part * buckets).alias("block")), "jaccard-placed")
+    x, y = placed.select(F.col("s").alias("a"), F.col("block").alias("pa")), placed.select(F.col("s").alias("b"), F.col("block").alias("pb"))
+    pairs = store(pairs.join(x, "a").join(y, "b").select("a", "b", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")), "jaccard-placed-pairs")
+    members = pairs.select(F.explode(F.array("a", "b")).alias("s"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi")).distinct().join(placed.select("s", "key"), "s")
+    texts = docs.select("key", "text").join(members, "key").select("s", "own_lo", "own_hi", "text")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sets: dict[int, np.ndarray] = {}
         for s, tokens in zip(left.column("s").to_pylist(), token_sets(strings(left), k)):
             if signature(tokens) == s:  # else another text under a repeated id
                 sets[s] = tokens
-        parent, edges = {s: s for s in sets}, []
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        forest = Forest()
         for a, b in zip(right.column("a").to_pylist(), right.column("b").to_pylist()):
-            p, q = root(a), root(b)
-            if p != q and linked(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]), percent):
-                parent[p] = q
-                edges.append((a, b))
-        a, b = zip(*edges) if edges else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if forest.root(a) != forest.root(b) and linked(len(np.intersect1d(sets[a], sets[b], assume_unique=True)), len(sets[a]), len(sets[b]), percent):
+                forest.join(a, b)
+        return forest.stars()
 
-    return texts.groupBy(*(f"own_{c}" for c in where)).cogroup(pairs.groupBy(*where)).applyInArrow(run, "a long, b long")
+    return texts.groupBy("own_lo", "own_hi").cogroup(pairs.groupBy("lo", "hi")).applyInArrow(run, "a long, b long")
 
 
 def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -219,15 +207,7 @@ def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
         size = np.array([len(x) for x in sets])
         vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
         start = np.r_[0, np.cumsum(size)]
-        parent = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        mark, edges = np.zeros(len(vocabulary), np.int64), []
+        mark, forest = np.zeros(len(vocabulary), np.int64), Forest()
         diagonal = not side.any()
         for i in range(len(ids)):
             if not diagonal and side[i]:
@@ -241,12 +221,8 @@ def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
             if not diagonal:
                 near &= side == 1
             for j in np.flatnonzero(near).tolist():
-                p, q = root(i), root(j)
-                if p != q:
-                    parent[p] = q
-                    edges.append((ids[i], ids[j]))
-        a, b = zip(*edges) if edges else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                forest.join(ids[i], ids[j])
+        return forest.stars()
 
     return run
 

@@ -129,5 +129,5 @@ oracle("sales_interventions", """
 SELECT 'DEC-' || o_orderkey AS decision_id, $AS_OF + (o_orderkey%10)::INT AS decision_date, CASE o_orderkey%4 WHEN 0 THEN 'Rep' WHEN 1 THEN 'Manager' WHEN 2 THEN 'VP' END AS actor_role, o_orderkey AS opportunity_id, 'ACT-' || o_orderkey AS action_id,
  CASE o_orderkey%5 WHEN 0 THEN 'Accept' WHEN 1 THEN 'Override' WHEN 2 THEN 'Defer' WHEN 3 THEN 'Escalate' END AS decision_type, (30+o_orderkey%40)::INT AS pre_health_score, (30+o_orderkey%40+o_orderkey%30-5)::INT AS post_health_score,
  o_totalprice*0.5 AS expected_impact_amount, o_totalprice*(o_orderkey%4)*0.25 AS realized_impact_amount, CASE o_orderkey%7 WHEN 0 THEN 'Won' WHEN 1 THEN 'Lost' WHEN 2 THEN 'Slip' ELSE 'Open' END AS result, CASE WHEN o_orderkey%11<>0 THEN 'Q4 2001' END AS quarter
-FROM orders WHERE o_orderstatus<>'F' AND o_orderkey%3=0
+FROM orders WHERE o_orderstatus<>'F'
 """)

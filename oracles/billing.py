@@ -6,7 +6,7 @@ oracle("subscriptions", """SELECT c_custkey AS tenant_id, CASE c_custkey%3 WHEN
  c_custkey%4=0 AS has_tax_id, $AS_OF - (c_custkey%300)::INT AS contract_start, ($AS_OF - (c_custkey%300)::INT + INTERVAL 12 MONTHS)::DATE AS contract_end, 12 AS term_months, c_custkey%7=0 AS cancel_at_period_end, CASE WHEN c_custkey%5=0 THEN $AS_OF + (c_custkey%10)::INT END AS trial_ends FROM customer""")
 oracle("subscription_add_ons", """SELECT tenant_id, add_on, (1+tenant_id%3)::INT AS quantity, CASE WHEN tenant_id%8=0 THEN $AS_OF - (tenant_id%60)::INT END AS deactivated_on FROM (SELECT c_custkey AS tenant_id, 'coaching_ai' AS add_on FROM customer WHERE c_custkey%4=0 UNION ALL SELECT c_custkey, 'data_export' FROM customer WHERE c_custkey%6=0 UNION ALL SELECT c_custkey, 'extra_workspace' FROM customer WHERE c_custkey%10=0)""")
 oracle("usage_records", f"""SELECT user_id AS tenant_id, {M("event_type", {"click": "ai_insight_credits", "view": "agent_actions", "purchase": "deals", "signup": "seats"}, "api_calls")} AS meter, floor(value)::BIGINT+1 AS quantity, ts - INTERVAL 8058 DAY AS used_at FROM events""")
-oracle("ramp_steps", """WITH c AS (SELECT c_custkey AS k, $AS_OF + (c_custkey%40-20)::INT AS t FROM customer WHERE c_custkey%3=0) SELECT k AS tenant_id, 1 AS step, (t - INTERVAL 6 MONTHS)::DATE AS start_date, t AS end_date, 'growth' AS plan_code, CASE WHEN k%2=0 THEN 1200.0 END AS price_override FROM c UNION ALL SELECT k, 2, t, (t + INTERVAL 6 MONTHS)::DATE, 'enterprise', CASE WHEN k%4=0 THEN 4200.0 END FROM c""")
+oracle("ramp_steps", """WITH c AS (SELECT c_custkey AS k, $AS_OF + (c_custkey%40-20)::INT AS t FROM customer) SELECT k AS tenant_id, 1 AS step, (t - INTERVAL 6 MONTHS)::DATE AS start_date, t AS end_date, 'growth' AS plan_code, CASE WHEN k%2=0 THEN 1200.0 END AS price_override FROM c UNION ALL SELECT k, 2, t, (t + INTERVAL 6 MONTHS)::DATE, 'enterprise', CASE WHEN k%4=0 THEN 4200.0 END FROM c""")
 _v = lambda x: "NULL" if x is None else (f"'{x}'" if isinstance(x, str) else str(x))
 oracle("plan_limits", "SELECT plan_code, meter, included::BIGINT AS included, cap_type, overage_price::DOUBLE AS overage_price FROM (VALUES " + ",".join("(" + ",".join(_v(c) for c in r) + ")" for r in PLAN_LIMITS) + ") t(plan_code, meter, included, cap_type, overage_price)")
 PP = "CASE WHEN billing_interval='annual' THEN CASE {p} WHEN 'starter' THEN 4990.0 WHEN 'growth' THEN 14990.0 ELSE 49990.0 END{a} ELSE CASE {p} WHEN 'starter' THEN 499.0 WHEN 'growth' THEN 1499.0 ELSE 4999.0 END{m} END"

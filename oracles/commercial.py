@@ -9,7 +9,7 @@ oracle("feature_events", f"""SELECT user_id AS customer_id, {M("event_type", {"c
 oracle("sync_log", f"""SELECT user_id AS customer_id, {M("event_type", {"click": "crm", "view": "support", "purchase": "marketing", "signup": "product"}, "crm")} AS sync_type, {M("event_id%6", {0: "crm_a", 1: "crm_b", 2: "helpdesk", 3: "warehouse", 4: "chat"}, "product")} AS source_system,
  CASE WHEN event_type='error' AND value>80 THEN 'failed' WHEN event_id%17=0 THEN 'warning' ELSE 'success' END AS status, {T} AS last_sync_at, event_id%2000 AS records_synced, event_id%20 AS records_failed FROM events""")
 oracle("agent_actions", f"""SELECT user_id AS customer_id, CASE WHEN event_id%9<>0 THEN 'rebuild' END AS action_type, {T} AS executed_at, CASE event_id%4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'accepted' WHEN 2 THEN 'rejected' END AS feedback, (1+event_id%5)::INT AS rating, CASE event_id%5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'success' END AS result FROM events WHERE event_type='purchase'""")
-oracle("go_live", "SELECT c_custkey AS customer_id, true AS go_live_approved, $AS_OF - (c_custkey%120)::INT AS go_live_date, c_custkey%8=0 AS cs_handoff_complete, 'CS ' || (c_custkey%6) AS cs_owner FROM customer WHERE c_custkey%4=0")
+oracle("go_live", "SELECT c_custkey AS customer_id, true AS go_live_approved, $AS_OF - (c_custkey%120)::INT AS go_live_date, c_custkey%8=0 AS cs_handoff_complete, 'CS ' || (c_custkey%6) AS cs_owner FROM customer")
 oracle("subscription_events", """SELECT o_custkey AS customer_id, o_orderdate::DATE AS event_date, o_orderkey AS event_seq, CASE WHEN o_orderkey%3=0 THEN 'annual' ELSE 'monthly' END AS billing_cycle, CASE o_orderkey%10 WHEN 0 THEN 'canceled' WHEN 1 THEN 'past_due' ELSE 'active' END AS subscription_status, o_orderdate::DATE AS started_at,
  date_trunc('month',o_orderdate)::DATE AS current_period_start, last_day(o_orderdate::DATE) AS current_period_end, o_orderkey%6=0 AS is_trial, CASE WHEN o_orderkey%6=0 THEN o_orderdate::DATE+14 END AS trial_ends_at, o_orderkey%9=0 AS cancel_at_period_end FROM orders""")
 oracle("webhook_configs", "SELECT c_custkey AS webhook_id, c_custkey AS customer_id, 'Hook ' || c_custkey AS name, c_custkey%5<>0 AS is_active, (c_custkey%13)::INT AS failure_count FROM customer")
@@ -65,7 +65,7 @@ k AS (SELECT *, CASE WHEN go_live_approved AND cs_handoff_complete THEN 5 WHEN o
 SELECT *, true AS workspace_created, true AS admin_user_added, {M("stage_order", {i + 1: s for i, s in enumerate(ST)})} AS current_stage, {M("stage_order", {i: s for i, s in enumerate(ST) if i})} AS next_stage, stage_order/5.0*100 AS completion_pct, ($AS_OF-onboarded_at)::INT AS days_in_stage, stage_order<5 AND $AS_OF-onboarded_at>14 AS is_blocked, $AS_OF AS evaluated_at FROM k
 """)
 oracle("implementation_history", """
-WITH p AS (SELECT customer_id, 'onboarding' AS stage FROM tenant_settings WHERE customer_id%2=0), m AS (SELECT customer_id, current_stage AS stage FROM implementation_status s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.customer_id=s.customer_id AND p.stage=s.current_stage))
+WITH p AS (SELECT customer_id, 'onboarding' AS stage FROM tenant_settings), m AS (SELECT customer_id, current_stage AS stage FROM implementation_status s WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.customer_id=s.customer_id AND p.stage=s.current_stage))
 SELECT customer_id, stage, $AS_OF - 20 AS entered_at, CASE WHEN customer_id IN (SELECT customer_id FROM m) THEN $AS_OF END AS exited_at, CASE WHEN customer_id IN (SELECT customer_id FROM m) THEN 20 END AS duration_days FROM p UNION ALL SELECT customer_id, stage, $AS_OF, NULL, NULL FROM m
 """)
 oracle("implementation_summary", f"""

@@ -30,6 +30,12 @@ n AS (SELECT opportunity_id, opportunity_name, CASE WHEN opportunity_id%10=5 THE
 x AS (SELECT * FROM n WHERE last_modified_date > (SELECT max(last_modified_date) FROM s))
 SELECT * FROM x UNION ALL SELECT * FROM s WHERE opportunity_id NOT IN (SELECT opportunity_id FROM x)
 """)
+oracle("synced_deals", """
+WITH f AS (SELECT account_id AS customer_id, opportunity_id AS deal_id, amount, stage_name, last_modified_date FROM staging_opportunities), s AS (SELECT *, $AS_OF - 365 AS synced_at FROM f WHERE last_modified_date <= $AS_OF - 365),
+x AS (SELECT customer_id, deal_id, CASE WHEN deal_id%10=5 THEN amount+1000 ELSE amount END AS amount, CASE WHEN deal_id%10=5 THEN 'Negotiation' ELSE stage_name END AS stage_name, CASE WHEN deal_id%10=5 THEN last_modified_date+3000 ELSE last_modified_date END AS last_modified_date, $AS_OF AS synced_at FROM f),
+y AS (SELECT * FROM x WHERE last_modified_date > (SELECT max(last_modified_date) FROM s))
+SELECT * FROM y UNION ALL SELECT * FROM s WHERE (customer_id, deal_id) NOT IN (SELECT (customer_id, deal_id) FROM y)
+""")
 OWN = "LEFT JOIN (SELECT s_suppkey AS owner_id, 'Rep ' || s_suppkey AS owner_name FROM supplier) w USING (owner_id)"
 CODE = {0: "Discovery", 1: "Solution Design", 2: "Proposal", 3: "Negotiation", 4: "Verbal Commit", 5: "Closed Won", 6: "Closed Lost"}
 oracle("staging_b_opportunities", f"""

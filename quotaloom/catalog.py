@@ -30,7 +30,7 @@ MODULES = (
 # Literal dimensions: inputs of jobs, not queries over the given tables.
 DIMENSIONS = {"stage_benchmarks", "plan_limits", "price_book"}
 # Raw feeds shaped from the given tables; the staging jobs over them are the queries.
-FEED_PREFIXES = ("crm_a_", "crm_b_")
+FEED_PREFIXES = ("crm_a_", "crm_b_", "stored_")
 
 
 def load() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -281,13 +282,9 @@ def stage_history(status: DataFrame, previous: DataFrame, as_of) -> DataFrame:
 
 
 @job
-def implementation_history(implementation_status: DataFrame, tenant_settings: DataFrame, *, as_of) -> DataFrame:
-    """History after one update; every second tenant had an open first-stage row before."""
-    before = tenant_settings.filter("customer_id % 2 = 0").select(
-        "customer_id", F.lit("onboarding").alias("stage"), F.date_sub(F.lit(as_of), 20).alias("entered_at"),
-        F.lit(None).cast("date").alias("exited_at"), F.lit(None).cast("int").alias("duration_days"),
-    )
-    return stage_history(implementation_status, before, as_of)
+def implementation_history(implementation_status: DataFrame, stored_stage_history: DataFrame, *, as_of) -> DataFrame:
+    """The stored history after one update."""
+    return stage_history(implementation_status, stored_stage_history, as_of)
 
 
 @job
@@ -456,13 +453,19 @@ def health_trends(current: DataFrame, previous: DataFrame, as_of) -> DataFrame:
 
 
 @job
-def tenant_health_trends(tenant_health_scores: DataFrame, *, as_of) -> DataFrame:
-    """Trend after one update; last week's scores differ by -6..6 points."""
-    before = tenant_health_scores.select(
+def stored_health_snapshots(tenant_health_scores: DataFrame, *, as_of) -> DataFrame:
+    """Snapshots as stored a week before ``as_of``; the scores differ from today's by -6..6 points."""
+    year, week, _ = (as_of - dt.timedelta(days=7)).isocalendar()
+    return tenant_health_scores.select(
         "customer_id", F.round(F.col("composite_score") - (F.col("customer_id") % 13 - 6), 6).alias("composite_score"), "health_status",
-        F.lit(2001).alias("year"), F.lit(52).alias("week_number"), F.date_sub(F.lit(as_of), 7).alias("snapshot_date"),
+        F.lit(year).alias("year"), F.lit(week).alias("week_number"), F.date_sub(F.lit(as_of), 7).alias("snapshot_date"),
     )
-    return health_trends(tenant_health_scores, before, as_of)
+
+
+@job
+def tenant_health_trends(tenant_health_scores: DataFrame, stored_health_snapshots: DataFrame, *, as_of) -> DataFrame:
+    """The stored weekly snapshots after one update."""
+    return health_trends(tenant_health_scores, stored_health_snapshots, as_of)
 
 
 def _closed_by_tenant(opportunities: DataFrame, tenants: DataFrame, days: int, as_of) -> DataFrame:

@@ -103,38 +103,33 @@ def staging_activities(crm_a_task: DataFrame, crm_a_event: DataFrame, crm_a_user
     return with_name(tasks.unionByName(meetings), crm_a_user, "owner_id", "Id", F.col("Name"), "owner_name")
 
 
-def newest_wins(existing: DataFrame, incoming: DataFrame, key: str, changed_at: str) -> DataFrame:
-    """Upsert: rows changed after the stored high-water mark replace the stored ones."""
+def newest_wins(existing: DataFrame, incoming: DataFrame, key: str | list[str], changed_at: str) -> DataFrame:
+    """Upsert: rows changed after the stored high-water mark replace the stored ones with the same key or keys."""
+    keys = [key] if isinstance(key, str) else key
     mark = existing.agg(F.max(changed_at)).scalar()
     fresh = incoming.filter(nvl(F.col(changed_at) > mark, True))
     old, new = existing.alias("e"), fresh.alias("n")
-    taken = F.col(f"n.{key}").isNotNull()
-    return old.join(new, F.col(f"e.{key}") == F.col(f"n.{key}"), "full_outer").select(
+    taken = F.col(f"n.{keys[0]}").isNotNull()
+    return old.join(new, reduce(Column.__and__, [F.col(f"e.{k}") == F.col(f"n.{k}") for k in keys]), "full_outer").select(
         *[F.when(taken, F.col(f"n.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in existing.columns]
     )
 
 
-@job
-def staging_opportunities_incremental(crm_a_opportunity: DataFrame) -> DataFrame:
-    """Stored rows modified up to 2000-12-31 upserted with everything changed since.
+CHANGING = ["opportunity_id", "opportunity_name", "amount", "stage_name", "last_modified_date"]
 
-    A tenth of the stored rows changes again (amount and stage) and is replaced.
-    """
-    feed = renamed(crm_a_opportunity, OPPORTUNITY_FIELDS).select("opportunity_id", "opportunity_name", "amount", "stage_name", "last_modified_date")
-    stored = feed.filter(F.col("last_modified_date") <= F.lit("2000-12-31").cast("date"))
-    again = F.col("opportunity_id") % 10 == 5
-    moved = feed.withColumns(
-        {
-            "amount": F.when(again, F.col("amount") + 1000).otherwise(F.col("amount")),
-            "stage_name": F.when(again, F.lit("Negotiation")).otherwise(F.col("stage_name")),
-            "last_modified_date": F.when(again, F.date_add("last_modified_date", 3000)).otherwise(F.col("last_modified_date")),
-        }
-    )
-    return newest_wins(stored, moved, "opportunity_id", "last_modified_date")
+
+@job
+def staging_opportunities_incremental(stored_opportunities: DataFrame, crm_a_opportunity_changes: DataFrame) -> DataFrame:
+    """The stored rows upserted with everything changed since."""
+    return newest_wins(stored_opportunities.select(*CHANGING), renamed(crm_a_opportunity_changes, OPPORTUNITY_FIELDS).select(*CHANGING), "opportunity_id", "last_modified_date")
 
 
-def _owner_name() -> Column:
-    return F.concat_ws(" ", "firstName", "lastName")
+@job
+def synced_deals(stored_opportunities: DataFrame, crm_a_opportunity_changes: DataFrame, *, as_of) -> DataFrame:
+    """Deals upserted on (customer_id, deal_id), with the day each row was synchronised."""
+    shape = lambda df, at: df.select(F.col("account_id").alias("customer_id"), F.col("opportunity_id").alias("deal_id"), "amount", "stage_name", "last_modified_date", at.alias("synced_at"))
+    stored, changes = shape(stored_opportunities, F.date_sub(F.lit(as_of), 365)), shape(renamed(crm_a_opportunity_changes, OPPORTUNITY_FIELDS), F.lit(as_of))
+    return newest_wins(stored, changes, ["customer_id", "deal_id"], "last_modified_date")
 
 
 @job

@@ -52,6 +52,25 @@ def crm_a_opportunity(orders: DataFrame) -> DataFrame:
     )
 
 
+@job
+def crm_a_opportunity_changes(crm_a_opportunity: DataFrame) -> DataFrame:
+    """The export again, later: every tenth deal has moved on."""
+    moved = F.col("Id") % 10 == 5
+    return crm_a_opportunity.withColumns(
+        {
+            "Amount": F.when(moved, F.col("Amount") + 1000).otherwise(F.col("Amount")), "StageName": F.when(moved, F.lit("Negotiation")).otherwise(F.col("StageName")),
+            "LastModifiedDate": F.when(moved, F.date_add("LastModifiedDate", 3000)).otherwise(F.col("LastModifiedDate")),
+        }
+    )
+
+
+@job
+def stored_opportunities(crm_a_opportunity: DataFrame, *, as_of) -> DataFrame:
+    """Staging table as the run of a year ago left it."""
+    names = {"Id": "opportunity_id", "Name": "opportunity_name", "AccountId": "account_id", "Amount": "amount", "StageName": "stage_name", "LastModifiedDate": "last_modified_date"}
+    return crm_a_opportunity.filter(F.col("LastModifiedDate") <= F.date_sub(F.lit(as_of), 365)).select(*(F.col(a).alias(b) for a, b in names.items()))
+
+
 @job
 def crm_a_contact(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")

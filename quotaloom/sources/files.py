@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,8 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
-def newest_rows(df: DataFrame, key: str, changed_at: str) -> DataFrame:
-    """Newest version per key as a map-side combining aggregate."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(changed_at)).alias("r")).select(key, "r.*")
+def newest_rows(df: DataFrame, key: str | Sequence[str], changed_at: str) -> DataFrame:
+    """Newest version per key (one column or several)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(changed_at)).alias("r")).select(*keys, "r.*")

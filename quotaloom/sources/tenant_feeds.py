@@ -74,7 +74,7 @@ def agent_actions(events: DataFrame) -> DataFrame:
 @job
 def go_live(customer: DataFrame, *, as_of) -> DataFrame:
     k = F.col("c_custkey")
-    return customer.filter(k % 4 == 0).select(
+    return customer.select(
         k.alias("customer_id"), F.lit(True).alias("go_live_approved"), F.date_sub(F.lit(as_of), (k % 120).cast("int")).alias("go_live_date"),
         (k % 8 == 0).alias("cs_handoff_complete"), F.concat(F.lit("CS "), (k % 6).cast("string")).alias("cs_owner"),
     )
@@ -134,3 +134,12 @@ def user_preferences(customer: DataFrame) -> DataFrame:
         some(5, k % 7 != 0).alias("in_app_enabled"), some(6, F.lit("weekly")).alias("digest_frequency"),
         some(2, F.lit(22)).alias("quiet_hours_start"), some(2, F.lit(7)).alias("quiet_hours_end"),
     )
+
+
+@job
+def stored_stage_history(tenant_settings: DataFrame, *, as_of) -> DataFrame:
+    """Stage history as stored before today's update: every tenant's open first-stage row."""
+    return tenant_settings.select(
+        "customer_id", F.lit("onboarding").alias("stage"), F.date_sub(F.lit(as_of), 20).alias("entered_at"),
+        F.lit(None).cast("date").alias("exited_at"), F.lit(None).cast("int").alias("duration_days"),
+    )

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from quotaloom.functions.exprs import tally
 from quotaloom.sources.files import newest_rows
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Checkpoint folder the cluster names; ``fallback`` serves only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named or fallback:
-        return named or fallback
+def checkpoint_root(spark: SparkSession) -> str:
+    """Checkpoint folder the cluster names."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
     raise ValueError("set spark.checkpoint.dir to a shared folder")
 
 
@@ -49,18 +51,58 @@ def touch_sessions(touches: DataFrame, gap: str = "30 minutes", late: str = "1 h
     )
 
 
-def upsert_changes(changes: DataFrame, table: str, key: str, changed_at: str, checkpoint: str) -> StreamingQuery:
-    """Newest-wins upsert of a change stream into a parquet table.
+def upsert_changes(changes: DataFrame, table: str, key: str | Sequence[str], changed_at: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Newest-wins upsert of a change stream into a parquet table, by one key column or several.
 
-    Each batch writes one version folder from the one before it, so a replayed
-    batch rewrites its own version and readers take the highest number.
+    Rows lie in buckets by a hash of the key.  A batch rewrites the buckets it touches into a version of its own and
+    notes the version of every bucket, so its cost follows the batch, and a replayed batch rewrites its own version.
     """
-    spark = changes.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        before = f"{table}/v{batch_id - 1}"
-        known = spark.read.schema(batch.schema).parquet(before) if batch_id else spark.createDataFrame([], batch.schema)
-        merged = newest_rows(known.unionByName(batch), key, changed_at)
-        merged.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/v{batch_id}")
+        spark = batch.sparkSession
+        touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most ``buckets``
+        versions = bucket_versions(spark, table, batch_id) if batch_id else {}
+        known = [f"{table}/v{versions[b]}/_bucket={b}" for b in sorted(touched & versions.keys())]
+        rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*known)) if known else batch
+        merged = newest_rows(rows, keys, changed_at).select(*batch.columns, bucket.alias("_bucket"))
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/v{batch_id}")
+        noted = spark.createDataFrame(sorted((versions | dict.fromkeys(touched, batch_id)).items()), "bucket int, version long")
+        noted.coalesce(1).write.mode("overwrite").parquet(f"{table}/_versions/batch={batch_id}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", os.path.join(checkpoint, "upsert")).trigger(availableNow=True).start()
+
+
+def bucket_versions(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
+    """Version of every bucket after the newest batch, or the newest one before a batch."""
+    noted = spark.read.schema("bucket int, version long, batch long").parquet(f"{table}/_versions")
+    if before is not None:
+        noted = noted.filter(F.col("batch") < before)
+    return {r["bucket"]: r["version"] for r in noted.filter(F.col("batch") == noted.agg(F.max("batch")).scalar()).collect()}
+
+
+def upserted(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """Current rows of a table that ``upsert_changes`` keeps."""
+    return spark.read.schema(schema).parquet(*(f"{table}/v{v}/_bucket={b}" for b, v in sorted(bucket_versions(spark, table).items())))
+
+
+def sliding_usage(product_events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Activity per account over seven days, every day anew."""
+    return (
+        product_events.withWatermark("event_timestamp", late)
+        .groupBy("account_id", F.window("event_timestamp", "7 days", "1 day").alias("w"))
+        .agg(F.approx_count_distinct("user_id").alias("weekly_active_users"), F.count("*").alias("total_events"))
+        .select("account_id", F.to_date("w.start").alias("from_date"), F.to_date("w.end").alias("to_date"), "weekly_active_users", "total_events")
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the last batches dropped as later than the watermark allows."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
+def touch_stream(marketing: DataFrame, sales: DataFrame) -> DataFrame:
+    """Both teams' touches as one stream of (account_id, event_time, team), for ``touch_sessions``."""
+    one = lambda df, at, team: df.select("account_id", F.col(at).alias("event_time"), F.lit(team).alias("team"))
+    return one(marketing, "touch_date", "marketing").unionByName(one(sales, "activity_date", "sales"))

@@ -12,7 +12,7 @@ SF_SQL = "/root/testdata/sf0.01"
 NAMES = (
     "deal_health", "pipeline_health_summary", "pipeline_hygiene_alerts", "process_bottlenecks", "forecast_confidence", "forecast_history", "win_probability_scores",
     "scenario_summary", "rep_performance", "driver_comparisons", "hiring_impact_model", "expansion_opportunities", "qbr_executive_summary", "deal_scores", "churn_scores",
-    "staging_b_activities", "staging_opportunities_incremental", "unified_timeline", "usage_summary", "alert_history", "ops_agent_queue", "invoices",
+    "staging_b_activities", "staging_opportunities_incremental", "synced_deals", "implementation_history", "tenant_health_trends", "go_live", "impact_tracker", "ramp_step_in_force", "unified_timeline", "usage_summary", "alert_history", "ops_agent_queue", "invoices",
     "merged_opportunities", "merged_accounts", "account_matches", "active_users_calendar", "lead_touches", "deal_recommendations", "expansion_opportunities", "alert_rule_events",
     "sql_rep_leaderboard", "sql_month_quota_share", "sql_recently_updated_deals", "sql_commit_change", "sql_week_build_success", "webhook_failure_state", "quality_opportunities", "contract_violations", "sql_health_weighted_forecast",
 )

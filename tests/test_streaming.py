@@ -1,5 +1,6 @@
 """Streams drained with availableNow against the batch form of the same job."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quotaloom.sources.files import newest_rows
@@ -39,9 +40,8 @@ def test_upsert_equals_newest(spark, tables, tmp_path):
     both = changes.unionByName(moved)
     stream = as_stream(both, spark, tmp_path, 3).select("*")
     feeds.upsert_changes(stream, str(tmp_path / "t"), "opportunity_id", "last_modified_date", str(tmp_path)).awaitTermination()
-    last = max((tmp_path / "t").iterdir(), key=lambda p: int(p.name[1:]))
     key = lambda df: sorted(map(tuple, df.select("opportunity_id", "amount", "last_modified_date").collect()))
-    assert key(spark.read.parquet(str(last))) == key(newest_rows(both, "opportunity_id", "last_modified_date"))
+    assert key(feeds.upserted(spark, str(tmp_path / "t"), both.schema)) == key(newest_rows(both, "opportunity_id", "last_modified_date"))
 
 
 def test_cooldown_drops_repeats(spark, tmp_path):
@@ -60,4 +60,40 @@ def test_sessions(spark, tmp_path):
 
 
 def test_checkpoint_root(spark):
-    assert feeds.checkpoint_root(spark, "/tmp/x") in ("/tmp/x", spark.conf.get("spark.checkpoint.dir", "/tmp/x"))
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError):
+            feeds.checkpoint_root(spark)
+
+
+def test_upsert_touches_only_its_buckets_and_can_be_replayed(spark, tmp_path):
+    schema = "customer_id int, deal_id int, amount double, synced_at int"
+    first = [(c, d, 1.0, 1) for c in range(5) for d in range(8)]
+    second = [(0, 3, 2.0, 2), (7, 3, 2.0, 2), (0, 4, 9.0, 0)]
+    src, table = str(tmp_path / "in"), str(tmp_path / "deals")
+    for part in (first, second):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        feeds.upsert_changes(stream, table, ("customer_id", "deal_id"), "synced_at", str(tmp_path / "c"), buckets=8).awaitTermination()
+    df = feeds.upserted(spark, table, stream.schema)
+    want = {(c, d): 1.0 for c, d, *_ in first} | {(0, 3): 2.0, (7, 3): 2.0}
+    assert {(r.customer_id, r.deal_id): r.amount for r in df.collect()} == want and df.count() == len(want)
+    assert len(list((tmp_path / "deals" / "v1").glob("_bucket=*"))) <= 3
+    again = feeds.bucket_versions(spark, table, 1)
+    assert set(again.values()) == {0}
+
+
+def test_sliding_usage_and_late_rows(spark, tmp_path):
+    rows = [(1, u, f"2024-01-{d:02d} 10:00:00") for u, d in ((1, 1), (2, 3), (1, 5), (3, 20))]
+    df = spark.createDataFrame(rows, "account_id int, user_id int, t string").select("account_id", "user_id", F.to_timestamp("t").alias("event_timestamp"))
+    query = feeds.sliding_usage(as_stream(df, spark, tmp_path)).writeStream.format("memory").queryName("sliding").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {(str(r.from_date), r.weekly_active_users, r.total_events) for r in spark.table("sliding").collect()}
+    assert ("2024-01-01", 2, 3) in got and ("2023-12-28", 2, 2) in got
+    assert feeds.late_rows(query) == 0
+
+
+def test_touch_stream_feeds_sessions(spark):
+    at = lambda name: spark.createDataFrame([(1, "2024-01-01 10:00:00")], "account_id int, t string").select("account_id", F.to_timestamp("t").alias(name))
+    both = feeds.touch_stream(at("touch_date"), at("activity_date"))
+    assert both.columns == ["account_id", "event_time", "team"]
+    assert feeds.touch_sessions(both).first()["touches"] == 2

@@ -15,7 +15,7 @@ from .common import Forest, arrow_pass, col, components, slices, store, strings
 from .hashing import U, mix, shingles, word_hashes
 
 #: Tokens a task holds before it counts which of them repeat.
-TOKENS_A_ROUND = 1 << 21
+TOKENS_A_ROUND = 1 << 20
 #: The order's table of frequent tokens is bounded (1.6 MB); which tokens it holds changes the work, never the result.
 FREQUENT = 200_000
 ORDERS = (U(0), U(0x5851F42D4C957F2D), U(0x14057B7EF767814F))

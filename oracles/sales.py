@@ -25,7 +25,7 @@ UNION ALL SELECT 'Struggling (<70% attainment)', {PAT.replace(" FROM", ", 'Singl
 """)
 
 oracle("coaching_rep_performance", f"""
-SELECT rep_id, rep_name, manager_name, region, segment, ytd_attainment, win_rate, coalesce(w,0) AS avg_deal_size, avg_sales_cycle_days AS avg_sales_cycle, (rank() OVER (ORDER BY ytd_attainment DESC))::INT AS overall_rank,
+SELECT rep_id, rep_name, manager_name, region, segment, ytd_attainment, win_rate, coalesce(w,0) AS avg_deal_size, avg_sales_cycle_days AS avg_sales_cycle, (rank() OVER (ORDER BY ytd_attainment DESC))::BIGINT AS overall_rank,
  t_reps AS total_reps, 0 AS rank_change, t_win AS team_avg_win_rate, t_size AS team_avg_deal_size, t_cycle AS team_avg_cycle,
  {L("ytd_attainment", ">=", [(1.1, "Top Performer"), (0.9, "On Track"), (0.7, "Needs Coaching")], "At Risk")} AS performance_tier
 FROM sales_reps LEFT JOIN (SELECT owner_id AS rep_id, round({A("amount")},0) AS w FROM opportunities WHERE is_won GROUP BY 1) USING (rep_id), {TEAM}

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +98,9 @@ def suffixes(docs: DataFrame, least: int, k: int) -> DataFrame:
 
 def neighbours(sorted_rows: DataFrame, by: str, other: str, keep: list[str]) -> DataFrame:
     """Of rows that arrive sorted by (``by``, ``other``): those of each run of equal ``by`` with two values of ``other``,
-    with the least of them as ``least``.  Streams; only rows that may still turn out to be alone are held."""
+    with the least of them as ``least``.  Streams; only rows that may still turn out to be alone are held.
+
+    Rows with ``again`` (if there is such a column) pass through with a null ``least``."""
     names = list(dict.fromkeys([by, other, *keep]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +108,13 @@ def neighbours(sorted_rows: DataFrame, by: str, other: str, keep: list[str]) ->
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if "again" in batch.schema.names:
+                later = batch.filter(batch.column("again"))
+                if later.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(later.column(n) for n in (other, *keep)), pa.nulls(later.num_rows, pa.int64())], names=[other, *keep, "least"])
+                batch = batch.filter(pc.invert(batch.column("again")))
+                if not batch.num_rows:
+                    continue
             x = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in names}
             if held is not None:
                 x = {n: np.concatenate([held[n], x[n]]) for n in names}
@@ -126,11 +136,12 @@ def neighbours(sorted_rows: DataFrame, by: str, other: str, keep: list[str]) ->
             if held is not None:
                 open_by = None
 
-    return arrow_pass(sorted_rows.select(*names), run, ", ".join(f"{n} long" for n in (other, *keep, "least")))
+    return arrow_pass(sorted_rows.select(*names, *(["again"] if "again" in sorted_rows.columns else [])), run, ", ".join(f"{n} long" for n in (other, *keep, "least")))
 
 
 def windows(texts: DataFrame, least: int, k: int) -> DataFrame:
-    """(window, key, s, at) of the windows whose minimiser starts one of the ``runs``."""
+    """(window, key, s, at, again) of the windows whose minimiser starts one of the ``runs``; ``again`` marks those that
+    the same text has further left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +156,13 @@ def windows(texts: DataFrame, least: int, k: int) -> DataFrame:
                     a, b = bounds[i], bounds[i + 1]
                     hit[a:b] = np.isin(own[a:b], runs[lo + i])
                 start, doc = m.start[hit], m.doc[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(run_hashes(m.words, least)[start].view(np.int64)), pa.array(keys[lo:hi][doc]), pa.array(s[lo:hi][doc]), pa.array(start - m.first[doc])], names=["window", "key", "s", "at"])
+                window = run_hashes(m.words, least)[start].view(np.int64)
+                order = np.lexsort((start, window, doc))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (window[order[1:]] == window[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window, keys[lo:hi][doc], s[lo:hi][doc], start - m.first[doc], again)], names=["window", "key", "s", "at", "again"])
 
-    return arrow_pass(texts.select("key", "s", "text", "runs"), run, "window long, key long, s long, at long")
+    return arrow_pass(texts.select("key", "s", "text", "runs"), run, "window long, key long, s long, at long, again boolean")
 
 
 def key_of(kind: DataType) -> Column:
@@ -180,8 +195,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     runs = neighbours(ordered, "run", "s", ["run"]).groupBy("s").agg(F.collect_set("run").alias("runs"))
     chosen = runs.join(texts, "s").select("s", F.col("first_key").alias("key"), "runs")
     found = windows(docs.join(chosen, "key"), least, k)
-    ordered = found.repartition(parts, "window").sortWithinPartitions("window", "key", "at")
-    rows = neighbours(ordered, "window", "key", ["s", "at"])
+    # a text's own repeats of a window need no neighbour; dealt out by place they crowd no task
+    spread = found.withColumn("deal", F.when(F.col("again"), F.xxhash64("key", "at")).otherwise(F.col("window")))
+    ordered = spread.repartition(parts, "deal").sortWithinPartitions("window", "key", "at")
+    rows = neighbours(ordered, "window", "key", ["s", "at", "window"])
     passages = joined(rows, least)
     whole = every.where(F.col("run").isNull() & (F.col("n") >= least)).join(texts.where("copies > 1"), "s")
     copies = whole.select("key", "s", F.lit(0).cast("long").alias("start"), F.col("n").alias("words"), "first_key", (F.col("key") != F.col("first_key")).alias("removed"))
@@ -189,10 +206,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def joined(rows: DataFrame, least: int) -> DataFrame:
-    """Runs of windows of one document with the same first document, as passages."""
+    """Runs of windows of one document with the same first document, as passages.
+
+    A window with null ``least`` takes that of the equal window further left, and is none if that has none."""
 
     def run(group: pa.Table) -> pa.Table:
-        key, s, at, first = (group.column(c).to_numpy() for c in ("key", "s", "at", "least"))
+        known = group.filter(pc.is_valid(group.column("least")))
+        if not known.num_rows:
+            return kinds.empty_table()
+        key, s, at, first, window = (known.column(c).to_numpy() for c in ("key", "s", "at", "least", "window"))
+        later = group.filter(pc.is_null(group.column("least")))
+        if later.num_rows:
+            order = np.argsort(window)
+            place = order[np.minimum(np.searchsorted(window[order], later.column("window").to_numpy()), len(order) - 1)]
+            same = window[place] == later.column("window").to_numpy()
+            at, first = np.r_[at, later.column("at").to_numpy()[same]], np.r_[first, first[place[same]]]
         order = np.lexsort((at, first))
         at, first = at[order], first[order]
         start = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (at[1:] != at[:-1] + 1)])
@@ -200,6 +228,7 @@ def joined(rows: DataFrame, least: int) -> DataFrame:
         n = len(start)
         return pa.table({"key": np.repeat(key[:1], n), "s": np.repeat(s[:1], n), "start": at[start], "words": at[end] - at[start] + least, "first_key": first[start], "removed": first[start] != key[0]})
 
+    kinds = pa.schema([*((c, pa.int64()) for c in ("key", "s", "start", "words", "first_key")), ("removed", pa.bool_())])
     return rows.groupBy("key", "s").applyInArrow(run, "key long, s long, start long, words long, first_key long, removed boolean")
 
 

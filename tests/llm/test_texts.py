@@ -86,7 +86,7 @@ def test_likeness_falls_with_edits():
 
 @pytest.mark.parametrize("least,k", [(12, 4), (50, 16)])
 def test_passages_equal_brute_force(spark, least, k):
-    rows = mosaics(150)
+    rows = mosaics(150) + [(5000 + i, " ".join(R.choice(VOCABULARY) for _ in range(5)) + " a b" * (40 + 9 * i) + " c c" * 30 * (i % 2)) for i in range(6)]
     got = defaultdict(lambda: (set(), set()))
     for r in suffix_dedup.passages(brute.table(spark, rows).repartition(4), least=least, k=k).collect():
         span = set(range(r.start_word, r.start_word + r.n_words))

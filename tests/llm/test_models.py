@@ -132,6 +132,25 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["pii"]}
 
 
+def five_word_roots(rows):
+    """Groups of texts with a Jaccard similarity of 0.8 or more on five-word shingles."""
+    sets = [brute.shingle_set(t, 5) for _, t in rows]
+    return brute.groups(len(rows), [(a, b) for b in range(len(rows)) for a in range(b) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    base = [f"w{j}" for j in range(200)]
+    rows = [(1, " ".join(base))]
+    rows += [(10 + n, " ".join(base[:80] + [f"b{n}x{j}" for j in range(n)] + base[80 + n :])) for n in (14, 16, 24)]
+    rows += [(100 + n, " ".join(base + [f"t{n}x{j}" for j in range(n)])) for n in (36, 49, 60)]
+    rows += [(200, " ".join(f"e{j}" if j in (30, 70, 110, 150) else w for j, w in enumerate(base))), (300, "  "), (301, "few words")]
+    groups = by_root(five_word_roots(rows)).values()
+    want = sorted(min(rows[k][0] for k in own) for own in groups)
+    assert want == [1, 34, 160, 300, 301]
+    kept = corpus_pipeline.drop_near_copies(spark, brute.table(spark, rows), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def by_root(roots):
     out = defaultdict(list)
     for k, r in enumerate(roots):

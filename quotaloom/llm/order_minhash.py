@@ -42,10 +42,10 @@ class OrderMinHash:
             while width < self.k:  # a k-mer from its two halves
                 h = h[:-width] * base + h[width:]
                 base, width = base * base, 2 * width
-        h = mix(h)
+        low = U((1 << POSITION_BITS) - 1)
+        h = mix(h) & ~low  # at every length, so that long and short texts have the same items
         if len(h) < 1 << POSITION_BITS:
-            low = U((1 << POSITION_BITS) - 1)
-            packed = np.sort((h & ~low) | np.arange(len(h), dtype=U))
+            packed = np.sort(h | np.arange(len(h), dtype=U))
             position, h = (packed & low).astype(np.int64), packed & ~low
         else:
             position = np.argsort(h, kind="stable")

@@ -81,6 +81,17 @@ def test_likeness_falls_with_edits():
     assert order_minhash.likeness(omh.values(text), omh.values(blocks)) < 0.75
 
 
+def test_items_do_not_depend_on_the_length(monkeypatch):
+    monkeypatch.setattr(order_minhash, "POSITION_BITS", 10)
+    omh, text = order_minhash.OrderMinHash(), "".join(chr(97 + i * i % 23) + f"{i:03d}" for i in range(270))
+    edited = text[:1000]
+    assert len(edited) - 7 < 1 << 10 < len(text) - 7
+    (a, at), (b, _) = omh.items(text), omh.items(edited)
+    assert len(a) == len(set(a.tolist())) and sorted(at.tolist()) == list(range(len(text) - 7))
+    assert len(np.intersect1d(a, b)) > 0.95 * len(b)
+    assert order_minhash.likeness(omh.values(text), omh.values(edited)) > 0.5
+
+
 # ---- repeated passages
 
 

@@ -1,9 +1,9 @@
 """Repeated passages by sparse suffix arrays.
 
-Suffixes that start at content-selected minimiser positions are sorted by their leading words and compared with their
-neighbours; where a neighbour from another text agrees, the match is extended left and right: every window of
-``least`` words around the position is looked up among the windows of the other texts, and runs of windows that occur
-elsewhere make the passage.
+Suffixes that start at content-selected minimiser positions are sorted by a hash of their leading words; neighbours of
+equal hash from two texts mark a shared position.  Matches are not extended from neighbour to neighbour, as the first
+owner of a passage needs all documents that hold it: every window of ``least`` words around a shared position is looked
+up among the windows of the other texts, and runs of windows that occur elsewhere make the passage.
 """
 
 from __future__ import annotations

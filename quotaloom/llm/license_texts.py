@@ -1,4 +1,4 @@
-"""Texts of public licences and notices, by label.  Fixed values."""
+"""Notices and opening passages of public licences, by label, not their whole texts.  Fixed values."""
 
 #: Phrases whose every place counts, with their labels.
 PHRASES = {

@@ -1,4 +1,3 @@
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -10,8 +9,7 @@ from quotaloom import catalog  # noqa: E402
 from quotaloom.plans.registry import Tables  # noqa: E402
 from quotaloom.session import get_session  # noqa: E402
 
-SF_SMALL = "/root/testdata/sf0.001"
-AS_OF = dt.date(2001, 12, 31)
+from settings import AS_OF, SF_SMALL  # noqa: E402,F401
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from settings import SF_SMALL
 from quotaloom.functions.exprs import exact_avg, exact_sum
 from quotaloom.functions.ordered import rank_from_counts
 from quotaloom.operators.billing import filled

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import AS_OF
+from settings import AS_OF
 from quotaloom.operators.commercial import baseline_update, health_trends, overage_events, stage_history
 from quotaloom.operators.ingest import newest_wins
 from quotaloom.operators.monitor import alert_update

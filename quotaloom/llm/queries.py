@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, embedding_itq, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity
+from . import bpe, byte_bpe, embedding_itq, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity, whitening
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,9 +66,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join, op11_byte_bpe)
+    for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join, op11_byte_bpe, op12_whitening)
 }
 
 #: Words that white space separates, A-Z in lower case.

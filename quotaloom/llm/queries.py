@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_bpe, embedding_itq, jaccard_join, licenses, order_minhash, packing, pii, suffix_dedup, token_counts, toxicity, whitening
+from . import bpe, byte_bpe, embedding_itq, jaccard_join, licenses, order_minhash, packing, pii, prefix_trie, suffix_dedup, token_counts, toxicity, whitening
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,9 +70,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join, op11_byte_bpe, op12_whitening)
+    for f in (op1_packing, op2_bpe, op3_order_minhash, op4_suffix_dedup, op5_pii, op6_embedding_itq, op7_toxicity, op8_licenses, op9_token_counts, op10_jaccard_join, op11_byte_bpe, op12_whitening, op13_prefix_trie)
 }
 
 #: Words that white space separates, A-Z in lower case.

@@ -42,8 +42,8 @@ def shingle_set(text, k=4):
     return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
 
 
-def jaccard_roots(rows, percent=85):
-    sets, held, edges = [shingle_set(t) for _, t in rows], defaultdict(list), []
+def jaccard_roots(rows, percent=85, k=4):
+    sets, held, edges = [shingle_set(t, k) for _, t in rows], defaultdict(list), []
     for k, own in enumerate(sets):
         shared = Counter(o for t in own for o in held[t])
         edges += [(o, k) for o, n in shared.items() if 100 * n >= percent * (len(own) + len(sets[o]) - n)]

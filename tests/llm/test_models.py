@@ -1,6 +1,7 @@
 """Toxicity, embeddings, the pipeline and its registration."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import brute
@@ -121,15 +122,31 @@ def test_pipeline_stages(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {r.doc_id for r in seen["toxicity"]}
     assert not [i for i, toxic in labels.items() if not toxic and i not in kept]
+    toxic = [i for i, t in labels.items() if t]
+    assert sum(i not in kept for i in toxic) >= 0.8 * len(toxic)  # toxic documents go
     rows = [(r.doc_id, r.text) for r in seen["toxicity"]]
-    _, roots = brute.jaccard_roots(rows)
+    _, roots = brute.jaccard_roots(rows, percent=80, k=5)
     assert sorted(r.doc_id for r in seen["jaccard_join"]) == sorted(min(rows[k][0] for k in own) for own in by_root(roots).values())
     cut = brute.repeated([(r.doc_id, r.text) for r in seen["jaccard_join"]], 50)
     for before, after in zip(sorted(seen["jaccard_join"]), sorted(seen["suffix_dedup"])):
         gone = cut.get(before.doc_id, ((), ()))[1]
         assert brute.words(after.text) == [w for p, w in enumerate(brute.words(before.text)) if p not in gone]
         assert after.n_chars == len(after.text)
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert sum(bool(email.search(r.text or "")) for r in seen["suffix_dedup"]) > 0
+    assert not [r.doc_id for r in seen["pii"] if email.search(r.text or "")]  # every base email is redacted
     assert {r.doc_id for r in seen["packing"]} == {r.doc_id for r in seen["pii"]}
+    by_doc = defaultdict(list)
+    for p in seen["packing"]:
+        by_doc[p.doc_id].append(p)
+    for own in by_doc.values():  # each document's ids once, without gaps
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+        assert at == own[0].doc_tokens
+    whole = corpus_pipeline.run(spark, SF).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, whole)) == sorted((p.doc_id, p.start, p.length, p.ids_crc32) for p in seen["packing"])
 
 
 def five_word_roots(rows):
@@ -161,5 +178,5 @@ def by_root(roots):
 def test_all_are_registered():
     known = entry.queries()
     assert "pipeline" in known
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in known) == 1

@@ -171,9 +171,9 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> list[list[int]]:
     return out  # type: ignore[return-value]
 
 
-@functools.lru_cache(maxsize=2)  # a worker keeps what it learnt for its next task
-def encoder(path: str, pattern: str) -> tuple[Ranks, regex.Pattern]:
-    return Ranks(path), regex.compile(pattern)
+@functools.lru_cache(maxsize=2)  # a worker keeps what it learnt, words included, for its next task
+def encoder(path: str, pattern: str) -> tuple[Ranks, regex.Pattern, dict[str, list[int]]]:
+    return Ranks(path), regex.compile(pattern), {}
 
 
 def encode_texts(texts: Sequence[str], ranks: Ranks, cut: regex.Pattern, known: dict[str, list[int]], limit: int = 400_000) -> list[list[int]]:
@@ -190,14 +190,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     """Token ids of every whole text, and the bytes they decode to.
 
     Each match of ``pattern`` is encoded on its own; no special tokens.  One pass without a shuffle; words already
-    seen by a task are remembered (at most 400,000, then forgotten at once).  A null or empty text has no ids and
+    seen by a worker are remembered (at most 400,000, then forgotten at once).  A null or empty text has no ids and
     decodes to empty bytes; null ids, repeated rows and any further columns are kept apart (only the two named
     columns are read).  Empty table: no rows.  Columns: id, ids array<int>, decoded binary.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, cut = encoder(ranks_path, pattern)
-        known: dict[str, list[int]] = {}
+        ranks, cut, known = encoder(ranks_path, pattern)
         for batch in batches:
             ids = encode_texts(strings(batch), ranks, cut, known)
             yield pa.RecordBatch.from_arrays(

@@ -4,17 +4,23 @@ ORDER = M("stage_name", {"Prospecting": 1, "Discovery": 2, "Solution Design": 3,
 IN_Q = "close_date BETWEEN DATE '2001-10-01' AND DATE '2001-12-31'"
 
 
-def features(where):
+def features(where, point_in_time=False):
+    # point in time: owner, account and segment history of deals closed before each deal's own close date
+    prior = """o AS (SELECT d.opportunity_id, avg(h.is_won::INT) AS owr, {A} AS oad FROM d JOIN win_loss_details h ON h.owner_id = d.owner_id AND h.close_date < d.close_date GROUP BY 1),
+a AS (SELECT d.opportunity_id, {W} AS w, {L} AS l FROM d JOIN win_loss_details h ON h.account_id = d.account_id AND h.close_date < d.close_date GROUP BY 1),
+s AS (SELECT d.opportunity_id, avg(h.is_won::INT) AS swr FROM d JOIN win_loss_details h ON h.segment = d.segment AND h.close_date < d.close_date GROUP BY 1),""".format(A=A("h.amount"), W=N("h.is_won"), L=N("NOT h.is_won"))
+    whole = f"""o AS (SELECT owner_id, avg(is_won::INT) AS owr, {A("amount")} AS oad FROM win_loss_details GROUP BY 1), a AS (SELECT account_id, {N("is_won")} AS w, {N("NOT is_won")} AS l FROM win_loss_details GROUP BY 1),
+s AS (SELECT segment, avg(is_won::INT) AS swr FROM win_loss_details GROUP BY 1),"""
+    joins = "LEFT JOIN o USING (opportunity_id) LEFT JOIN a USING (opportunity_id) LEFT JOIN s USING (opportunity_id)" if point_in_time else "LEFT JOIN o USING (owner_id) LEFT JOIN a USING (account_id) LEFT JOIN s USING (segment)"
     return f"""
 WITH d AS (SELECT * FROM opportunities WHERE {where}),
 t AS (SELECT opportunity_id, count(*) AS total_activities, {N("activity_date >= $AS_OF - 7")} AS activities_last_7d, {N("activity_date >= $AS_OF - 14")} AS activities_last_14d, ($AS_OF - max(activity_date))::INT AS dsl,
  {N("activity_type='Meeting'")} AS meetings_count, {N("activity_type='Email'")} AS emails_count, {N("activity_type='Call'")} AS calls_count, count(DISTINCT contact_id) AS people FROM activities GROUP BY 1),
-o AS (SELECT owner_id, avg(is_won::INT) AS owr, {A("amount")} AS oad FROM win_loss_details GROUP BY 1), a AS (SELECT account_id, {N("is_won")} AS w, {N("NOT is_won")} AS l FROM win_loss_details GROUP BY 1),
-s AS (SELECT segment, avg(is_won::INT) AS swr FROM win_loss_details GROUP BY 1),
+{prior if point_in_time else whole}
 j AS (SELECT d.*, coalesce(total_activities,0) AS total_activities, coalesce(activities_last_7d,0) AS activities_last_7d, coalesce(activities_last_14d,0) AS activities_last_14d, coalesce(meetings_count,0) AS meetings_count, coalesce(emails_count,0) AS emails_count,
  coalesce(calls_count,0) AS calls_count, coalesce(dsl,999) AS days_since_last_activity, {R("coalesce(activities_last_7d,0)", "coalesce(activities_last_14d,0)", empty=0)} AS activity_momentum, coalesce(least(people/3.0,1.0),0) AS multi_thread_score,
  coalesce(owr,0.25) AS owner_win_rate, coalesce(oad,50000) AS owner_avg_deal_size, coalesce(w,0) AS account_previous_wins, coalesce(l,0) AS account_previous_losses, coalesce(swr,0.25) AS segment_win_rate, coalesce(expected_days,14) AS norm
- FROM d LEFT JOIN t USING (opportunity_id) LEFT JOIN o USING (owner_id) LEFT JOIN a USING (account_id) LEFT JOIN s USING (segment) LEFT JOIN stage_benchmarks b USING (stage_name))
+ FROM d LEFT JOIN t USING (opportunity_id) {joins} LEFT JOIN stage_benchmarks b USING (stage_name))
 SELECT opportunity_id, opportunity_name, account_id, owner_id, stage_name, amount, close_date, ($AS_OF-created_date)::INT AS deal_age_days, {ORDER} AS stage_order, days_in_current_stage AS stage_tenure_days, round(ln(1+amount),6) AS amount_log,
  amount/(SELECT {A("amount")} FROM d) AS amount_vs_avg, total_activities, activities_last_7d, activities_last_14d, meetings_count, emails_count, calls_count, days_since_last_activity, activity_momentum,
  least(meetings_count/3.0,1.0)*0.4 + least(total_activities/10.0,1.0)*0.3 + multi_thread_score*0.3 AS engagement_score, multi_thread_score, owner_win_rate, owner_avg_deal_size, account_previous_wins, account_previous_losses, segment_win_rate,
@@ -23,7 +29,7 @@ SELECT opportunity_id, opportunity_name, account_id, owner_id, stage_name, amoun
 
 
 oracle("deal_features", features("NOT is_closed"))
-oracle("closed_features", features("is_closed AND close_date >= $AS_OF - 30"))
+oracle("closed_features", features("is_closed AND close_date >= $AS_OF - 30", point_in_time=True))
 DEF = {"stage_order": 0.15, "engagement_score": 0.12, "activity_momentum": 0.1, "owner_win_rate": 0.1, "meetings_count": 0.08, "multi_thread_score": 0.08, "account_previous_wins": 0.07, "days_since_last_activity": -0.08, "stage_velocity_vs_benchmark": -0.06}
 oracle("model_weights", f"""
 WITH x AS (SELECT count(*) AS n, round(corr(is_won::INT, coalesce(total_activities,0)),6) AS r1, round(corr(is_won::INT, coalesce(meetings,0)),6) AS r2, round(corr(is_won::INT, amount),6) AS r3 FROM win_loss_details)

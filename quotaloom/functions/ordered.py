@@ -80,3 +80,41 @@ def number_from_counts(df: DataFrame, order: list[Column], out: str, grain: Colu
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_band", "_inside", "_before", "_start_band")
     )
+
+
+def totals_before(queries: DataFrame, events: DataFrame, key: str, query_day: str, event_day: str, values: dict[str, Column]) -> DataFrame:
+    """``queries`` with, per name of ``values``, its sum over ``events`` of the same key on days before the query's.
+
+    An as-of join whose time differs per row, split by month so that no window holds more than a calendar's rows
+    of one key: events are summed per (key, day) and per (key, month); a key's running monthly totals give what
+    lay before each query's month (one window per key over its months and the months it is asked about), and the
+    at most 31 daily rows of the query's own month add the days before the query's day (an equality join on key
+    and month).  A hot key is thus summed map-side and spread over its months.  Distinct (key, day) pairs are
+    looked up once.  Sums are null where nothing came before, and for null keys or days.
+    """
+    names = list(values)
+    month = lambda c: F.trunc(F.col(c), "month")
+    daily = (
+        events.where(F.col(key).isNotNull() & F.col(event_day).isNotNull())
+        .groupBy(F.col(key).alias("_k"), F.to_date(event_day).alias("_d"))
+        .agg(*[F.sum(v).alias(n) for n, v in values.items()])
+        .withColumn("_m", month("_d"))
+    )
+    asked = queries.select(F.col(key).alias("_k"), F.to_date(query_day).alias("_q")).where("_k IS NOT NULL AND _q IS NOT NULL").distinct().withColumn("_m", month("_q"))
+    upto = Window.partitionBy("_k").orderBy("_m", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    monthly = daily.groupBy("_k", "_m").agg(*[F.sum(n).alias(n) for n in names])
+    running = monthly.withColumn("_asked", F.lit(1)).select("_k", "_m", "_asked", *[F.sum(n).over(upto).alias(n) for n in names])
+    months = asked.select("_k", "_m").distinct().select("_k", "_m", F.lit(0).alias("_asked"), *[F.lit(None).cast(running.schema[n].dataType).alias(n) for n in names])
+    before_month = (
+        running.unionByName(months)
+        .select("_k", "_m", "_asked", *[F.last(n, ignorenulls=True).over(upto).alias(n) for n in names])
+        .where("_asked = 0")
+        .drop("_asked")
+    )
+    within = asked.join(daily, ["_k", "_m"]).where(F.col("_d") < F.col("_q")).groupBy("_k", "_q").agg(*[F.sum(n).alias("_w_" + n) for n in names])
+    found = (
+        asked.join(before_month, ["_k", "_m"], "left")
+        .join(within, ["_k", "_q"], "left")
+        .select(F.col("_k").alias(key), F.col("_q").alias("_asof_day"), *[F.when(F.col(n).isNotNull() | F.col("_w_" + n).isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce("_w_" + n, F.lit(0))).alias(n) for n in names])
+    )
+    return queries.withColumn("_asof_day", F.to_date(query_day)).join(found, [key, "_asof_day"], "left").drop("_asof_day")

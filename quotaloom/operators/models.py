@@ -10,6 +10,7 @@ from quotaloom.functions.exprs import (
     age_days, at_least, by_value, cases, days_ahead, exact_avg, exact_sum, in_quarter, nvl, present, quarter_label, ratio,
     row_of, side_by_side, stack_rows, tally,
 )
+from quotaloom.functions.ordered import totals_before
 from quotaloom.operators.forecast import QUARTER_TARGET
 from quotaloom.plans.registry import job
 
@@ -22,7 +23,26 @@ DEFAULT_WEIGHTS = {
 MIN_TRAINING_DEALS = 100
 
 
-def _features(deals: DataFrame, activities: DataFrame, stage_benchmarks: DataFrame, history: DataFrame, as_of) -> DataFrame:
+def _prior(deals: DataFrame, history: DataFrame) -> DataFrame:
+    """Owner, account and segment outcomes as they stood before each deal's own close date (as-of join)."""
+    won = F.col("is_won")
+    known, wins, losses = won.isNotNull().cast("long"), F.when(won, 1).otherwise(0).cast("long"), F.when(~won, 1).otherwise(0).cast("long")
+    scaled = F.round(F.col("amount") * 100).cast("bigint").cast("decimal(38,0)")
+    out = totals_before(deals, history, "owner_id", "close_date", "close_date", {"_o_known": known, "_o_wins": wins, "_o_cents": scaled, "_o_priced": F.col("amount").isNotNull().cast("long")})
+    out = totals_before(out, history, "account_id", "close_date", "close_date", {"_a_wins": wins, "_a_losses": losses})
+    out = totals_before(out, history, "segment", "close_date", "close_date", {"_s_known": known, "_s_wins": wins})
+    return out.select(
+        "*",
+        ratio("_o_wins", "_o_known").alias("owner_win_rate"),
+        (ratio(F.col("_o_cents").cast("double"), "_o_priced") / 100.0).alias("owner_avg_deal_size"),
+        F.col("_a_wins").alias("account_previous_wins"),
+        F.col("_a_losses").alias("account_previous_losses"),
+        ratio("_s_wins", "_s_known").alias("segment_win_rate"),
+    ).drop("_o_known", "_o_wins", "_o_cents", "_o_priced", "_a_wins", "_a_losses", "_s_known", "_s_wins")
+
+
+def _features(deals: DataFrame, activities: DataFrame, stage_benchmarks: DataFrame, history: DataFrame, as_of, point_in_time: bool = False) -> DataFrame:
+    """Features of ``deals``; with ``point_in_time``, history counts only deals closed before each deal's own close."""
     kind, on = F.col("activity_type"), F.col("activity_date")
     since = lambda d: tally(on >= F.date_sub(F.lit(as_of), d))
     touches = activities.filter(F.col("opportunity_id").isNotNull()).groupBy("opportunity_id").agg(
@@ -42,12 +62,10 @@ def _features(deals: DataFrame, activities: DataFrame, stage_benchmarks: DataFra
     month = F.month("close_date")
     ends = month.isin(*QUARTER_MONTHS)
     zero = {n: 0 for n in ("total_activities", "activities_last_7d", "activities_last_14d", "meetings_count", "emails_count", "calls_count")}
+    picked = deals.select("opportunity_id", "opportunity_name", "account_id", "owner_id", "segment", "stage_name", "amount", "close_date", "created_date", "days_in_current_stage")
+    with_history = _prior(picked, history) if point_in_time else picked.join(owners, "owner_id", "left").join(buyers, "account_id", "left").join(segments, "segment", "left")
     base = (
-        deals.select("opportunity_id", "opportunity_name", "account_id", "owner_id", "segment", "stage_name", "amount", "close_date", "created_date", "days_in_current_stage")
-        .join(touches, "opportunity_id", "left")
-        .join(owners, "owner_id", "left")
-        .join(buyers, "account_id", "left")
-        .join(segments, "segment", "left")
+        with_history.join(touches, "opportunity_id", "left")
         .join(norm, "stage_name", "left")
         .fillna({**zero, "days_since_last_activity": 999, "owner_win_rate": 0.25, "owner_avg_deal_size": 50000.0, "account_previous_wins": 0, "account_previous_losses": 0, "segment_win_rate": 0.25})
         .withColumns(
@@ -153,9 +171,13 @@ def deal_scores(deal_features: DataFrame, model_weights: DataFrame, *, as_of) ->
 
 @job
 def closed_deal_scores(opportunities: DataFrame, activities: DataFrame, stage_benchmarks: DataFrame, win_loss_details: DataFrame, model_weights: DataFrame, *, as_of) -> DataFrame:
-    """The same scorer over deals closed in the last 30 days, for evaluation."""
+    """The same scorer over deals closed in the last 30 days, for evaluation.
+
+    Owner, account and segment history is taken as it stood before each deal's close date, so no deal's score
+    sees its own outcome or any outcome on or after its close.
+    """
     recent = opportunities.filter(F.col("is_closed") & (F.col("close_date") >= F.date_sub(F.lit(as_of), 30)))
-    return _score(_features(recent, activities, stage_benchmarks, win_loss_details, as_of), model_weights, as_of)
+    return _score(_features(recent, activities, stage_benchmarks, win_loss_details, as_of, point_in_time=True), model_weights, as_of)
 
 
 def model_performance_update(scores: DataFrame, opportunities: DataFrame, previous: DataFrame | None, as_of) -> DataFrame:

@@ -94,6 +94,26 @@ p AS (SELECT s.* EXCLUDE (rate), coalesce(bm, {_b(0)}) AS monthly_price, coalesc
 t AS (SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END*tax_rate/100", 2)} AS tax_amount FROM p)
 SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END+tax_amount", 2)} AS total_with_tax FROM t
 """)
+PERIODS = "SELECT DISTINCT tenant_id, period, strptime(period || '-01', '%Y-%m-%d')::DATE AS ps FROM meter_usage"
+oracle("tenant_prices_by_period", f"""
+WITH per AS ({PERIODS}),
+s AS (SELECT tenant_id, period, ps, plan_code, billing_interval, region, has_tax_id, {M("region", {"EU": "EUR", "UK": "GBP", "APAC": "SGD", "LATAM": "BRL"}, "USD")} AS currency, {M("region", {"EU": 0.92, "UK": 0.79, "APAC": 1.34, "LATAM": 4.97}, 1.0)} AS rate FROM per JOIN subscriptions USING (tenant_id)),
+p AS (SELECT s.* EXCLUDE (rate, ps), coalesce(bm, {_b(0)}) AS monthly_price, coalesce(ba, {_b(1)}) AS annual_price, bm IS NOT NULL AS from_book, CASE WHEN s.region='EU' AND has_tax_id THEN 0 ELSE {M("s.region", {"EU": 20, "UK": 20, "APAC": 10, "LATAM": 16}, 0)} END AS tax_rate, {M("s.region", {"US": "sales_tax", "EU": "vat", "UK": "vat", "APAC": "gst", "LATAM": "vat"}, "none")} AS tax_type
+ FROM s LEFT JOIN (SELECT plan_code AS bp, region AS br, bm, ba, vf, vt FROM price_book) b ON b.bp = s.plan_code AND b.br = s.region AND vf <= ps AND (vt IS NULL OR ps <= vt)),
+t AS (SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END*tax_rate/100", 2)} AS tax_amount FROM p)
+SELECT *, {RD("CASE WHEN billing_interval='annual' THEN annual_price ELSE monthly_price END+tax_amount", 2)} AS total_with_tax FROM t
+""")
+oracle("invoice_lines_by_period", f"""
+WITH per AS ({PERIODS}),
+f AS (SELECT per.tenant_id, per.period, r.plan_code AS step_plan, r.price_override, row_number() OVER (PARTITION BY per.tenant_id, per.period ORDER BY r.start_date, r.step) AS rn
+ FROM per JOIN ramp_steps r ON r.tenant_id = per.tenant_id AND r.start_date <= per.ps AND per.ps < r.end_date),
+b AS (SELECT per.tenant_id, per.period, coalesce(f.step_plan, s.plan_code) AS plan_code, s.billing_interval, f.price_override FROM per JOIN subscriptions s ON s.tenant_id = per.tenant_id
+ LEFT JOIN (SELECT * FROM f WHERE rn = 1) f ON f.tenant_id = per.tenant_id AND f.period = per.period)
+SELECT tenant_id, period, type, item, quantity, round(amount,6) AS amount FROM (SELECT tenant_id, period, 'subscription' AS type, CASE plan_code WHEN 'starter' THEN 'Starter' WHEN 'growth' THEN 'Growth' ELSE 'Enterprise' END AS item, 1.0 AS quantity, coalesce(price_override, {MON}) AS amount FROM b
+UNION ALL SELECT a.tenant_id, per.period, 'addon', CASE add_on WHEN 'coaching_ai' THEN 'Coaching AI' WHEN 'data_export' THEN 'Data Export API' ELSE 'Additional Workspace' END, quantity, CASE add_on WHEN 'coaching_ai' THEN 2000.0 WHEN 'data_export' THEN 150.0 ELSE 300.0*quantity END
+ FROM subscription_add_ons a JOIN per ON per.tenant_id = a.tenant_id WHERE deactivated_on IS NULL OR deactivated_on >= per.ps
+UNION ALL SELECT tenant_id, period, 'overage', meter, overage, total FROM overage_charges)
+""")
 oracle("regional_price_list", f"SELECT plan_code, region, currency, max(monthly_price) AS monthly_price, max(annual_price) AS annual_price, count(*) AS tenants, {S('total_with_tax')} AS billed FROM tenant_prices GROUP BY 1,2,3")
 oracle("notification_trends", f"""
 WITH d AS (SELECT customer_id, summary_date, sum(total_sent) AS sent, sum(total_delivered) AS ok FROM notification_summary GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY summary_date) AS f, row_number() OVER (PARTITION BY customer_id ORDER BY summary_date DESC) AS l FROM d),

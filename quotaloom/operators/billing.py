@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, in_quarter, nvl, present, ratio, side_by_side, stack_rows, tally, under
+from quotaloom.functions.intervals import interval_join
 from quotaloom.operators.commercial import up_to
 from quotaloom.plans.registry import job
 
@@ -453,19 +454,13 @@ def price_book(spark: SparkSession) -> DataFrame:
     return F.broadcast(rows.withColumns({c: F.col(c).cast("date") for c in ("valid_from", "valid_to")}))
 
 
-@job
-def tenant_prices(subscriptions: DataFrame, price_book: DataFrame, *, as_of) -> DataFrame:
-    """Price in the region's currency: the book row valid today, else base price times rate; with tax."""
-    today = F.lit(as_of)
-    live = price_book.filter((F.col("valid_from") <= today) & (F.col("valid_to").isNull() | (today <= F.col("valid_to")))).drop("valid_from", "valid_to")
+def _priced(rows: DataFrame) -> DataFrame:
+    """Book prices where a book row was found, else base price times rate; with tax."""
     rate = by_value("currency", RATES, 1.0)
     base = lambda i: F.round(by_value("plan_code", {p: v[i] for p, v in PLANS.items()}) * rate, 2)
     charge = F.when(F.col("billing_interval") == "annual", F.col("annual_price")).otherwise(F.col("monthly_price"))
     return (
-        subscriptions.select("tenant_id", "plan_code", "billing_interval", "region", "has_tax_id")
-        .withColumn("currency", by_value("region", CURRENCY))
-        .join(live, ["plan_code", "region"], "left")
-        .withColumns(
+        rows.withColumns(
             {
                 "monthly_price": F.coalesce(F.col("book_monthly"), base(1)), "annual_price": F.coalesce(F.col("book_annual"), base(2)),
                 "from_book": F.col("book_monthly").isNotNull(), "tax_rate": tax_rate(), "tax_type": by_value("region", {r: v[1] for r, v in TAXES.items()}),
@@ -477,6 +472,63 @@ def tenant_prices(subscriptions: DataFrame, price_book: DataFrame, *, as_of) ->
     )
 
 
+@job
+def tenant_prices(subscriptions: DataFrame, price_book: DataFrame, *, as_of) -> DataFrame:
+    """Price in the region's currency: the book row valid today, else base price times rate; with tax."""
+    today = F.lit(as_of)
+    live = price_book.filter((F.col("valid_from") <= today) & (F.col("valid_to").isNull() | (today <= F.col("valid_to")))).drop("valid_from", "valid_to")
+    tenants = subscriptions.select("tenant_id", "plan_code", "billing_interval", "region", "has_tax_id").withColumn("currency", by_value("region", CURRENCY))
+    return _priced(tenants.join(live, ["plan_code", "region"], "left"))
+
+
+def usage_periods(meter_usage: DataFrame) -> DataFrame:
+    """(tenant_id, period, period_start): every month in which a tenant has metered usage."""
+    return meter_usage.select("tenant_id", "period").distinct().withColumn("period_start", F.to_date(F.concat("period", F.lit("-01"))))
+
+
+@job
+def tenant_prices_by_period(subscriptions: DataFrame, price_book: DataFrame, meter_usage: DataFrame) -> DataFrame:
+    """``tenant_prices`` for every month of usage, by the book row valid on the month's first day (interval join)."""
+    tenants = subscriptions.select("tenant_id", "plan_code", "billing_interval", "region", "has_tax_id").withColumn("currency", by_value("region", CURRENCY))
+    points = usage_periods(meter_usage).join(tenants, "tenant_id")
+    book = price_book.select("plan_code", "region", "book_monthly", "book_annual", "valid_from", "valid_to")
+    found = interval_join(points, book, ["plan_code", "region"], "period_start", "valid_from", "valid_to", end_inclusive=True)
+    return _priced(found.drop("valid_from", "valid_to", "period_start"))
+
+
+@job
+def invoice_lines_by_period(subscriptions: DataFrame, subscription_add_ons: DataFrame, overage_charges: DataFrame, ramp_steps: DataFrame, meter_usage: DataFrame) -> DataFrame:
+    """Invoice lines of every month of usage: the base line by the ramp step in force on the month's first day
+    (start <= day < end, first by start and step; its override, else its plan's price), else the subscription's
+    plan; add-ons not deactivated before the month; the month's overages."""
+    periods = usage_periods(meter_usage)
+    steps = ramp_steps.select("tenant_id", "step", "start_date", "end_date", F.col("plan_code").alias("step_plan"), "price_override")
+    in_force = interval_join(periods, steps, ["tenant_id"], "period_start", "start_date", "end_date").groupBy("tenant_id", "period").agg(
+        F.min_by(F.struct("step_plan", "price_override"), F.struct("start_date", "step")).alias("s")
+    )
+    plan = F.coalesce(F.col("s.step_plan"), F.col("plan_code"))
+    base = (
+        in_force.join(subscriptions.select("tenant_id", "plan_code", "billing_interval"), "tenant_id")
+        .withColumn("_plan", plan)
+        .select(
+            "tenant_id", "period", F.lit("subscription").alias("type"), by_value("_plan", {p: v[0] for p, v in PLANS.items()}).alias("item"), F.lit(1.0).alias("quantity"),
+            F.coalesce(F.col("s.price_override"), plan_price("_plan")).alias("amount"),
+        )
+    )
+    unit = by_value("add_on", {a: v[1] for a, v in ADD_ONS.items()})
+    per_unit = by_value("add_on", {a: v[2] for a, v in ADD_ONS.items()})
+    extras = (
+        subscription_add_ons.join(periods, "tenant_id")
+        .filter(F.col("deactivated_on").isNull() | (F.col("deactivated_on") >= F.col("period_start")))
+        .select(
+            "tenant_id", "period", F.lit("addon").alias("type"), by_value("add_on", {a: v[0] for a, v in ADD_ONS.items()}).alias("item"), F.col("quantity").cast("double").alias("quantity"),
+            F.when(per_unit, unit * F.col("quantity")).otherwise(unit).alias("amount"),
+        )
+    )
+    over = overage_charges.select("tenant_id", "period", F.lit("overage").alias("type"), F.col("meter").alias("item"), F.col("overage").cast("double").alias("quantity"), F.col("total").alias("amount"))
+    return reduce(DataFrame.unionByName, [base, extras, over]).withColumn("amount", F.round("amount", 6))
+
+
 @job
 def regional_price_list(tenant_prices: DataFrame) -> DataFrame:
     """Price of each plan in each region in use, with the tenants and revenue on it."""

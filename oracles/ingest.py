@@ -79,8 +79,9 @@ UNION ALL SELECT 'no_primary', account_id, 1 FROM contacts GROUP BY 2 HAVING {N(
 RULES = [("opportunities", "close_more_than_2y_past", "NOT is_closed AND close_date < $AS_OF - INTERVAL 24 MONTHS"), ("opportunities", "amount_over_100m", "amount>100000000"), ("opportunities", "won_without_amount", "is_won AND coalesce(amount,0)<=0"),
          ("opportunities", "close_before_created", "close_date<created_date"), ("opportunities", "owner_missing", "owner_id IS NULL"), ("activities", "completed_in_future", "is_completed AND activity_date>$AS_OF"), ("activities", "meeting_without_duration", "activity_type='Meeting' AND coalesce(duration_minutes,0)<=0")]
 oracle("record_rule_violations", " UNION ALL ".join(f"""SELECT '{t}' AS "table", '{r}' AS rule, count(*) AS "rows", {N(w)} AS violations FROM {t}""" for t, r, w in RULES))
+oracle("crm_b_match_names", "SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN 'custome' || substr(lower(c_name),9) WHEN c_custkey%7=0 THEN 'other ' || c_custkey ELSE lower(c_name) END AS name, CASE WHEN c_custkey%2=0 THEN lower(replace(c_name,'#','')) || '.example' END AS domain, CASE WHEN c_custkey%5=0 THEN c_custkey END AS manual_id FROM customer")
 oracle("account_matches", """
-WITH c AS (SELECT c_custkey AS id, CASE WHEN c_custkey%3=0 THEN 'custome' || substr(lower(c_name),9) WHEN c_custkey%7=0 THEN 'other ' || c_custkey ELSE lower(c_name) END AS name, CASE WHEN c_custkey%2=0 THEN lower(replace(c_name,'#','')) || '.example' END AS domain, CASE WHEN c_custkey%5=0 THEN c_custkey END AS manual_id FROM customer),
+WITH c AS (SELECT * FROM crm_b_match_names),
 n AS (SELECT id, account_id AS name_id, sim, row_number() OVER (PARTITION BY id ORDER BY sim DESC, account_id) AS rn FROM (SELECT id, account_id, 1-levenshtein(name, lower(account_name))/greatest(length(name), length(account_name)) AS sim FROM c, accounts) WHERE sim>0.9)
 SELECT c.id AS company_id, CASE WHEN d.account_id IS NOT NULL THEN 'domain' WHEN name_id IS NOT NULL THEN 'name' WHEN manual_id IS NOT NULL THEN 'manual' ELSE 'none' END AS matched_by, coalesce(d.account_id, name_id, manual_id) AS account_id, round(sim,6) AS similarity
 FROM c LEFT JOIN accounts d ON d.domain=c.domain LEFT JOIN (SELECT * FROM n WHERE rn=1) n ON n.id=c.id

@@ -1,9 +1,14 @@
 """Account matching between two CRMs: domain, then near-equal name, then a manual map.
 
-Near-equal means 1 - edit distance / longer length > 0.9.  Two names within k
-edits share a string that each reaches by deleting at most k characters, so an
-equality join on those strings finds every such pair and only near pairs:
-no block of merely similar names is ever paired with itself.
+Near-equal means 1 - edit distance / longer length > 0.9.  Candidates come from a segment index: a name of
+length L can only be near-equal to names within k = ceil(L/9) - 1 edits (a longer partner r has
+ed >= |r| - L and ed < |r|/10, so ed < L/9).  Cut into k+1 even segments, one of them survives any k edits
+unchanged; so each name is indexed by (L, segment, text), and each probe name emits, for each length L
+within reach, the substrings that can hold segment i after the edits: starts within i of its place and within
+k - i of its place shifted by the length difference (multi-match-aware windows).  An equality join on the
+signatures finds every near pair, each candidate is verified by ``levenshtein``, and no block of merely similar
+names is ever paired with itself.  A name has k+1 index rows and O(k^2) probes per length, so long names cost
+little, unlike the deletion variants this replaces.
 """
 
 from __future__ import annotations
@@ -17,20 +22,49 @@ from quotaloom.plans.registry import job
 SIMILARITY = 0.9
 
 
-def edits_allowed(name: str) -> Column:
-    """Largest edit distance a name of this length can have to a match."""
+def reach(length: Column) -> Column:
+    """Edits a near-equal partner of a name of this length can be away (similarity > 0.9)."""
+    return (F.ceil(length / 9) - 1).cast("int")
+
+
+def _cut(length: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment i of k+1 even segments of a string of ``length``."""
+    parts = reach(length) + 1
+    q, longer_from = F.floor(length / parts).cast("int"), parts - length % parts
+    return i * q + F.greatest(F.lit(0), i - longer_from), q + F.when(i >= longer_from, 1).otherwise(0)
+
+
+def _sig(length: Column, i: Column, text: Column) -> Column:
+    return F.struct(length.cast("int").alias("n"), i.cast("int").alias("i"), text.alias("t"))
+
+
+def segments(name: str) -> Column:
+    """Index signatures of a name: (length, segment, segment text) for each of its k+1 segments."""
     n = F.length(name)
-    return (F.ceil((n + F.ceil(n / 10)) / 10) - 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), reach(n)), lambda i: _sig(n, i, F.substring(name, _cut(n, i)[0] + 1, _cut(n, i)[1])))
 
 
-def shortened(name: str) -> Column:
-    """The name and every string reached by deleting up to the allowed characters."""
-    drop_one = lambda s: F.transform(
-        F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
-    )
-    grow = lambda seen, _: F.array_distinct(F.concat(seen, F.flatten(F.transform(F.filter(seen, lambda s: F.length(s) > 0), drop_one))))
-    steps = F.filter(F.sequence(F.lit(0), F.greatest(edits_allowed(name), F.lit(0))), lambda i: i > 0)
-    return F.aggregate(steps, F.array(F.col(name)), grow)
+def _span(lo: Column, hi: Column) -> Column:
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
+def probes(name: str) -> Column:
+    """Probe signatures: for each indexed length L within reach, substrings that can hold each of its segments."""
+    r = F.length(name)
+    lengths = F.filter(F.sequence(F.greatest(F.lit(1), r - F.ceil(r / 8).cast("int") - 1), r + F.ceil(r / 8).cast("int") + 1), lambda m: F.abs(r - m) <= reach(m))
+
+    def per_length(m: Column) -> Column:
+        k, delta = reach(m), r - m
+
+        def per_segment(i: Column) -> Column:
+            at, size = _cut(m, i)
+            lo = F.greatest(F.greatest(at - i, at + delta - (k - i)), F.lit(0))
+            hi = F.least(F.least(at + i, at + delta + (k - i)), r - size)
+            return F.transform(_span(lo, hi), lambda p: _sig(m, i, F.substring(name, p + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), k), per_segment))
+
+    return F.flatten(F.transform(lengths, per_length))
 
 
 def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -38,12 +72,14 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Distinct names are compared, so equal names never meet row by row; the smallest id stands for a name on the right.
     """
-    a = left.filter(F.length("name") > 0).select("name").distinct().select("name", F.explode(shortened("name")).alias("part"))
+    a = left.filter(F.length("name") > 0).select("name").distinct().select("name", F.explode(probes("name")).alias("sig"))
     names = right.filter(F.length("name") > 0).groupBy("name").agg(F.min("id").alias("other_id"))
-    b = names.select("other_id", F.col("name").alias("other"), F.explode(shortened("name")).alias("part"))
+    b = names.select("other_id", F.col("name").alias("other"), F.explode(segments("name")).alias("sig"))
     similarity = 1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other"))
     best = (
-        a.join(b, "part")
+        a.join(b, "sig")
+        .select("name", "other", "other_id")
+        .distinct()
         .withColumn("similarity", similarity)
         .filter(F.col("similarity") > SIMILARITY)
         .groupBy("name")
@@ -54,14 +90,9 @@ def near_names(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 @job
-def account_matches(crm_b_company: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Every second company has a website, every third a misspelt name, every fifth a manual entry."""
-    k = F.col("companyId")
-    typo = F.concat(F.lit("custome"), F.substring(F.lower("name"), F.lit(9), F.length("name")))
-    company = crm_b_company.select(
-        k.alias("id"), F.when(k % 3 == 0, typo).when(k % 7 == 0, F.concat(F.lit("other "), k.cast("string"))).otherwise(F.lower("name")).alias("name"),
-        F.when(k % 2 == 0, F.col("website")).alias("domain"), F.when(k % 5 == 0, k).alias("manual_id"),
-    )
+def account_matches(crm_b_match_names: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Domain first, then the best near-equal name, then the manual map."""
+    company = crm_b_match_names
     by_domain = accounts.groupBy("domain").agg(F.min("account_id").alias("domain_id"))
     near = near_names(company.select("id", "name"), accounts.select(F.col("account_id").alias("id"), F.lower("account_name").alias("name")))
     by_name = near.select("id", F.col("other_id").alias("name_id"), "similarity")

@@ -125,6 +125,18 @@ def crm_b_company(customer: DataFrame) -> DataFrame:
     )
 
 
+@job
+def crm_b_match_names(crm_b_company: DataFrame) -> DataFrame:
+    """The second CRM's companies as matching sees them: every second has a website, every third a misspelt name,
+    every seventh another name, every fifth a manual entry."""
+    k = F.col("companyId")
+    typo = F.concat(F.lit("custome"), F.substring(F.lower("name"), F.lit(9), F.length("name")))
+    return crm_b_company.select(
+        k.alias("id"), F.when(k % 3 == 0, typo).when(k % 7 == 0, F.concat(F.lit("other "), k.cast("string"))).otherwise(F.lower("name")).alias("name"),
+        F.when(k % 2 == 0, F.col("website")).alias("domain"), F.when(k % 5 == 0, k).alias("manual_id"),
+    )
+
+
 @job
 def crm_b_deal(orders: DataFrame) -> DataFrame:
     # Pipeline stage codes of feed B.

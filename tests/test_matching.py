@@ -27,3 +27,42 @@ def test_equals_brute_force(spark):
             want[i] = max(want.get(i, (0, 0)), (round(s, 6), -j))
     got = near_names(spark.createDataFrame(left, "id int, name string"), spark.createDataFrame(right, "id int, name string"))
     assert {r["id"]: (r["similarity"], -r["other_id"]) for r in got.collect()} == want
+
+
+def test_long_names_equal_brute_force_up_to_120_characters(spark):
+    import duckdb
+
+    rng = random.Random(8)
+    letters = "abcdefghij "
+    base = ["".join(rng.choice(letters) for _ in range(n)) for n in list(range(1, 121, 3)) + [9, 10, 18, 19, 27, 28, 90, 99, 100, 111, 120]]
+    edit = lambda s: s[: (p := rng.randrange(len(s)))] + rng.choice(["", "x", s[p] + "y", "zz"]) + s[p + 1 :]
+    names = base + [edit(s) for s in base for _ in range(2)]
+    for s in base[-4:]:
+        t = s
+        for _ in range(len(s) // 9):
+            t = edit(t)
+        names.append(t)
+    names += [s + "x" * (len(s) // 9) for s in base[-5:]]  # a longer partner at the edge of reach
+    left, right = list(enumerate(names)), list(enumerate(reversed(names)))
+    want = {}
+    pairs = duckdb.sql(
+        "SELECT l.i, r.j, 1 - levenshtein(l.a, r.b) / greatest(length(l.a), length(r.b)) AS s FROM (SELECT unnest(?) AS i, unnest(?) AS a) l, (SELECT unnest(?) AS j, unnest(?) AS b) r WHERE length(l.a) > 0 AND length(r.b) > 0",
+        params=[[i for i, _ in left], [a for _, a in left], [j for j, _ in right], [b for _, b in right]],
+    ).fetchall()
+    for i, j, s in pairs:
+        if s > 0.9:
+            want[i] = max(want.get(i, (0, 0)), (round(s, 6), -j))
+    got = near_names(spark.createDataFrame(left, "id int, name string"), spark.createDataFrame(right, "id int, name string"))
+    assert {r["id"]: (r["similarity"], -r["other_id"]) for r in got.collect()} == want
+    assert len(want) >= len(names)
+
+
+def test_signatures_per_name_stay_small(spark):
+    from pyspark.sql import functions as F
+
+    from quotaloom.operators.matching import probes, segments
+
+    rows = spark.createDataFrame([("a" * n,) for n in (1, 10, 60, 120)], "name string").select(F.length("name").alias("n"), F.size(segments("name")).alias("s"), F.size(probes("name")).alias("p")).collect()
+    for r in rows:
+        k = -(-r.n // 9) - 1
+        assert r.s == k + 1 and r.p <= (2 * k + 3) * (k + 1) ** 2

@@ -118,3 +118,38 @@ def totals_before(queries: DataFrame, events: DataFrame, key: str, query_day: st
         .select(F.col("_k").alias(key), F.col("_q").alias("_asof_day"), *[F.when(F.col(n).isNotNull() | F.col("_w_" + n).isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce("_w_" + n, F.lit(0))).alias(n) for n in names])
     )
     return queries.withColumn("_asof_day", F.to_date(query_day)).join(found, [key, "_asof_day"], "left").drop("_asof_day")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bands: int = 4096) -> DataFrame:
+    """(keys, one column per name of ``probs``): the value of rank ceil(n * p) of each group, as ``quantile_disc``.
+
+    Distributed selection in two passes, without a window over a whole group: rows are counted per (group, band)
+    of ``bands`` equal bands between the group's least and largest value (map-side partial counts); running
+    counts over a group's bands (at most ``bands`` rows) give the band that holds each wanted rank and the rank
+    inside it; then only the rows of those bands are counted per distinct value and ranked.  Exact at every size:
+    the second pass holds one band's distinct values, not the group's.  Ranks use p as the exact decimal it
+    prints as.  Null values are ignored; a group without values has no row.
+    """
+    from fractions import Fraction
+
+    rows = df.select(*keys, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = []
+    for name, p in probs.items():
+        f = Fraction(str(p))
+        rank = F.greatest(F.lit(1), F.floor((F.col("_n") * f.numerator + (f.denominator - 1)) / f.denominator)).cast("long")
+        wanted.append(F.struct(F.lit(name).alias("_name"), rank.alias("_r")))
+    targets = stats.select(*keys, F.inline(F.array(*wanted)))
+    lo, hi = F.col("_lo").cast("double"), F.col("_hi").cast("double")
+    band = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("_v").cast("double") - lo) / ((hi - lo) / bands)), F.lit(bands - 1))).cast("int")
+    placed = rows.join(stats.select(*keys, "_lo", "_hi"), keys).withColumn("_b", band).drop("_lo", "_hi")
+    counted = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    running = counted.withColumn("_upto", upto)
+    chosen = targets.join(running, keys).where((F.col("_upto") - F.col("_c") < F.col("_r")) & (F.col("_r") <= F.col("_upto"))).select(
+        *keys, "_name", "_b", (F.col("_r") - (F.col("_upto") - F.col("_c"))).alias("_rr")
+    )
+    values = placed.join(chosen.select(*keys, "_b").distinct(), [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
+    ranked = values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = chosen.join(ranked, [*keys, "_b"]).where((F.col("_upto") - F.col("_c") < F.col("_rr")) & (F.col("_rr") <= F.col("_upto")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in probs])

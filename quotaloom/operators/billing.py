@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quotaloom.functions.exprs import at_least, by_value, cases, days_ahead, exact_sum, in_quarter, nvl, present, ratio, side_by_side, stack_rows, tally, under
 from quotaloom.functions.intervals import interval_join
+from quotaloom.functions.ordered import exact_quantiles
 from quotaloom.operators.commercial import up_to
 from quotaloom.plans.registry import job
 
@@ -313,19 +314,20 @@ def integration_health(sync_state: DataFrame, active_alerts: DataFrame) -> DataF
 @job
 def notification_channels(notification_log: DataFrame) -> DataFrame:
     """Delivery, read rate and latency percentiles per channel and type."""
-    status, ms = F.col("status"), F.timestamp_diff("SECOND", F.col("sent_at"), F.col("delivered_at"))
-    p = F.percentile_approx(ms, [0.5, 0.9, 0.95, 0.99], 100000)
+    status = F.col("status")
+    keys = ["channel", "notification_type"]
+    timed = notification_log.withColumn("_latency", F.timestamp_diff("SECOND", F.col("sent_at"), F.col("delivered_at")))
+    p = exact_quantiles(timed, keys, "_latency", {"p50_seconds": 0.5, "p90_seconds": 0.9, "p95_seconds": 0.95, "p99_seconds": 0.99})
     return (
-        notification_log.groupBy("channel", "notification_type")
-        .agg(F.count("*").alias("total"), tally(status.isin("delivered", "read")).alias("delivered"), tally(status == "read").alias("read"), tally(status == "failed").alias("failed"), p.alias("_p"))
+        notification_log.groupBy(*keys)
+        .agg(F.count("*").alias("total"), tally(status.isin("delivered", "read")).alias("delivered"), tally(status == "read").alias("read"), tally(status == "failed").alias("failed"))
+        .join(p, keys, "left")
         .withColumns(
             {
                 "delivery_rate": ratio("delivered", "total", empty=0), "read_rate": ratio("read", "delivered", empty=0),
-                **{f"p{n}_seconds": F.get("_p", F.lit(i)) for i, n in enumerate((50, 90, 95, 99))},
-                "issues": F.array_join(present(F.when(F.col("delivered") * 100 < F.col("total") * 90, F.lit("low delivery rate")), F.when(F.get("_p", F.lit(2)) > 5, F.lit("p95 above 5 s"))), "; "),
+                "issues": F.array_join(present(F.when(F.col("delivered") * 100 < F.col("total") * 90, F.lit("low delivery rate")), F.when(F.col("p95_seconds") > 5, F.lit("p95 above 5 s"))), "; "),
             }
         )
-        .drop("_p")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotaloom.functions.exprs import (
     at_least, at_most, by_value, cases, exact_avg, exact_sum, nvl, present, ratio, side_by_side, stack_rows, tally,
 )
-from quotaloom.functions.ordered import number_from_counts
+from quotaloom.functions.ordered import exact_quantiles, number_from_counts
 from quotaloom.operators.commercial import end_of, since, up_to
 from quotaloom.plans.registry import job
 
@@ -275,22 +275,17 @@ def build_performance(build_log: DataFrame, *, as_of) -> DataFrame:
     """Counts and duration percentiles per tenant, table and trailing window, from one scan."""
     tags = present(*[F.when(within_hours(as_of, "build_timestamp", h), F.lit(w)) for w, h in WINDOWS.items()])
     ok, took = F.col("status") == "SUCCEEDED", F.col("duration_seconds")
-    p = F.percentile_approx(took, [0.5, 0.95, 0.99], 10000)
+    keys = ["customer_id", "dataset_path", "time_window"]
+    tagged = build_log.filter(within_hours(as_of, "build_timestamp", 720)).withColumn("time_window", F.explode(tags))
+    p = exact_quantiles(tagged, keys, "duration_seconds", {"p50_duration": 0.5, "p95_duration": 0.95, "p99_duration": 0.99})
     return (
-        build_log.filter(within_hours(as_of, "build_timestamp", 720))
-        .withColumn("time_window", F.explode(tags))
-        .groupBy("customer_id", "dataset_path", "time_window")
+        tagged.groupBy(*keys)
         .agg(
             F.count("*").alias("build_count"), tally(ok).alias("success_count"), tally(~ok).alias("failure_count"), exact_avg(took).alias("avg_duration_seconds"),
-            F.min(took).alias("min_duration_seconds"), F.max(took).alias("max_duration_seconds"), p.alias("_p"),
-        )
-        .withColumns(
-            {
-                **{f"p{n}_duration": F.get("_p", F.lit(i)) for i, n in enumerate((50, 95, 99))},
-                "success_rate": F.col("success_count") / F.col("build_count"), "failure_rate": F.col("failure_count") / F.col("build_count"),
-            }
+            F.min(took).alias("min_duration_seconds"), F.max(took).alias("max_duration_seconds"),
         )
-        .drop("_p")
+        .join(p, keys, "left")
+        .withColumns({"success_rate": F.col("success_count") / F.col("build_count"), "failure_rate": F.col("failure_count") / F.col("build_count")})
     )
 
 

@@ -137,7 +137,7 @@ _texts = {
 oracle("alert_rule_events", f"""
 WITH d AS (SELECT {N("NOT is_closed")} AS n_live, {N("NOT is_closed AND days_since_activity>14")} AS n_stale, {N("NOT is_closed AND health_category='Critical'")} AS n_critical, {S("amount", "NOT is_closed AND health_category='Critical'")} AS critical_amount,
  {S("amount", "close_date BETWEEN DATE '2001-10-01' AND DATE '2001-12-31' AND (is_won OR (NOT is_closed AND forecast_category='Commit'))")} AS projected FROM deal_health),
-f AS (SELECT * FROM build_log WHERE status<>'success' AND build_timestamp > DATE '2001-12-31' AND build_timestamp < DATE '2002-01-01'),
+f AS (SELECT * FROM build_log WHERE status='FAILED' AND build_timestamp > DATE '2001-12-31' AND build_timestamp < DATE '2002-01-01'),
 b AS (SELECT count(*) AS n_failed, min(build_id) AS build_id, (SELECT dataset_path FROM f ORDER BY build_id LIMIT 1) AS dataset_path, (SELECT error_message FROM f ORDER BY build_id LIMIT 1) AS error_message FROM f),
 m AS (SELECT d.*, b.*, (SELECT overall_score FROM data_quality_summary) AS quality, (SELECT max(datesub('second', last_success_at, TIMESTAMP '2002-01-01')/60) FROM sync_state) AS delay,
  (SELECT max(1-avg_accuracy) FROM forecast_accuracy WHERE recommended) AS missed, (SELECT {S("quota_amount")} FROM quotas) AS quota FROM d, b)

@@ -34,7 +34,7 @@ oracle("sql_rep_leaderboard", "SELECT rep_name, region, round(ytd_attainment*100
 oracle("sql_month_quota_share", f"SELECT round(100.0*{S('amount', 'is_won')}/(SELECT {S('quota_amount')} FROM quotas),2) AS attainment_pct FROM deal_health WHERE close_date BETWEEN DATE '2001-12-01' AND $AS_OF")
 oracle("sql_recently_updated_deals", f"SELECT opportunity_id, opportunity_name, account_name, stage_name, amount, close_date, owner_name, last_modified_date FROM staging_opportunities WHERE {OPEN} ORDER BY last_modified_date DESC, opportunity_id LIMIT 10")
 oracle("sql_commit_change", "SELECT a.snapshot_date, a.commit_amount, b.commit_amount AS previous, a.commit_amount-b.commit_amount AS change FROM (SELECT * FROM forecast_history ORDER BY snapshot_date DESC LIMIT 1) a, (SELECT * FROM forecast_history ORDER BY snapshot_date DESC LIMIT 1 OFFSET 1) b")
-oracle("sql_week_build_success", f"SELECT customer_id, count(*) AS builds, round(count(*) FILTER (WHERE status='success')/count(*),4) AS build_success_rate FROM build_log WHERE build_timestamp > {END} - INTERVAL 7 DAYS AND build_timestamp < {END} GROUP BY 1")
+oracle("sql_week_build_success", f"SELECT customer_id, count(*) AS builds, round(count(*) FILTER (WHERE status='SUCCEEDED')/count(*),4) AS build_success_rate FROM build_log WHERE build_timestamp > {END} - INTERVAL 7 DAYS AND build_timestamp < {END} GROUP BY 1")
 oracle("sql_sla_overview", "SELECT customer_id, build_success_rate, freshness_rate, overall_sla_met FROM sla_tracking")
 oracle("sql_user_access", f"SELECT build_id, dataset_path, build_timestamp FROM build_log WHERE customer_id=8 AND build_timestamp > {END} - INTERVAL 30 DAYS")
 oracle("sql_forecast_snapshots", "SELECT snapshot_date, closed_won, commit_amount, ai_forecast, target FROM forecast_history WHERE snapshot_date >= $AS_OF - 180")

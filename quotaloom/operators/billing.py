@@ -411,7 +411,7 @@ def alert_rule_events(deal_health: DataFrame, build_log: DataFrame, data_quality
         tally(live).alias("_live"), tally(stale).alias("_stale"), tally(critical).alias("_critical"), exact_sum("amount", where=critical).alias("_critical_amount"),
         exact_sum("amount", where=in_quarter(as_of, "close_date") & (F.col("is_won") | (live & (F.col("forecast_category") == "Commit")))).alias("_projected"),
     )
-    failed = build_log.filter((F.col("build_timestamp") > now - F.expr("INTERVAL 24 HOURS")) & (F.col("build_timestamp") < now) & (F.col("status") != "success"))
+    failed = build_log.filter((F.col("build_timestamp") > now - F.expr("INTERVAL 24 HOURS")) & (F.col("build_timestamp") < now) & (F.col("status") == "FAILED"))
     build = failed.agg(F.count("*").alias("_failed"), F.min_by(F.struct("build_id", "dataset_path", "error_message"), "build_id").alias("_build"))
     behind = sync_state.agg(F.max(F.timestamp_diff("SECOND", F.col("last_success_at"), now) / 60).alias("_delay"))
     quality = data_quality_summary.select(F.col("overall_score").alias("_quality"))

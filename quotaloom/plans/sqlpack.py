@@ -140,7 +140,7 @@ REPORTS = {
         ("forecast_history",),
     ),
     "sql_week_build_success": Report(
-        "SELECT customer_id, count(*) AS builds, round(count_if(status = 'success') / count(*), 4) AS build_success_rate FROM {build_log} WHERE build_timestamp > CAST(:now AS TIMESTAMP_NTZ) - INTERVAL 7 DAYS AND build_timestamp < CAST(:now AS TIMESTAMP_NTZ) GROUP BY customer_id",
+        "SELECT customer_id, count(*) AS builds, round(count_if(status = 'SUCCEEDED') / count(*), 4) AS build_success_rate FROM {build_log} WHERE build_timestamp > CAST(:now AS TIMESTAMP_NTZ) - INTERVAL 7 DAYS AND build_timestamp < CAST(:now AS TIMESTAMP_NTZ) GROUP BY customer_id",
         ("build_log",), ("now",),
     ),
     "sql_contract_violations": Report("SELECT table, field, rule, violations FROM {contract_violations} WHERE violations > 0", ("contract_violations",)),

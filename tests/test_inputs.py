@@ -65,3 +65,12 @@ def test_stored_tables_serve_the_same_rows(spark, tables, tmp_path):
 def test_message_templates(spark):
     text = filled("{value:.1%} of {threshold:.0f}, ${amount:,.0f} in {name}", {"value": F.lit(0.1234), "threshold": F.lit(60.0), "amount": F.lit(1234567.4), "name": F.lit(None).cast("string")})
     assert spark.range(1).select(text).first()[0] == "12.3% of 60, $1,234,567 in "
+
+
+def test_build_success_shares_read_the_feed_statuses(spark):
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    rows = q["sql_week_build_success"](spark, "/root/testdata/sf0.01").collect()
+    shares = [r.build_success_rate for r in rows]
+    assert rows and 0 < sum(shares) / len(shares) < 1 and any(0 < s < 1 for s in shares)

@@ -36,6 +36,17 @@ def daily_active_usage(product_events: DataFrame, late: str = "2 days") -> DataF
     )
 
 
+def daily_user_sketches(product_events: DataFrame, late: str = "2 days", lg_k: int = 12) -> DataFrame:
+    """Per account and day a mergeable sketch of its users, appended once the watermark passes the day; the batch
+    ``merged_active_users`` turns stored sketches into 7 and 30 day counts."""
+    return (
+        product_events.withWatermark("event_timestamp", late)
+        .groupBy("account_id", F.window("event_timestamp", "1 day").alias("w"))
+        .agg(F.hll_sketch_agg("user_id", lg_k).alias("users"), F.count("*").alias("events"))
+        .select("account_id", F.to_date("w.start").alias("usage_date"), "users", "events")
+    )
+
+
 def alert_cooldown(alerts: DataFrame, cooldown: str = "1 hour") -> DataFrame:
     """At most one alert per type and tenant within the cooldown."""
     return alerts.withWatermark("triggered_at", cooldown).dropDuplicatesWithinWatermark(["alert_type", "customer_id"])

@@ -72,6 +72,21 @@ def A(x: str, where: str | None = None, digits: int = 2) -> str:
     return f"(sum(round(({x}) * {10**digits})::BIGINT){flt}::DOUBLE / count({x}){flt} / {10**digits}.0)"
 
 
+def SD(x: str, digits: int = 4) -> str:
+    """Twin of ``exact_stddev``: exact fixed-point moments, then double."""
+    s = f"round(({x}) * {10**digits})::BIGINT::HUGEINT"
+    return f"(CASE WHEN count({x}) > 1 THEN sqrt((count({x})::HUGEINT * sum({s} * {s}) - sum({s}) * sum({s}))::DOUBLE / (count({x}) * (count({x}) - 1))::DOUBLE) / {float(10**digits)} END)"
+
+
+def CORR(y: str, x: str, y_digits: int = 0, x_digits: int = 2) -> str:
+    """Twin of ``exact_corr``."""
+    both = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
+    a, b = (f"CASE WHEN {both} THEN round(({v}) * {10**d})::BIGINT::HUGEINT END" for v, d in ((x, x_digits), (y, y_digits)))
+    n = f"count({a})::HUGEINT"
+    sxy, sxx, syy = (f"({n} * sum({p} * {q}) - sum({p}) * sum({q}))" for p, q in ((a, b), (a, a), (b, b)))
+    return f"(CASE WHEN {sxx} > 0 AND {syy} > 0 THEN {sxy}::DOUBLE / sqrt({sxx}::DOUBLE * {syy}::DOUBLE) END)"
+
+
 def N(where: str) -> str:
     return f"count(*) FILTER (WHERE {where})"
 

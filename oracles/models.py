@@ -1,4 +1,4 @@
-from oracles import A, L, M, N, QUARTER_AS_OF, R, RD, S, oracle
+from oracles import CORR, A, L, M, N, QUARTER_AS_OF, R, RD, S, oracle
 
 ORDER = M("stage_name", {"Prospecting": 1, "Discovery": 2, "Solution Design": 3, "Proposal": 4, "Negotiation": 5, "Verbal Commit": 6}, 0)
 IN_Q = "close_date BETWEEN DATE '2001-10-01' AND DATE '2001-12-31'"
@@ -32,7 +32,7 @@ oracle("deal_features", features("NOT is_closed"))
 oracle("closed_features", features("is_closed AND close_date >= $AS_OF - 30", point_in_time=True))
 DEF = {"stage_order": 0.15, "engagement_score": 0.12, "activity_momentum": 0.1, "owner_win_rate": 0.1, "meetings_count": 0.08, "multi_thread_score": 0.08, "account_previous_wins": 0.07, "days_since_last_activity": -0.08, "stage_velocity_vs_benchmark": -0.06}
 oracle("model_weights", f"""
-WITH x AS (SELECT count(*) AS n, round(corr(is_won::INT, coalesce(total_activities,0)),6) AS r1, round(corr(is_won::INT, coalesce(meetings,0)),6) AS r2, round(corr(is_won::INT, amount),6) AS r3 FROM win_loss_details)
+WITH x AS (SELECT count(*) AS n, round({CORR("is_won::INT", "coalesce(total_activities,0)", 0, 0)},6) AS r1, round({CORR("is_won::INT", "coalesce(meetings,0)", 0, 0)},6) AS r2, round({CORR("is_won::INT", "amount", 0, 2)},6) AS r3 FROM win_loss_details)
 SELECT feature, weight::DOUBLE AS weight, $AS_OF AS trained_at, CASE WHEN n>=100 THEN n ELSE 0 END AS training_samples, CASE WHEN n>=100 THEN 'v20011231' ELSE 'default' END AS model_version FROM (
 SELECT n, 'total_activities' AS feature, r1*0.1 AS weight FROM x WHERE n>=100 AND r1 IS NOT NULL UNION ALL SELECT n, 'meetings_count', r2*0.1 FROM x WHERE n>=100 AND r2 IS NOT NULL UNION ALL SELECT n, 'amount', r3*0.1 FROM x WHERE n>=100 AND r3 IS NOT NULL
 {" ".join(f"UNION ALL SELECT n, '{f}', {w} FROM x" + (" WHERE n<100" if f == "meetings_count" else "") for f, w in DEF.items())})

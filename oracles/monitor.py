@@ -1,4 +1,4 @@
-from oracles import A, L, M, N, R, RD, S, oracle
+from oracles import SD, A, L, M, N, R, RD, S, oracle
 
 END = "($AS_OF + 1)::TIMESTAMP"
 _h = lambda c: f"datesub('second', {c}, {END})/3600"
@@ -96,14 +96,14 @@ oracle("chat_messages", """SELECT md5('message|' || escalation_id) AS message_id
 oracle("paging_incidents", "SELECT md5('incident|' || escalation_id) AS incident_id, escalation_id, 'Pipeline Alert: ' || split_part(dataset_path,'/',3) AS title, CASE WHEN urgency='high' THEN 'high' ELSE 'low' END AS urgency, 'Dataset: ' || dataset_path || '. Reason: ' || decision_reason AS body, escalation_ts AS created_ts FROM escalation_queue WHERE escalation_channel='pagerduty'")
 oracle("api_execution_summary", "SELECT *, build_api_requests+tickets_created+chat_messages_sent+paging_incidents AS total_api_calls, $AS_OF AS summary_ts FROM (SELECT count(*) AS build_api_requests FROM api_build_requests), (SELECT count(*) AS tickets_created FROM review_tickets), (SELECT count(*) AS chat_messages_sent FROM chat_messages), (SELECT count(*) AS paging_incidents FROM paging_incidents)")
 oracle("threshold_recommendations", f"""
-WITH s AS (SELECT coalesce({A("avg_latency_ms", None, 4)},0) AS a, coalesce(round(stddev_samp(avg_latency_ms),4),0) AS sd, coalesce({A("avg_null_pct", None, 4)},0) AS nl, coalesce(avg(quality_issue_datasets),0) AS iss FROM build_summary), e AS (SELECT {N("action_effective")}/greatest(count(*),1) AS rate, count(*) AS n FROM action_feedback),
+WITH s AS (SELECT coalesce({A("avg_latency_ms", None, 4)},0) AS a, coalesce(round({SD("avg_latency_ms", 4)},4),0) AS sd, coalesce({A("avg_null_pct", None, 4)},0) AS nl, coalesce(avg(quality_issue_datasets),0) AS iss FROM build_summary), e AS (SELECT {N("action_effective")}/greatest(count(*),1) AS rate, count(*) AS n FROM action_feedback),
 x AS (SELECT *, a+sd*2 AS hi, a+sd*3 AS lo FROM s, e),
 r AS (SELECT 'latency_threshold_ms' AS config_key, '5000' AS current_value, trunc(hi)::INT::VARCHAR AS recommended_value, 0.8 AS confidence, 'Reduce false positive slow alerts' AS impact FROM x WHERE hi>5000 UNION ALL SELECT 'latency_threshold_ms', '5000', greatest(1000,trunc(lo)::INT)::VARCHAR, 0.7, 'Earlier detection of performance degradation' FROM x WHERE hi<=5000 AND lo<2500
  UNION ALL SELECT 'null_percentage_threshold', '20.0', '10.0', 0.75, 'Catch data quality issues earlier' FROM x WHERE nl<5 AND iss=0 UNION ALL SELECT 'agent_confidence_threshold', '0.7', '0.8', 0.85, 'Fewer unsuccessful auto-remediation attempts' FROM x WHERE n>10 AND rate<0.6 UNION ALL SELECT 'agent_confidence_threshold', '0.7', '0.6', 0.7, 'More issues auto-remediated' FROM x WHERE n>10 AND rate>0.9)
 SELECT * FROM r UNION ALL SELECT 'SYSTEM_STATUS', 'N/A', 'N/A', 1.0, 'No changes needed' WHERE NOT EXISTS (SELECT 1 FROM r)
 """)
 oracle("model_performance_metrics", f"""
-SELECT *, high>0.5 OR low>0.5 OR confidence_stddev<0.1 AS drift_detected, CASE WHEN high>0.5 OR low>0.5 OR confidence_stddev<0.1 THEN 'warning' ELSE 'info' END AS alert_level, 'deal_win_predictor' AS model_name, $AS_OF AS metric_ts FROM (SELECT count(*) AS prediction_count, {A("win_probability/100", None, 3)} AS avg_confidence, round(stddev_samp(win_probability/100),6) AS confidence_stddev,
+SELECT *, high>0.5 OR low>0.5 OR confidence_stddev<0.1 AS drift_detected, CASE WHEN high>0.5 OR low>0.5 OR confidence_stddev<0.1 THEN 'warning' ELSE 'info' END AS alert_level, 'deal_win_predictor' AS model_name, $AS_OF AS metric_ts FROM (SELECT count(*) AS prediction_count, {A("win_probability/100", None, 3)} AS avg_confidence, round({SD("win_probability/100", 6)},6) AS confidence_stddev,
  {N("win_probability/100>0.7")}/count(*) AS high, {N("win_probability/100<0.3")}/count(*) AS low, (count(*)-{N("win_probability/100>0.7")}-{N("win_probability/100<0.3")})/count(*) AS medium FROM deal_predictions)
 """)
 oracle("model_explanations", """

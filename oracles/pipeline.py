@@ -1,4 +1,4 @@
-from oracles import A, L, M, N, QUARTER_AS_OF, R, S, oracle
+from oracles import SD, A, L, M, N, QUARTER_AS_OF, R, S, oracle
 
 oracle("deal_health", f"""
 SELECT *, {L("health_score", ">=", [(80, "Healthy"), (60, "Monitor"), (40, "At Risk")], "Critical")} AS health_category,
@@ -182,7 +182,7 @@ SELECT *, {L("delay_ratio", ">=", [(2.5, "CRITICAL"), (2.0, "HIGH"), (1.5, "MEDI
  {M("activity", dims.BOTTLENECK_ACTION, "Review individual cases for patterns")} AS recommended_action,
  round(bottleneck_rate*0.4 + delay_ratio*20 + log10(bottleneck_revenue+1)*5, 0) AS priority_score
 FROM (SELECT *, round(avg_duration/benchmark_days,2) AS delay_ratio, round(bottleneck_count*100.0/total_occurrences,1) AS bottleneck_rate, greatest(avg_deviation,0.0) AS days_lost_per_deal
-FROM (SELECT activity, count(*) AS total_occurrences, round(avg(duration_days),1) AS avg_duration, round(stddev_samp(duration_days),1) AS stddev_duration,
+FROM (SELECT activity, count(*) AS total_occurrences, round(avg(duration_days),1) AS avg_duration, round({SD("duration_days", 4)},1) AS stddev_duration,
  min(duration_days) AS min_duration, max(duration_days) AS max_duration, max(benchmark_days) AS benchmark_days, round(avg(deviation_days),1) AS avg_deviation,
  {N("is_bottleneck")} AS bottleneck_count, {N("is_rework")} AS rework_count, {S("amount", "is_bottleneck")} AS bottleneck_revenue
  FROM process_events WHERE activity NOT IN ('Lead Created','Closed Won','Closed Lost') GROUP BY 1))

@@ -77,6 +77,35 @@ def exact_sum(x: ColumnLike, digits: int = 2, where: Column | None = None) -> Co
     return F.coalesce(_limbs(_scaled(x, digits, where)), F.lit(0.0)) / F.lit(float(10**digits))
 
 
+def _fixed(x: ColumnLike, digits: int) -> Column:
+    return F.round(c(x) * (10**digits)).cast("bigint").cast("decimal(38,0)")
+
+
+def exact_stddev(x: ColumnLike, digits: int = 4) -> Column:
+    """Sample standard deviation of ``x`` in fixed point (``digits`` decimals), the same bits under any partitioning.
+
+    n, the sum and the sum of squares of s = round(x * 10**digits) are whole numbers summed exactly (decimal(38,0),
+    an overflow raises), so n*sum(s^2) - sum(s)^2 is exact; one division, a square root and the scale follow in
+    double.  Null below two values.
+    """
+    s = _fixed(x, digits)
+    n = F.count(s)
+    spread = n.cast("decimal(38,0)") * F.sum(s * s) - F.sum(s) * F.sum(s)
+    return F.when(n > 1, F.sqrt(spread.cast("double") / (n * (n - 1)).cast("double")) / float(10**digits))
+
+
+def exact_corr(y: ColumnLike, x: ColumnLike, y_digits: int = 0, x_digits: int = 2) -> Column:
+    """Pearson correlation from exact fixed-point sums, products and squares of the rows where both are present;
+    null when either side does not vary.  The same bits under any partitioning."""
+    both = c(x).isNotNull() & c(y).isNotNull()
+    a, b = F.when(both, _fixed(x, x_digits)), F.when(both, _fixed(y, y_digits))
+    n = F.count(a).cast("decimal(38,0)")
+    sxy = n * F.sum(a * b) - F.sum(a) * F.sum(b)
+    sxx = n * F.sum(a * a) - F.sum(a) * F.sum(a)
+    syy = n * F.sum(b * b) - F.sum(b) * F.sum(b)
+    return F.when((sxx > 0) & (syy > 0), sxy.cast("double") / F.sqrt(sxx.cast("double") * syy.cast("double")))
+
+
 def _scaled(x: ColumnLike, digits: int, where: Column | None) -> Column:
     scaled = F.round(c(x) * (10**digits)).cast("bigint")
     return scaled if where is None else F.when(where, scaled)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaloom import dims
-from quotaloom.functions.exprs import (
+from quotaloom.functions.exprs import (  # noqa: I001
+    exact_corr,
     age_days, at_least, by_value, cases, days_ahead, exact_avg, exact_sum, in_quarter, nvl, present, quarter_label, ratio,
     row_of, side_by_side, stack_rows, tally,
 )
@@ -109,12 +110,12 @@ def model_weights(win_loss_details: DataFrame, activities: DataFrame, *, as_of)
         F.count("*").alias("n"), tally(F.col("activity_type") == "Meeting").alias("m")
     )
     outcome = F.col("is_won").cast("double")
-    learned = {"total_activities": nvl("n", 0), "meetings_count": nvl("m", 0), "amount": F.col("amount")}
+    learned = {"total_activities": (nvl("n", 0), 0), "meetings_count": (nvl("m", 0), 0), "amount": (F.col("amount"), 2)}
     one = (
         win_loss_details.filter(F.col("close_date").isNotNull())
         .select("opportunity_id", "is_won", "amount")
         .join(touches, "opportunity_id", "left")
-        .agg(F.count("*").alias("samples"), *[F.round(F.corr(outcome, x.cast("double")), 6).alias(f"r_{n}") for n, x in learned.items()])
+        .agg(F.count("*").alias("samples"), *[F.round(exact_corr(outcome, x, 0, digits), 6).alias(f"r_{n}") for n, (x, digits) in learned.items()])
     )
     enough = F.col("samples") >= MIN_TRAINING_DEALS
     row = lambda name, weight: F.struct(F.lit(name).alias("feature"), weight.cast("double").alias("weight"))

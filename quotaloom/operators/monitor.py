@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotaloom.functions.exprs import (
+from quotaloom.functions.exprs import (  # noqa: I001
+    exact_stddev,
     at_least, at_most, by_value, cases, exact_avg, exact_sum, nvl, present, ratio, side_by_side, stack_rows, tally,
 )
 from quotaloom.functions.ordered import exact_quantiles, number_from_counts
@@ -537,7 +538,7 @@ def schema_drift_alerts(table_profile: DataFrame, *, as_of) -> DataFrame:
 def threshold_recommendations(build_summary: DataFrame, action_feedback: DataFrame) -> DataFrame:
     """Latency, null-rate and effectiveness rules as 0..n rows, or one all-good row."""
     stats = build_summary.agg(
-        nvl(exact_avg("avg_latency_ms", 4), 0.0).alias("avg"), nvl(F.round(F.stddev_samp("avg_latency_ms"), 4), 0.0).alias("sd"),
+        nvl(exact_avg("avg_latency_ms", 4), 0.0).alias("avg"), nvl(F.round(exact_stddev("avg_latency_ms", 4), 4), 0.0).alias("sd"),
         nvl(exact_avg("avg_null_pct", 4), 0.0).alias("nulls"), nvl(F.avg("quality_issue_datasets"), 0.0).alias("issues"),
     )
     eff = action_feedback.agg((tally("action_effective") / F.greatest(F.count("*"), F.lit(1))).alias("rate"), F.count("*").alias("n"))
@@ -563,7 +564,7 @@ def model_performance_metrics(deal_predictions: DataFrame, *, as_of) -> DataFram
     drift = (F.col("high") > 0.5) | (F.col("low") > 0.5) | (F.col("confidence_stddev") < 0.1)
     return (
         deal_predictions.agg(
-            F.count("*").alias("prediction_count"), nvl(exact_avg(p, 3), 0.5).alias("avg_confidence"), nvl(F.round(F.stddev_samp(p), 6), 0.0).alias("confidence_stddev"),
+            F.count("*").alias("prediction_count"), nvl(exact_avg(p, 3), 0.5).alias("avg_confidence"), nvl(F.round(exact_stddev(p, 6), 6), 0.0).alias("confidence_stddev"),
             tally(p > 0.7).alias("_h"), tally(p < 0.3).alias("_l"),
         )
         .withColumns({"high": ratio("_h", n, empty=0), "low": ratio("_l", n, empty=0), "medium": ratio(n - F.col("_h") - F.col("_l"), n, empty=0)})

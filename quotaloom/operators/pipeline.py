@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaloom import dims
-from quotaloom.functions.exprs import (
+from quotaloom.functions.exprs import (  # noqa: I001
+    exact_stddev,
     age_days, at_least, by_value, cases, days_ahead, exact_avg, exact_sum, nvl, quarter_bounds, quarter_label,
     ratio, tally, yes,
 )
@@ -283,7 +284,7 @@ def process_bottlenecks(process_events: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("total_occurrences"),
             F.round(F.avg("duration_days"), 1).alias("avg_duration"),
-            F.round(F.stddev_samp("duration_days"), 1).alias("stddev_duration"),
+            F.round(exact_stddev("duration_days", 4), 1).alias("stddev_duration"),
             F.min("duration_days").alias("min_duration"),
             F.max("duration_days").alias("max_duration"),
             F.max("benchmark_days").alias("benchmark_days"),

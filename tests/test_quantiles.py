@@ -23,3 +23,25 @@ def test_equals_quantile_disc_with_many_distinct_values_ties_and_nulls(spark):
     cols = ", ".join(f"quantile_disc(v, {p})" for p in PROBS.values())
     want = {g: tuple(vals) for g, *vals in con.execute(f"SELECT g, {cols} FROM t WHERE v IS NOT NULL GROUP BY g").fetchall()}
     assert got == want
+
+
+def test_exact_moments_have_the_same_bits_under_any_partitioning(spark):
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from quotaloom.functions.exprs import exact_corr, exact_stddev
+
+    r = random.Random(6)
+    rows = [(r.randrange(3), round(r.uniform(-1e4, 1e4), 2), float(r.random() < 0.3), None if r.random() < 0.05 else round(r.gauss(50, 20), 2)) for _ in range(30_000)]
+    df = spark.createDataFrame(rows, "g int, x double, y double, z double")
+    aggs = [exact_stddev("x", 2).alias("sd"), exact_corr("y", "z", 0, 2).alias("r")]
+    runs = [{row.g: (row.sd, row.r) for row in d.groupBy("g").agg(*aggs).collect()} for d in (df.repartition(1), df.repartition(7), df.orderBy(F.rand(3)).repartition(13))]
+    assert runs[0] == runs[1] == runs[2]
+    for g, (sd, corr) in runs[0].items():
+        xs = [x for k, x, _, _ in rows if k == g]
+        assert abs(sd - statistics.stdev(xs)) <= 1e-9 * sd
+        pairs = [(y, z) for k, _, y, z in rows if k == g and z is not None]
+        assert abs(corr - statistics.correlation([p[0] for p in pairs], [p[1] for p in pairs])) <= 1e-9
+    one = spark.createDataFrame([(1, 2.0, 1.0, 1.0)], "g int, x double, y double, z double").groupBy("g").agg(*aggs).first()
+    assert one.sd is None and one.r is None

@@ -86,7 +86,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, first = word_hashes(texts[lo:hi])
             for a, b in zip(first[:-1], first[1:]):
                 marks.append(int(shingles(hashes[a:b], 5).min(initial=2**64 - 1)) >> 1)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=["toxic", "text", "mark"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], names=[*batch.schema.names, "mark"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     share = F.lit(min(1.0, sample / max(n, 1)) * 1e6)
     chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "lid"), F.lit(10**6)) < share).where("toxic in (0, 1)")
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("lid"))
-    marked = arrow_pass(rows.where("text is not null").select("toxic", "text"), _marked, "toxic int, text string, mark long")
-    rows = store(marked.dropDuplicates(["toxic", "mark"]).select("toxic", "text"), "toxicity-sample")
+    picked = rows.where("text is not null").select("toxic", "text", F.col("id").cast("string").alias("id"))
+    marked = arrow_pass(picked, _marked, "toxic int, text string, id string, mark long")
+    # one text per label and near-copy mark: the one of the least id (then text), whatever the partitioning
+    first = marked.groupBy("toxic", "mark").agg(F.min_by("text", F.struct("id", "text")).alias("text"))
+    rows = store(first.select("toxic", "text"), "toxicity-sample")
     counts = store(arrow_pass(rows, _counted, "unit binary, y1 long, y0 long").groupBy("unit").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "toxicity-counts")
     totals = {bytes(r["unit"]): r for r in counts.where("unit in (X'', X'20')").collect()}
     if not totals or not totals[b""]["y1"] or not totals[b""]["y0"]:

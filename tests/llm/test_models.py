@@ -180,3 +180,13 @@ def test_all_are_registered():
     assert "pipeline" in known
     for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in known) == 1
+
+
+def test_toxicity_model_does_not_depend_on_partitioning(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where(~queries.held_out())
+    scored = []
+    for parts in (1, 7):
+        model = toxicity.train(docs.repartition(parts), labels.repartition(parts))
+        scored.append({r.doc_id: r.score for r in toxicity.score(docs, model).collect()})
+    assert scored[0] == scored[1]

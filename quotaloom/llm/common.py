@@ -29,9 +29,15 @@ def col(name: str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediates; a folder of our own only where none is configured (local mode)."""
+    """The cluster's shared folder for intermediates (``spark.checkpoint.dir``).
+
+    Where none is configured, a folder of our own is made only in local mode, where driver and executors share one
+    machine; on a cluster a machine-local folder would lose what executors wrote, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quotaloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

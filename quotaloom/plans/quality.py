@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotaloom.functions.exprs import nvl, tally
@@ -218,3 +218,79 @@ def check_contract(df: DataFrame, table: str, rules: tuple[FieldRule, ...]) -> D
 def contract_violations(opportunities: DataFrame, activities: DataFrame) -> DataFrame:
     named = {"opportunities": opportunities, "activities": activities}
     return reduce(DataFrame.unionByName, [check_contract(df, n, CONTRACTS[n]) for n, df in named.items()])
+
+
+#: Violation types of the log, by rule.
+VIOLATION_TYPES = {"missing": "missing_field", "type": "invalid_type", "required": "null_value", "range": "out_of_range", "allowed": "invalid_enum", "length": "too_long", "pattern": "invalid_format"}
+#: The key field of each contract, whose repeats are ``duplicate`` violations, and the system it comes from.
+CONTRACT_KEYS = {"opportunities": "opportunity_id", "activities": "activity_id"}
+SOURCE_SYSTEMS = {"opportunities": "crm", "activities": "crm"}
+SAMPLES = 5
+
+
+def violation_hits(df: DataFrame, table: str, rules: tuple[FieldRule, ...]) -> DataFrame:
+    """Every rule hit of every row melted into (contract, field, type, value) rows, and one row per repeat of the key."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    hits = []
+    for r in rules:
+        if r.name not in kinds:
+            continue  # a missing field is one violation of the contract, not of rows; it is added in ``contract_violation_log``
+        col = F.col(r.name)
+        tests = {
+            "type": F.lit(kinds[r.name] != r.dtype),
+            "required": col.isNull() if r.required else None,
+            "range": (col < r.low) | (col > r.high) if r.low is not None else None,
+            "allowed": ~col.isin(*r.allowed) if r.allowed else None,
+            "length": F.length(col) > r.longest if r.longest else None,
+            "pattern": ~col.rlike(r.pattern) if r.pattern else None,
+        }
+        for rule, t in tests.items():
+            if t is not None:
+                hits.append(F.when(nvl(t, False), F.struct(F.lit(r.name).alias("field_name"), F.lit(VIOLATION_TYPES[rule]).alias("violation_type"), col.cast("string").alias("value"))))
+    melted = df.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select("h.*") if hits else None
+    key = CONTRACT_KEYS.get(table)
+    if key in kinds:
+        repeated = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+        dupes = repeated.select(F.lit(key).alias("field_name"), F.lit("duplicate").alias("violation_type"), F.col(key).cast("string").alias("value"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_k")).drop("_k")
+        melted = dupes if melted is None else melted.unionByName(dupes)
+    return melted.withColumn("contract_name", F.lit(table)) if melted is not None else None
+
+
+def contract_violation_log(tables: dict[str, DataFrame], *, as_of, build_id: str) -> DataFrame:
+    """The nine columns of the violations log: one row per (contract, field, type) with hits, its count, the five least
+    distinct offending values (nulls as 'null'), when and in which build it was found, and the source system.
+
+    Counts come from map-side partial sums of the melted hits; the five samples from a row-number filter, which Spark
+    cuts per task before the shuffle (window group limit).  ``violation_id`` is a hash of build, contract, field and type,
+    so a rerun of one build gives the same rows.
+    """
+    hits = [h for t, df in tables.items() if (h := violation_hits(df, t, CONTRACTS[t])) is not None]
+    missing = [(t, r.name) for t, df in tables.items() for r in CONTRACTS[t] if r.name not in df.columns]
+    spark = next(iter(tables.values())).sparkSession
+    keys = ["contract_name", "field_name", "violation_type"]
+    values = reduce(DataFrame.unionByName, hits).withColumn("value", F.coalesce("value", F.lit("null"))).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    if missing:
+        values = values.unionByName(spark.createDataFrame([(t, f, "missing_field", "absent", 1) for t, f in missing], "contract_name string, field_name string, violation_type string, value string, n long"))
+    counts = values.groupBy(*keys).agg(F.sum("n").alias("violation_count"))
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("value"))).where(f"_r <= {SAMPLES}")
+    samples = first.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    source = F.element_at(F.create_map(*[F.lit(x) for kv in SOURCE_SYSTEMS.items() for x in kv]), F.col("contract_name"))
+    return counts.join(samples, keys).select(
+        F.sha2(F.concat_ws("|", F.lit(build_id), *keys), 256).alias("violation_id"), *keys, "violation_count", "sample_values",
+        F.lit(dt.datetime.combine(as_of, dt.time())).cast("timestamp_ntz").alias("detected_at"), source.alias("source_system"), F.lit(build_id).alias("build_id"),
+    )
+
+
+def append_violations(log: DataFrame, path: str) -> None:
+    """Append one build's rows to the log table, partitioned by build: a rerun of the same build replaces its rows."""
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build_id").parquet(path)
+
+
+def recent_violations(spark, path: str, as_of) -> DataFrame:
+    """The log's last seven days, largest counts first."""
+    return spark.read.parquet(path).where(F.col("detected_at") >= F.lit(as_of - dt.timedelta(days=7))).orderBy(F.desc("violation_count"), "violation_id")
+
+
+@job
+def contract_violation_rows(opportunities: DataFrame, activities: DataFrame, *, as_of) -> DataFrame:
+    return contract_violation_log({"opportunities": opportunities, "activities": activities}, as_of=as_of, build_id=f"build-{as_of:%Y%m%d}")

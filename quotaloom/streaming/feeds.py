@@ -117,3 +117,47 @@ def touch_stream(marketing: DataFrame, sales: DataFrame) -> DataFrame:
     """Both teams' touches as one stream of (account_id, event_time, team), for ``touch_sessions``."""
     one = lambda df, at, team: df.select("account_id", F.col(at).alias("event_time"), F.lit(team).alias("team"))
     return one(marketing, "touch_date", "marketing").unionByName(one(sales, "activity_date", "sales"))
+
+
+ALERT_STATE = "last_fired timestamp, last_seen timestamp"
+ALERT_EVENTS = "alert_type string, customer_id long, event string, at timestamp"
+
+
+def alert_lifecycle(alerts: DataFrame, cooldown: str = "1 hour", resolve_after: str = "24 hours", late: str = "1 hour") -> DataFrame:
+    """Keyed state per (alert_type, customer_id): an alert fires at most once per ``cooldown``, and the open alert is
+    resolved once ``resolve_after`` passes without a recurrence (an event-time timeout, so it also fires in batches
+    without new rows).  Rows: (alert_type, customer_id, event 'fired' or 'resolved', at).  After a resolution the next
+    alert of the key fires again.  Rows later than the watermark are dropped by Spark, as everywhere on streams.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    gap, quiet = pd.Timedelta(cooldown), pd.Timedelta(resolve_after)
+
+    def step(key, frames, state):
+        kind, customer = key
+        if state.hasTimedOut:
+            _, last_seen = state.get
+            state.remove()
+            yield pd.DataFrame({"alert_type": [kind], "customer_id": [customer], "event": ["resolved"], "at": [pd.Timestamp(last_seen) + quiet]})
+            return
+        last_fired, last_seen = (pd.Timestamp(x) if x is not None else None for x in state.get) if state.exists else (None, None)
+        fired, resolved = [], []
+        times = sorted(t for f in frames for t in pd.to_datetime(f["triggered_at"]))
+        for t in times:
+            if last_seen is not None and t > last_seen + quiet:  # a quiet day inside the rows of one batch
+                resolved.append(last_seen + quiet)
+                last_fired = None
+            if last_fired is None or t >= last_fired + gap:
+                fired.append(t)
+                last_fired = t
+            last_seen = t if last_seen is None else max(last_seen, t)
+        if last_seen is not None:
+            state.update((last_fired.to_pydatetime(), last_seen.to_pydatetime()))
+            state.setTimeoutTimestamp(int((last_seen + quiet).timestamp() * 1000))
+        if fired or resolved:
+            events = ["fired"] * len(fired) + ["resolved"] * len(resolved)
+            yield pd.DataFrame({"alert_type": [kind] * len(events), "customer_id": [customer] * len(events), "event": events, "at": fired + resolved})
+
+    keyed = alerts.select("alert_type", F.col("customer_id").cast("long"), "triggered_at").withWatermark("triggered_at", late)
+    return keyed.groupBy("alert_type", "customer_id").applyInPandasWithState(step, ALERT_EVENTS, ALERT_STATE, "append", GroupStateTimeout.EventTimeTimeout)

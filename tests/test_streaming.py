@@ -97,3 +97,31 @@ def test_touch_stream_feeds_sessions(spark):
     both = feeds.touch_stream(at("touch_date"), at("activity_date"))
     assert both.columns == ["account_id", "event_time", "team"]
     assert feeds.touch_sessions(both).first()["touches"] == 2
+
+
+def test_alert_lifecycle_fires_once_an_hour_and_resolves_after_a_quiet_day(spark, tmp_path):
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1, 10)
+    minutes = {("a", 1): [0, 20, 61, 200, 2000, 2010, 3600 + 2000], ("a", 2): [5], ("b", 1): [30, 31, 32]}
+    rows = [(k, c, base + dt.timedelta(minutes=m)) for (k, c), ms in minutes.items() for m in ms]
+    schema = "alert_type string, customer_id long, triggered_at timestamp"
+    stream = as_stream(spark.createDataFrame(rows, schema), spark, tmp_path, 3)
+    drain(feeds.alert_lifecycle(stream), spark, tmp_path)
+    # a later alert moves the watermark on, so quiet alerts resolve without rows of their own
+    spark.createDataFrame([("z", 99, base + dt.timedelta(days=30))], schema).write.mode("append").parquet(str(tmp_path / "src"))
+    got = drain(feeds.alert_lifecycle(stream), spark, tmp_path)
+    got = sorted((r.alert_type, r.customer_id, r.event, r.at) for r in got.collect() if r.alert_type != "z")
+    want = []
+    for (k, c), ms in minutes.items():
+        fired = seen = None
+        for t in sorted(base + dt.timedelta(minutes=m) for m in ms):
+            if seen is not None and t > seen + dt.timedelta(hours=24):
+                want.append((k, c, "resolved", seen + dt.timedelta(hours=24)))
+                fired = None
+            if fired is None or t >= fired + dt.timedelta(hours=1):
+                want.append((k, c, "fired", t))
+                fired = t
+            seen = t
+        want.append((k, c, "resolved", seen + dt.timedelta(hours=24)))
+    assert got == sorted(want)

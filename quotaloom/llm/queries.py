@@ -82,6 +82,31 @@ QUERIES = {
 #: Words that white space separates, A-Z in lower case.
 WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+def _crc32_sql(x: str) -> str:
+    """crc32 of the decimal text of ``x`` in DuckDB SQL, bit by bit (DuckDB has no crc32)."""
+    step = "xor(c0, b)"
+    for _ in range(8):
+        step = f"xor(({step}) >> 1, CASE WHEN (({step}) & 1) = 1 THEN 3988292384 ELSE 0 END)"
+    body = f"list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), lambda c0, b: {step})"
+    return f"xor({body}, 4294967295)"
+
+
+TRIE_SQL = f"""
+    WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    o AS (SELECT c, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS s FROM t GROUP BY c),
+    h AS (SELECT c, s, {_crc32_sql("c")} % 4 AS h FROM o),
+    r AS (SELECT h.c, list_concat(coalesce(list_slice(b.s, 1, h.h), []), list_slice(h.s, h.h + 1, len(h.s))) AS seq FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+    p AS (SELECT c, d, len(seq) AS n, list_slice(seq, 1, d) AS pre, CASE WHEN len(seq) > d THEN list_slice(seq, 1, d + 1) END AS nxt FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+    nodes AS (SELECT pre, d, min(c) AS conv_id, count(*) AS n_convs, count(DISTINCT nxt) AS n_children,
+              sha256(array_to_string(list_sort(coalesce(list(c) FILTER (WHERE n = d), [])), ',')) AS ends_sha256,
+              CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(pre[d].t, '[^\\x20\\x09-\\x0D]+')) END AS w FROM p GROUP BY pre, d),
+    below AS (SELECT a.pre, a.d, count(*) FILTER (WHERE q.n_children = 0) AS n_leaves, sum((q.n_convs - 1) * q.w) AS saved_tokens
+              FROM nodes a JOIN nodes q ON q.d >= a.d AND list_slice(q.pre, 1, a.d) = a.pre GROUP BY a.pre, a.d)
+    SELECT n.conv_id, n.d::BIGINT AS depth, par.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+           b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below b ON b.pre = n.pre AND b.d = n.d LEFT JOIN nodes par ON par.d = n.d - 1 AND par.pre = list_slice(n.pre, 1, n.d - 1)"""
+
+
 ORACLE_SQL = {
     "op4_suffix_dedup": f"""
         WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -114,4 +139,5 @@ ORACLE_SQL = {
         reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r) AS component_id
         FROM docs d LEFT JOIN sizes USING (doc_id) JOIN reach USING (doc_id) GROUP BY ALL""",
+    "op13_prefix_trie": TRIE_SQL,
 }

@@ -78,3 +78,10 @@ def test_empty_table_and_clashing_columns(spark):
 def test_whole_table_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert got(queries.op13_prefix_trie(spark, "/root/testdata/sf0.01")) == brute(rows)
+
+
+def test_very_long_conversations(spark):
+    long = [(40, t, "user" if t % 2 else "assistant", f"turn {t} " + "word " * (t % 7)) for t in range(300)]
+    other = [(41, t, role, text if t < 299 else "another ending") for _, t, role, text in long]
+    rows = long + other + [(60, t, "user", "x") for t in range(250)]
+    assert got(prefix_trie.trie(spark.createDataFrame(rows, SCHEMA))) == brute(rows)

@@ -15,7 +15,9 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     start holds nothing.  Each interval is dealt to the months it overlaps (an open one up to the last month of
     any point), each point to its month; rows meet by an equality join on keys and month, and the exact condition
     is part of the join, so the plan has no nested loop and a point meets only intervals of its own month.  The
-    work per interval grows with its span in months, not with the data.  ``how``: "left" keeps points that meet
+    work per interval grows with its span in months, not with the data.  Both sides are shuffled and sorted unless
+    ``intervals`` itself asks to be broadcast: the dealt rows outnumber the intervals by months, which the size
+    estimate of a plan doesn't see, and would otherwise be collected by the driver.  ``how``: "left" keeps points that meet
     nothing, with nulls; "inner" drops them.  Interval columns other than the keys keep their names.
     """
     bin_of = lambda c: F.trunc(F.to_date(c), "month")
@@ -30,7 +32,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     t = F.col(at)
     holds = (t >= F.col("_iv_start")) & (F.col("_iv_end").isNull() | ((t <= F.col("_iv_end")) if end_inclusive else (t < F.col("_iv_end"))))
     cond = _and([F.col(k) == F.col("_iv_" + k) for k in keys] + [F.col("_bin") == F.col("_iv_bin"), holds])
-    joined = placed.join(dealt.withColumnRenamed("_bin", "_iv_bin"), cond, how)
+    joined = placed.hint("merge").join(dealt.withColumnRenamed("_bin", "_iv_bin"), cond, how)
     return joined.drop("_bin", "_iv_bin", *("_iv_" + k for k in keys)).withColumnRenamed("_iv_start", start).withColumnRenamed("_iv_end", end)
 
 

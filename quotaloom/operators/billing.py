@@ -106,7 +106,7 @@ def overage_charges(subscriptions: DataFrame, plan_limits: DataFrame, meter_usag
     """Billable overage of the plan limit alone; add-on quota does not count here."""
     over = F.col("used") - F.col("included")
     return (
-        meter_usage.join(subscriptions.select("tenant_id", "plan_code"), "tenant_id")
+        meter_usage.hint("merge").join(subscriptions.select("tenant_id", "plan_code"), "tenant_id")
         .join(plan_limits, ["plan_code", "meter"])
         .filter((over > 0) & F.col("overage_price").isNotNull())
         .select("tenant_id", "period", "meter", "used", "included", over.alias("overage"), F.col("overage_price").alias("unit_price"), F.round(over * F.col("overage_price"), 6).alias("total"))
@@ -492,7 +492,7 @@ def usage_periods(meter_usage: DataFrame) -> DataFrame:
 def tenant_prices_by_period(subscriptions: DataFrame, price_book: DataFrame, meter_usage: DataFrame) -> DataFrame:
     """``tenant_prices`` for every month of usage, by the book row valid on the month's first day (interval join)."""
     tenants = subscriptions.select("tenant_id", "plan_code", "billing_interval", "region", "has_tax_id").withColumn("currency", by_value("region", CURRENCY))
-    points = usage_periods(meter_usage).join(tenants, "tenant_id")
+    points = usage_periods(meter_usage).hint("merge").join(tenants, "tenant_id")
     book = price_book.select("plan_code", "region", "book_monthly", "book_annual", "valid_from", "valid_to")
     found = interval_join(points, book, ["plan_code", "region"], "period_start", "valid_from", "valid_to", end_inclusive=True)
     return _priced(found.drop("valid_from", "valid_to", "period_start"))
@@ -502,7 +502,9 @@ def tenant_prices_by_period(subscriptions: DataFrame, price_book: DataFrame, met
 def invoice_lines_by_period(subscriptions: DataFrame, subscription_add_ons: DataFrame, overage_charges: DataFrame, ramp_steps: DataFrame, meter_usage: DataFrame) -> DataFrame:
     """Invoice lines of every month of usage: the base line by the ramp step in force on the month's first day
     (start <= day < end, first by start and step; its override, else its plan's price), else the subscription's
-    plan; add-ons not deactivated before the month; the month's overages."""
+    plan; add-ons not deactivated before the month; the month's overages.
+
+    Tables with rows per tenant grow with the tenants, so they are merge-joined and never collected for a broadcast."""
     periods = usage_periods(meter_usage)
     steps = ramp_steps.select("tenant_id", "step", "start_date", "end_date", F.col("plan_code").alias("step_plan"), "price_override")
     in_force = interval_join(periods, steps, ["tenant_id"], "period_start", "start_date", "end_date").groupBy("tenant_id", "period").agg(
@@ -510,7 +512,7 @@ def invoice_lines_by_period(subscriptions: DataFrame, subscription_add_ons: Data
     )
     plan = F.coalesce(F.col("s.step_plan"), F.col("plan_code"))
     base = (
-        in_force.join(subscriptions.select("tenant_id", "plan_code", "billing_interval"), "tenant_id")
+        in_force.hint("merge").join(subscriptions.select("tenant_id", "plan_code", "billing_interval"), "tenant_id")
         .withColumn("_plan", plan)
         .select(
             "tenant_id", "period", F.lit("subscription").alias("type"), by_value("_plan", {p: v[0] for p, v in PLANS.items()}).alias("item"), F.lit(1.0).alias("quantity"),
@@ -520,7 +522,7 @@ def invoice_lines_by_period(subscriptions: DataFrame, subscription_add_ons: Data
     unit = by_value("add_on", {a: v[1] for a, v in ADD_ONS.items()})
     per_unit = by_value("add_on", {a: v[2] for a, v in ADD_ONS.items()})
     extras = (
-        subscription_add_ons.join(periods, "tenant_id")
+        subscription_add_ons.hint("merge").join(periods, "tenant_id")
         .filter(F.col("deactivated_on").isNull() | (F.col("deactivated_on") >= F.col("period_start")))
         .select(
             "tenant_id", "period", F.lit("addon").alias("type"), by_value("add_on", {a: v[0] for a, v in ADD_ONS.items()}).alias("item"), F.col("quantity").cast("double").alias("quantity"),

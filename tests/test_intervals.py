@@ -49,3 +49,17 @@ def test_each_period_is_priced_by_the_step_and_book_row_of_its_own_time(spark):
     # EU growth is in the book from 2001-01-01 on, UK enterprise until 2001-06-30 (inclusive)
     assert prices[(1, "2000-12")][0] is False and prices[(1, "2001-06")] == (True, 1399.0)
     assert prices[(2, "2001-06")] == (True, 3999.0) and prices[(2, "2001-07")][0] is False
+
+
+def test_tenants_and_dealt_intervals_are_never_broadcast(spark, tables):
+    from pyspark.sql import functions as F
+
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+    p = spark.createDataFrame([(1, "x", dt.date(2001, 5, 1))], "pid long, k string, t date")
+    iv = spark.createDataFrame([(1, "x", dt.date(2001, 1, 1), None)], "iid long, k string, s date, e date")
+    assert broadcasts(interval_join(p, iv, ["k"], "t", "s", "e")) == 0
+    assert broadcasts(interval_join(p, F.broadcast(iv), ["k"], "t", "s", "e")) == 1  # asked for by the caller
+    for name in ("invoice_lines_by_period", "tenant_prices_by_period", "overage_charges"):
+        assert broadcasts(tables[name]) <= 1, name  # the literal dimension (plan limits, price book) alone

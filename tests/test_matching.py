@@ -66,3 +66,20 @@ def test_signatures_per_name_stay_small(spark):
     for r in rows:
         k = -(-r.n // 9) - 1
         assert r.s == k + 1 and r.p <= (2 * k + 3) * (k + 1) ** 2
+
+
+def test_names_that_share_a_long_prefix_do_not_all_meet(spark):
+    import duckdb
+
+    from quotaloom.operators.matching import candidates
+
+    rng = random.Random(4)
+    for stem in ("customer#",):
+        right = [stem + f"{i * 7919 % 10**9:09d}" for i in range(200)]
+        edit = lambda s: s[: (p := rng.randrange(len(s)))] + rng.choice(["", "x", s[p] + "y"]) + s[p + 1 :]
+        left = sorted({edit(s) for s in right} | {stem + f"{i * 104729 % 10**9:09d}" for i in range(200)})
+        near = set(duckdb.sql("SELECT a, b FROM (SELECT unnest(?) AS a), (SELECT unnest(?) AS b) WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) > 0.9", params=[left, right]).fetchall())
+        names = spark.createDataFrame([(s,) for s in left], "name string")
+        others = spark.createDataFrame([(s, i) for i, s in enumerate(right)], "other string, other_id int")
+        got = {(r["name"], r["other"]) for r in candidates(names, others).collect()}
+        assert near <= got and len(got) < len(left) * len(right) / 8, (len(near), len(got))

@@ -13,9 +13,11 @@ A word that is a vocabulary entry as a whole is that one token, as the tiktoken
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 import heapq
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -172,18 +174,25 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> list[list[int]]:
 
 
 @functools.lru_cache(maxsize=2)  # a worker keeps what it learnt, words included, for its next task
-def encoder(path: str, pattern: str) -> tuple[Ranks, regex.Pattern, dict[str, list[int]]]:
-    return Ranks(path), regex.compile(pattern), {}
+def encoder(path: str, pattern: str) -> tuple[Ranks, regex.Pattern, dict[str, bytes], dict[str, bytes]]:
+    return Ranks(path), regex.compile(pattern), {}, {}
 
 
-def encode_texts(texts: Sequence[str], ranks: Ranks, cut: regex.Pattern, known: dict[str, list[int]], limit: int = 400_000) -> list[list[int]]:
-    """Ids of each text: its words found in ``known`` or replayed together with the batch's other new words."""
+def joined(pieces: Sequence[Sequence[str]], known: dict[str, bytes], unit: int = 1) -> tuple[bytes, np.ndarray]:
+    """What is known of each text's words put together, and where each text starts, in units of ``unit`` bytes."""
+    parts = [b"".join(map(known.__getitem__, own)) for own in pieces]
+    return b"".join(parts), np.cumsum([0, *map(len, parts)], dtype=np.int64) // unit
+
+
+def learn(pieces: Sequence[Sequence[str]], ranks: Ranks, known: dict[str, bytes], decoded: dict[str, bytes], limit: int = 400_000) -> None:
+    """Words of the batch that are not known are replayed together: their ids (32 bits each) and the bytes these decode to."""
     if len(known) > limit:
         known.clear()
-    pieces = [cut.findall(t) for t in texts]
-    new = [w for w in dict.fromkeys(p for own in pieces for p in own) if w not in known]
-    known.update(zip(new, replay([w.encode("utf-8") for w in new], ranks)))
-    return [[i for p in own for i in known[p]] for own in pieces]
+        decoded.clear()
+    new = [w for w in dict.fromkeys(itertools.chain.from_iterable(pieces)) if w not in known]
+    for w, ids in zip(new, replay([w.encode("utf-8") for w in new], ranks)):
+        known[w] = array.array("i", ids).tobytes()
+        decoded[w] = ranks.decode(ids)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,13 +205,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, cut, known = encoder(ranks_path, pattern)
+        ranks, cut, known, decoded = encoder(ranks_path, pattern)
         for batch in batches:
-            ids = encode_texts(strings(batch), ranks, cut, known)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([ranks.decode(x) for x in ids], pa.binary())],
-                ["id", "ids", "decoded"],
-            )
+            pieces = [cut.findall(t) for t in strings(batch)]
+            learn(pieces, ranks, known, decoded)
+            ids, at = joined(pieces, known, 4)
+            data, place = joined(pieces, decoded)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            texts = pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(place.astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, texts], ["id", "ids", "decoded"])
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     out = arrow_pass(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded binary")

@@ -1,17 +1,18 @@
 """Personal data: generators propose overlapping spans, gradient-boosted trees score them, calibrated thresholds choose.
 
-Everything on the path of the documents is DataFrame functions.  The trees are fitted by Spark's own GBTClassifier on a
-bounded sample and applied as plain conditional expressions inside the projection, so nothing is shuffled.
+Everything on the path of the documents is DataFrame functions.  The trees are fitted by Spark's own GBTClassifier on the
+spans of all texts, counted by their features, and applied as plain conditional expressions inside the projection, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, store
@@ -131,37 +132,35 @@ def _tree(node) -> object:
     return split.featureIndex(), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def train(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, per_text: int = 50, trees: int = 12, depth: int = 3, precision: float = 0.98,
-    features: Sequence[str] = FEATURES,
-) -> PiiModel:
-    """Fit on the spans (``per_text`` at most of each) of about ``sample`` texts chosen by a hash of text and id.
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", trees: int = 12, depth: int = 3, precision: float = 0.98, features: Sequence[str] = FEATURES) -> PiiModel:
+    """Fit on all spans of all texts, counted by their features.
 
     The label of a span is whether its kind's check holds; no feature holds that check, so the trees learn it from
-    format and context (``features``, a subset of ``FEATURES``, lets some be left out, for ablation).  Three quarters of the sample fit the trees; on the
-    rest, each kind's threshold is the least score from which on the share of labelled spans is ``precision``.
+    format and context (``features``, a subset of ``FEATURES``, lets some be left out, for ablation).  Three quarters of
+    the texts, by a hash of text and id, fit the trees; on the rest, each kind's threshold is the least score from which
+    on the share of labelled spans is ``precision``.  Equal spans are one row with their number as its weight, so the
+    fit grows with the different forms of spans; split candidates come from all rows.
     Without spans of both labels the model adds nothing.
     """
     few = docs.select(col(id_col).cast("string").alias("id"), col(text_col).alias("text")).where("text is not null")
-    share = min(1.0, sample / max(few.count(), 1))
-    chosen = few.where(F.pmod(F.xxhash64(F.lit("pii"), "id", "text"), F.lit(10**6)) < F.lit(share * 1e6))
-    spans = chosen.select(F.pmod(F.xxhash64("id", "text"), F.lit(4)).alias("fold"), F.explode(F.slice(F.concat(*(candidates(F.col("text"), k) for k in KINDS)), 1, per_text)).alias("c"))
-    rows = store(spans.select("fold", F.col("c.label").cast("double").alias("label"), *(F.col("c.features")[i].alias(f) for i, f in enumerate(FEATURES))).coalesce(4), "pii-sample")
-    if rows.where("fold > 0").select("label").distinct().count() < 2:
+    spans = few.select((F.pmod(F.xxhash64("id", "text"), F.lit(4)) == 0).alias("held"), F.explode(F.concat(*(candidates(F.col("text"), k) for k in KINDS))).alias("c"))
+    each = spans.select("held", F.col("c.label").cast("double").alias("label"), *(F.col("c.features")[i].alias(f) for i, f in enumerate(FEATURES)))
+    rows = store(each.groupBy("held", "label", *FEATURES).agg(F.count("*").cast("double").alias("n")), "pii-spans")
+    fit = rows.where("not held")
+    size = fit.agg(F.count("*"), F.count_distinct("label")).first()
+    if size[1] < 2:
         return PiiModel()
-    points = VectorAssembler(inputCols=list(features), outputCol="features").transform(rows.where("fold > 0"))
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1).fit(points.select("label", "features"))
+    points = VectorAssembler(inputCols=list(features), outputCol="features").transform(fit)
+    bins = max(32, math.isqrt(size[0]) + 1)  # Spark draws its split candidates from maxBins^2 rows: from all of them
+    booster = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, checkpointInterval=-1, weightCol="n", maxBins=bins)
+    fitted = booster.fit(points.select("label", "n", "features"))
     model = PiiModel([_tree(t._call_java("rootNode")) for t in fitted.trees], [float(w) for w in fitted.treeWeights], columns=tuple(FEATURES.index(f) for f in features))
-    held = rows.where("fold = 0").select(F.col("kind").cast("int"), "label", model.score(F.array(*FEATURES)).alias("p")).collect()
-    thresholds = []
-    for k in range(len(KINDS)):
-        right, least = 0.0, 2.0
-        for n, r in enumerate(sorted((r for r in held if r["kind"] == k), key=lambda r: (-r["p"], r["label"])), 1):
-            right += r["label"]
-            if right >= precision * n and r["p"] >= 0.5:
-                least = r["p"]
-        thresholds.append(least)
-    model.thresholds = tuple(thresholds)
+    # Equal scores are one row: at most as many rows as the trees have different scores.
+    scores = rows.where("held").groupBy(F.col("kind").cast("int").alias("kind"), model.score(F.array(*FEATURES)).alias("p")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    reached = scores.withColumns({"n": F.sum("n").over(down), "right": F.sum("right").over(down)}).where((F.col("p") >= 0.5) & (F.col("right") >= precision * F.col("n")))
+    least = {r["kind"]: r["p"] for r in reached.groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    model.thresholds = tuple(least.get(k, 2.0) for k in range(len(KINDS)))
     return model
 
 

@@ -257,3 +257,12 @@ def test_redacted_keeps_every_other_column(spark, personal):
     out = {r.doc_id: r for r in pii.redacted(rows, personal[2]).collect()}
     assert list(out[1].asDict()) == ["doc_id", "text", "pii", "row"]
     assert (out[1].text, out[1].pii, out[1].row) == ("mail [email] now", "keep", 5) and (out[2].text, out[2].pii) == ("", None)
+
+
+def test_the_model_is_fitted_on_the_spans_of_all_texts(spark, monkeypatch):
+    texts = [" ".join(f"host 10.{i}.{j}.{j * 9 % 400}" for j in range(70)) for i in range(30)]
+    stored = []
+    monkeypatch.setattr(pii, "store", lambda df, name: stored.append(df) or df)
+    pii.train(brute.table(spark, list(enumerate(texts))))
+    spans = brute.table(spark, list(enumerate(texts))).select(F.size(F.concat(*(pii.candidates(F.col("text"), k) for k in pii.KINDS))).alias("n"))
+    assert stored[0].agg(F.sum("n")).first()[0] == spans.agg(F.sum("n")).first()[0] >= 30 * 140  # none left out, beyond 50 of a text too

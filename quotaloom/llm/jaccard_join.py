@@ -98,18 +98,20 @@ def repeated_tokens(docs: DataFrame, k: int, least: int) -> tuple[np.ndarray, np
 
 
 def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
-    """One pass with two kinds of rows.
+    """One pass with three kinds of rows.
 
-    ``token`` null: (id, key, s, n, b, c) of every row: set signature (null without words) and size, and its prefixes
-    under the second and third order as 32-bit values.  Else (token, s, n, tokens): the prefix under the first order,
-    once per set and task, with all tokens of the set where the token is frequent.
+    ``token`` and ``hot`` null: (id, key, s, n, b, c) of every row: set signature (null without words) and size, and its
+    prefixes under the second and third order as 32-bit values.  ``token``: (token, s, n) of the infrequent tokens of the
+    prefix under the first order, once per set and task.  ``hot``: (s, n, hot, tokens) of the sets that hold frequent
+    tokens there, once per set and task: these tokens, and all tokens of the set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             s, n, b, c = [], [], [], []
-            token, owner, size, whole = [], [], [], []
+            token, owner, size = [], [], []
+            shared: dict[str, list] = {"s": [], "n": [], "hot": [], "tokens": []}
             for tokens in token_sets(strings(batch), k):
                 n.append(len(tokens))
                 s.append(own := signature(tokens) if len(tokens) else None)
@@ -121,16 +123,17 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
                 if len(seen) < 1 << 20:
                     seen.add(own)
                 at = orders.prefix(tokens, hot, rank, ORDERS[0], percent)
-                token.append(tokens[at])
-                owner.append(np.full(len(at), own, np.int64))
-                size.append(np.full(len(at), len(tokens), np.int64))
-                data = tokens.tobytes() if hot[at].any() else None
-                whole += [data if h else None for h in hot[at].tolist()]
-                if len(whole) > 200_000:
-                    yield rows(token=owned(token), s=owned(owner), n=owned(size), tokens=pa.array(whole, pa.binary()))
-                    token, owner, size, whole = [], [], [], []
-            if whole:
-                yield rows(token=owned(token), s=owned(owner), n=owned(size), tokens=pa.array(whole, pa.binary()))
+                rare = at[~hot[at]]
+                token.append(tokens[rare])
+                owner.append(np.full(len(rare), own, np.int64))
+                size.append(np.full(len(rare), len(tokens), np.int64))
+                if len(rare) < len(at):
+                    for name, value in zip(shared, (own, len(tokens), tokens[at[hot[at]]].view(np.int64), tokens.tobytes())):
+                        shared[name].append(value)
+            if token:
+                yield rows(token=owned(token), s=owned(owner), n=owned(size))
+            if shared["s"]:
+                yield rows(**{name: pa.array(values, kinds[name]) for name, values in shared.items()})
             yield rows(id=batch.column("id"), key=batch.column("key"), s=pa.array(s, pa.int64()), n=pa.array(n, pa.int64()), b=pa.array(b, kinds["b"]), c=pa.array(c, kinds["c"]))
 
     def owned(parts: list[np.ndarray]) -> pa.Array:
@@ -141,13 +144,13 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
     id_kind = docs.schema["id"].dataType
-    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int32()), "c": pa.list_(pa.int32()), "token": pa.int64(), "tokens": pa.binary()}
-    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<int>, c array<int>, token long, tokens binary")
+    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int32()), "c": pa.list_(pa.int32()), "token": pa.int64(), "hot": pa.list_(pa.int64()), "tokens": pa.binary()}
+    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<int>, c array<int>, token long, hot array<long>, tokens binary")
 
 
 def small_lists(posted: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of sets that share an infrequent token of the first order's prefixes and fit in size."""
-    own = posted.where("tokens is null").select("token", "s", "n")
+    own = posted.select("token", "s", "n")
     x, y = own.alias("x"), own.alias("y")  # one exchange serves both sides
     fits = (F.col("x.s") < F.col("y.s")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     return x.join(y, F.col("x.token") == F.col("y.token")).where(fits).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
@@ -162,6 +165,14 @@ def other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where(F.arrays_overlap("x.b", "y.b") & F.arrays_overlap("x.c", "y.c")).select("a", "b", F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
 
 
+def in_blocks(placed: DataFrame, block: int) -> DataFrame:
+    """``placed`` (s, cluster, ...) with the block of each set instead of its cluster: about ``block`` sets of few clusters."""
+    buckets = max(1, -(-placed.count() // block))
+    large = placed.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    part = F.coalesce(F.pmod(F.xxhash64("s"), "parts"), F.lit(0))
+    return placed.join(large, "cluster", "left").withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(buckets)) + part * buckets).drop("cluster", "parts")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Edges (a, b) that join the pairs whose texts are similar enough.
 
@@ -171,10 +182,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
     """
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("ka").alias("key"), F.col("b").alias("other")), F.struct(F.col("b").alias("s"), F.col("kb").alias("key"), F.col("a").alias("other")))).alias("e")).select("e.*")
     placed = store(both.groupBy("s", "key").agg(F.least("s", F.min("other")).alias("cluster")), "jaccard-ends")
-    buckets = max(1, -(-placed.count() // block))
-    large = placed.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
-    part = F.coalesce(F.pmod(F.xxhash64("s"), "parts"), F.lit(0))
-    placed = store(placed.join(large, "cluster", "left").select("s", "key", (F.pmod(F.xxhash64("cluster"), F.lit(buckets)) + part * buckets).alias("block")), "jaccard-placed")
+    placed = store(in_blocks(placed, block), "jaccard-placed")
     x, y = placed.select(F.col("s").alias("a"), F.col("block").alias("pa")), placed.select(F.col("s").alias("b"), F.col("block").alias("pb"))
     pairs = store(pairs.join(x, "a").join(y, "b").select("a", "b", F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")), "jaccard-placed-pairs")
     members = pairs.select(F.explode(F.array("a", "b")).alias("s"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi")).distinct().join(placed.select("s", "key"), "s")
@@ -195,7 +203,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, block: int
 
 
 def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Edges that join the linked sets of one pair of blocks of one frequent token's list."""
+    """Edges that join the linked sets of one pair of blocks."""
 
     def run(group: pa.Table) -> pa.Table:
         rows = {}
@@ -227,15 +235,33 @@ def in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def large_lists(posted: DataFrame, percent: int, block: int) -> DataFrame:
-    """Edges among the sets that share a frequent token: every pair of blocks of a token's list is one bounded group."""
-    hot = posted.where("tokens is not null")
-    lists = F.broadcast(hot.groupBy("token").agg(F.count("*").alias("size")))  # at most FREQUENT rows
-    placed = hot.join(lists, "token").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod("s", "blocks").cast("int"))
-    meets = placed.select("token", "s", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    dealt = meets.select("token", lo, hi, "s", (F.col("own") > F.col("other")).cast("int").alias("side"), "tokens")
-    return dealt.groupBy("token", "lo", "hi").applyInArrow(in_block(percent), "a long, b long")
+def meetings(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(s, lo, hi, side): the pairs of blocks to which the sets (s, n, hot) go, so that any two that share a frequent
+    token and fit in size meet.
+
+    A set's cluster is named after the smallest set of all its lists, and clusters go to blocks: near copies share most
+    of their lists, so a set goes once to each block it shares a token with, whatever the number of these tokens.  A list
+    that is spread over more than twice the blocks its length fills is cut into blocks of its own instead.
+    """
+    lists = store(sets.select("s", "n", F.explode("hot").alias("token")).distinct(), "jaccard-lists")
+    heads = F.broadcast(lists.groupBy("token").agg(F.min("s").alias("head")))  # at most FREQUENT rows
+    clusters = store(lists.join(heads, "token").groupBy("s").agg(F.min("head").alias("cluster")), "jaccard-list-clusters")
+    placed = store(lists.join(in_blocks(clusters, block), "s"), "jaccard-list-blocks")
+    lengths = placed.groupBy("token", "block").agg(F.count("*").alias("held")).groupBy("token").agg(F.ceil(F.sum("held") / block).alias("parts"), F.count("*").alias("blocks"))
+    spread = F.broadcast(lengths.where("blocks > 2 * parts").select("token", "parts"))
+    own = F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.xxhash64("token", F.pmod("s", "parts")))
+    placed = placed.join(spread, "token", "left").select("token", "s", "n", own.alias("own"))
+    others = placed.groupBy("token", F.col("own").alias("other")).agg(F.count("*").alias("held"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
+    met = placed.join(others, "token").where(((F.col("own") != F.col("other")) | (F.col("held") > 1)) & fits)
+    return met.select("s", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side")).distinct()
+
+
+def large_lists(shared: DataFrame, percent: int, block: int) -> DataFrame:
+    """Edges among the sets (s, n, hot, tokens) that share a frequent token: every pair of blocks is one bounded group."""
+    met = meetings(shared.select("s", "n", "hot"), percent, block)
+    once = shared.groupBy("s").agg(F.first("tokens").alias("tokens"))  # equal in every task
+    return met.join(once, "s").groupBy("lo", "hi").applyInArrow(in_block(percent), "a long, b long")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,15 +281,16 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, block: int) ->
     1. Tokens that repeat are counted over all documents; the more frequent a token, the later in every order.
     2. Equal sets are one class.  Classes that share an infrequent token in their prefixes under the first order are
        candidates; they stay so if their prefixes also meet under the second and third order; then the texts decide.
-    3. Lists of frequent tokens are cut into blocks, and each pair of blocks is compared where it lies, so a large group
-       of near copies emits a spanning forest and no pairs.
+    3. Sets that share frequent tokens are dealt to blocks, and each pair of blocks that shares one is compared as a
+       group, so a large group of near copies emits a spanning forest and no pairs.
     """
     orders = Orders(*repeated_tokens(docs, k, frequent))
     every = store(indexed(docs, orders, k, percent), "jaccard-index")
-    rows, posted = every.where("token is null").select("id", "key", "s", "n", "b", "c"), every.where("token is not null")
+    rows = every.where("token is null and hot is null").select("id", "key", "s", "n", "b", "c")
+    posted, shared = every.where("token is not null"), every.where("hot is not null")
     pairs = store(small_lists(posted, percent), "jaccard-pairs")
     pairs = store(other_orders(pairs, rows.where("s is not null")), "jaccard-filtered")
-    edges = store(verified(pairs, docs, k, percent, block).unionAll(large_lists(posted, percent, block)), "jaccard-edges")
+    edges = store(verified(pairs, docs, k, percent, block).unionAll(large_lists(shared, percent, block)), "jaccard-edges")
     roots = components(edges, name="jaccard-components")
     sets = rows.where("s is not null").select("s").distinct()
     named = sets.join(roots.withColumnRenamed("node", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("root"))

@@ -140,6 +140,31 @@ def test_join_equals_brute_force(spark, frequent, block):
     assert sum(not brute.words(r.text) for r in words) == sum(not s for s in sets)
 
 
+def test_sets_with_frequent_tokens_go_once_to_a_block(spark):
+    """Not once per frequent token, neither as stored nor as dealt."""
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(200):
+        own = list(base)
+        for _ in range(3):
+            own[R.randrange(200)] = f"x{R.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    docs = jaccard_join.keyed(brute.table(spark, rows).coalesce(1), "doc_id", "text")
+    every = jaccard_join.indexed(docs, jaccard_join.Orders(*jaccard_join.repeated_tokens(docs, 4, 16)), 4, 85).persist()
+    assert 0 < every.where("tokens is not null").count() <= every.select("s").distinct().count()
+    met = jaccard_join.meetings(every.where("hot is not null").select("s", "n", "hot"), 85, 50)
+    assert met.where("lo = hi").groupBy("s").count().agg(F.max("count")).first()[0] == 1
+    assert met.count() <= 200 * 16  # a set times the blocks, not times its tokens
+
+
+@pytest.mark.parametrize("frequent,block", [(2, 3), (3, 40)])
+def test_join_with_spread_lists_equals_brute_force(spark, frequent, block):
+    """Lists that clusters scatter over many blocks are cut on their own."""
+    rows = [(i, t + " tail of all texts") for i, t in near_copies(200)] + [(300 + i, f"tail of all texts {i % 7}") for i in range(40)]
+    sets, roots = brute.jaccard_roots(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(brute.table(spark, rows).repartition(3), frequent=frequent, block=block).collect()}
+    assert got == {i: (len(s), rows[r][0]) for (i, _), s, r in zip(rows, sets, roots)}
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(brute.table(spark, [])).count() == 0
     assert jaccard_join.one_of_each(brute.table(spark, [])).count() == 0

@@ -2,8 +2,9 @@
 
 The words (pre-tokens) of a batch of texts are taken once each.  Their bytes lie in one linked list of symbols; an
 inverted index maps each merge rank to the places where a pair of that rank starts.  Ranks are replayed from the
-lowest: each place of the rank is merged, left to right, and only its two new neighbour pairs are looked up and
-entered in the index.  A place whose pair changed since it was entered is skipped.
+lowest: all places of the rank are merged at once as arrays (of overlapping ones every other, from the left), and only
+their new neighbour pairs are looked up and entered in the index.  A place whose pair changed since it was entered is
+skipped.
 
 This equals taking, word by word, the lowest-ranked pair (leftmost of equal ones) as long as a merge never makes
 a pair of lower rank than its own.  Vocabularies allow that (``x`` + ``abc`` can rank below ``bc``); such a word
@@ -26,9 +27,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, col, strings
+from .common import arrow_pass, col, slices, strings
 
-SHIFT = 20  # pair keys: left id << SHIFT | right id
+
+class Joined:
+    """Ranks of the pairs of the vocabulary, by one of their two tokens."""
+
+    def __init__(self, by: np.ndarray, other: np.ndarray, rank: np.ndarray, n: int):
+        order = np.lexsort((other, by))
+        self.other, self.rank = other[order], rank[order]
+        self.start = np.searchsorted(by[order], np.arange(n + 1))
+
+    def __call__(self, token: int, others: np.ndarray) -> np.ndarray:
+        """Rank of ``token`` joined with each of ``others``, -1 for none."""
+        lo, hi = self.start[token], self.start[token + 1]
+        if lo == hi:
+            return np.full(len(others), -1, np.int64)
+        known = self.other[lo:hi]
+        at = np.minimum(known.searchsorted(others), hi - lo - 1)
+        return np.where(known[at] == others, self.rank[lo:hi][at], -1)
 
 
 class Ranks:
@@ -41,21 +58,15 @@ class Ranks:
         self.bytes: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
-        if max(ranks.values(), default=0) >= 1 << SHIFT:
-            raise ValueError("ranks beyond 2**20 are not supported")
-        self.pairs: dict[int, int] = {}  # known pair -> rank of its bytes, -1 for none
         self.byte_ids = np.array([ranks[bytes((b,))] for b in range(256)], np.int64)
         self.byte_pairs = np.array([[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)], np.int64)
-        for a in range(256):
-            for b in range(256):
-                self.pairs[int(self.byte_ids[a]) << SHIFT | int(self.byte_ids[b])] = int(self.byte_pairs[a, b])
+        cuts = ((a, b, rank) for token, rank in ranks.items() for at in range(1, len(token)) if (a := ranks.get(token[:at])) is not None and (b := ranks.get(token[at:])) is not None)
+        pairs = np.fromiter(itertools.chain.from_iterable(cuts), np.int64).reshape(-1, 3)
+        self.before = Joined(pairs[:, 1], pairs[:, 0], pairs[:, 2], len(self.bytes))
+        self.after = Joined(pairs[:, 0], pairs[:, 1], pairs[:, 2], len(self.bytes))
 
     def pair(self, a: int, b: int) -> int:
-        key = a << SHIFT | b
-        r = self.pairs.get(key)
-        if r is None:
-            r = self.pairs[key] = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
-        return r
+        return self.ranks.get(self.bytes[a] + self.bytes[b], -1)
 
     def decode(self, ids: Sequence[int]) -> bytes:
         """The bytes of ``ids``: their vocabulary entries put together."""
@@ -90,86 +101,77 @@ def replay(words: Sequence[bytes], ranks: Ranks) -> list[list[int]]:
     if not todo:
         return out  # type: ignore[return-value]
     raw = np.frombuffer(b"".join(words[w] for w in todo), np.uint8)
-    lengths = np.array([len(words[w]) for w in todo], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    n = len(raw)
-    ends = np.zeros(n, bool)
-    ends[starts + lengths - 1] = True
-    tok_a = ranks.byte_ids[raw]
-    first = ranks.byte_pairs[raw[:-1], raw[1:]]
-    first[ends[:-1]] = -1
-    nxt_a = np.arange(1, n + 1)
-    nxt_a[ends] = -1
-    prv_a = np.arange(-1, n - 1)
-    prv_a[starts] = -1
-    owner_a = np.repeat(np.array(todo, np.int64), lengths)
-    places = np.flatnonzero(first >= 0)
-    order = places[np.argsort(first[places], kind="stable")]
-    keys, cuts = np.unique(first[order], return_index=True)
-    index: dict[int, list[int]] = dict(zip(keys.tolist(), map(list, np.split(order, cuts[1:]))))
-    tok, nxt, prv, owner = tok_a.tolist(), nxt_a.tolist(), prv_a.tolist(), owner_a.tolist()
-    heap = list(index)
-    heapq.heapify(heap)
-    pairs, pair = ranks.pairs, ranks.pair
-
-    def finish(i: int) -> None:
-        """The word of place ``i`` on its own, from its present state; its places leave the index."""
-        while prv[i] >= 0:
-            i = prv[i]
-        parts, at = [], i
-        while at >= 0:
-            parts.append(tok[at])
-            tok[at] = -1
-            at = nxt[at]
-        out[owner[i]] = lowest_pair_loop(parts, ranks)
-
+    bounds = np.cumsum([0, *(len(words[w]) for w in todo)])
+    starts, lasts = bounds[:-1], bounds[1:] - 1
+    tok = ranks.byte_ids[raw]
+    rank = np.full(len(raw), -1, np.int64)  # of the pair that starts at a place
+    rank[:-1] = ranks.byte_pairs[raw[:-1], raw[1:]]
+    rank[lasts] = -1
+    nxt, prv = np.arange(1, len(raw) + 1), np.arange(-1, len(raw) - 1)
+    nxt[lasts] = prv[starts] = -1
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def enter(places: np.ndarray, new: np.ndarray) -> None:
+        order = new.argsort(kind="stable")
+        places, new = places[order], new[order]
+        cuts = [0, *(np.flatnonzero(new[1:] != new[:-1]) + 1).tolist(), len(new)]
+        for q, lo, hi in zip(new[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if q in index:
+                index[q].append(places[lo:hi])
+            else:
+                index[q] = [places[lo:hi]]
+                heapq.heappush(heap, q)
+
+    def finish(w: int) -> None:
+        """A word on its own, from its present state; its places leave the index."""
+        own = tok[bounds[w] : bounds[w + 1]]
+        out[todo[w]] = lowest_pair_loop(own[own >= 0].tolist(), ranks)
+        own[:] = rank[bounds[w] : bounds[w + 1]] = -1
+
+    if len(places := np.flatnonzero(rank >= 0)):
+        enter(places, rank[places])
     while heap:
         r = heapq.heappop(heap)
-        for i in sorted(index.pop(r)):
-            j = nxt[i]
-            if j < 0:
-                continue
-            a, b = tok[i], tok[j]
-            if a < 0 or pairs.get(a << SHIFT | b) != r:
-                continue  # stale: the pair here changed since it was entered
-            tok[i], tok[j] = r, -1
-            k = nxt[i] = nxt[j]
-            inverted = False
-            h = prv[i]
-            if h >= 0:
-                q = pairs.get(tok[h] << SHIFT | r)
-                if q is None:
-                    q = pair(tok[h], r)
-                if q >= 0:
-                    if q < r:
-                        inverted = True
-                    elif (known := index.get(q)) is None:
-                        index[q] = [h]
-                        heapq.heappush(heap, q)
-                    else:
-                        known.append(h)
-            if k >= 0:
-                prv[k] = i
-                q = pairs.get(r << SHIFT | tok[k])
-                if q is None:
-                    q = pair(r, tok[k])
-                if q >= 0:
-                    if q < r:
-                        inverted = True
-                    elif (known := index.get(q)) is None:
-                        index[q] = [i]
-                        heapq.heappush(heap, q)
-                    else:
-                        known.append(i)
-            if inverted:
-                finish(i)
-    for w, s in zip(todo, starts.tolist()):
+        i = np.concatenate(index.pop(r))
+        i = i[rank[i] == r]  # else stale: the pair there changed since it was entered
+        if not len(i):
+            continue
+        i.sort()
+        j = nxt[i]
+        if len(i) > 1 and (chained := j[:-1] == i[1:]).any():  # of places that overlap every other one, from the left
+            at = np.arange(len(i))
+            first = np.maximum.accumulate(np.where(np.r_[False, chained], 0, at))
+            alone = (at - first) % 2 == 0
+            i, j = i[alone], j[alone]
+        h, k = prv[i], nxt[j]
+        twice = np.r_[k[:-1] == i[1:], False]  # the next place in the list follows at once
+        has_left, has_right = (h >= 0) & ~np.r_[False, twice[:-1]], k >= 0
+        left, right = np.full(len(i), -1, np.int64), np.full(len(i), -1, np.int64)
+        left[has_left] = ranks.before(r, tok[h[has_left]])
+        right[has_right] = ranks.after(r, tok[k[has_right]])
+        lower = (left >= 0) & (left < r) | (right >= 0) & (right < r)
+        if twice.any():  # looked up with the token as it stood, then with what it is merged into
+            own = ranks.after(r, np.array([r]))[0]
+            right[twice] = own
+            lower |= twice & (0 <= own < r)
+        if lower.any():
+            for w in np.unique(bounds.searchsorted(i[lower], "right") - 1).tolist():
+                finish(w)
+            stay = tok[i] >= 0
+            i, j, h, k, left, right, has_left, has_right = (x[stay] for x in (i, j, h, k, left, right, has_left, has_right))
+        tok[i], tok[j], rank[i], rank[j] = r, -1, right, -1
+        nxt[i], prv[k[has_right]] = k, i[has_right]
+        rank[h[has_left]] = left[has_left]
+        wider, longer = left >= 0, right >= 0
+        if len(places := np.r_[h[wider], i[longer]]):
+            enter(places, np.r_[left[wider], right[longer]])
+    left_over = tok >= 0
+    kept = np.r_[0, np.cumsum(left_over)][bounds].tolist()
+    ids = tok[left_over].tolist()
+    for w, lo, hi in zip(todo, kept, kept[1:]):
         if out[w] is None:
-            ids, at = [], s
-            while at >= 0:
-                ids.append(tok[at])
-                at = nxt[at]
-            out[w] = ids
+            out[w] = ids[lo:hi]
     return out  # type: ignore[return-value]
 
 
@@ -190,9 +192,10 @@ def learn(pieces: Sequence[Sequence[str]], ranks: Ranks, known: dict[str, bytes]
         known.clear()
         decoded.clear()
     new = [w for w in dict.fromkeys(itertools.chain.from_iterable(pieces)) if w not in known]
-    for w, ids in zip(new, replay([w.encode("utf-8") for w in new], ranks)):
-        known[w] = array.array("i", ids).tobytes()
-        decoded[w] = ranks.decode(ids)
+    for lo, hi in slices(new, 1 << 20):
+        for w, ids in zip(new[lo:hi], replay([w.encode("utf-8") for w in new[lo:hi]], ranks)):
+            known[w] = array.array("i", ids).tobytes()
+            decoded[w] = ranks.decode(ids)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

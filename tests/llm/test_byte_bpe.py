@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 
 import brute
 import pytest
@@ -77,6 +78,48 @@ def test_a_merge_that_makes_a_lower_pair_finishes_its_word_exactly(tmp_path):
     assert got[0] == [257, ord("d")]
 
 
+def small_ranks(path, tokens):
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for r, t in enumerate([bytes((b,)) for b in range(256)] + tokens)))
+    return byte_bpe.Ranks(str(path))
+
+
+def test_replay_equals_the_plain_loop_on_random_vocabularies(tmp_path):
+    """Overlapping places, runs of one letter and merges that make lower pairs."""
+    r = random.Random(5)
+    for trial in range(60):
+        letters = b"abc"[: 2 + trial % 2]
+        pool, tokens = [bytes((c,)) for c in letters], []
+        for _ in range(r.randint(1, 25)):
+            if len(t := r.choice(pool) + r.choice(pool)) < 9 and t not in tokens:
+                tokens.append(t)
+                pool.append(t)
+        r.shuffle(tokens)
+        ranks = small_ranks(tmp_path / f"{trial}.tiktoken", tokens)
+        words = [bytes(r.choices(letters, k=r.randint(0, 30))) for _ in range(40)]
+        assert byte_bpe.replay(words, ranks) == [[ranks.ranks[w]] if w in ranks.ranks else byte_bpe.lowest_pair_loop(list(w), ranks) for w in words]
+
+
+def test_python_steps_follow_the_ranks_not_the_merges(tmp_path):
+    r = random.Random(6)
+    ranks = small_ranks(tmp_path / "few.tiktoken", [b"aa", b"ab", b"ba", b"bb", b"aaab", b"abab", b"abba"])
+    words = list({bytes(r.choices(b"ab", k=60)) for _ in range(1000)})
+    lines = 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    sys.settrace(count)
+    try:
+        ids = byte_bpe.replay(words, ranks)
+    finally:
+        sys.settrace(before)
+    assert b"".join(map(ranks.decode, ids)) == b"".join(words)
+    assert lines < sum(map(len, words)) - sum(map(len, ids))  # the number of merges
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = byte_bpe.encode(brute.table(spark, []), MULTI_RANKS, public_tokenizers.PATTERN)
     assert empty.count() == 0 and empty.columns == ["doc_id", "ids", "decoded"]

@@ -61,13 +61,12 @@ class Orders:
         return hot, self.rank[at[hot]]
 
     def prefix(self, tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, order: U, percent: int) -> np.ndarray:
-        """Positions in ``tokens`` of the first ones in an order."""
+        """Positions in ``tokens`` of the first ones in an order, by this order."""
         n = prefix_length(len(tokens), percent)
-        if n >= len(tokens):
-            return np.arange(len(tokens))
         place = mix(tokens ^ order) >> U(1)
         place[hot] = rank + U(1 << 63)
-        return np.argpartition(place, n)[:n]
+        first = np.argpartition(place, n)[:n] if n < len(tokens) else np.arange(len(tokens))
+        return first[np.argsort(place[first])]
 
 
 def repeated_tokens(docs: DataFrame, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,8 +100,8 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
     """One pass with three kinds of rows.
 
     ``token`` and ``hot`` null: (id, key, s, n, b, c) of every row: set signature (null without words) and size, and its
-    prefixes under the second and third order as 32-bit values.  ``token``: (token, s, n) of the infrequent tokens of the
-    prefix under the first order, once per set and task.  ``hot``: (s, n, hot, tokens) of the sets that hold frequent
+    prefixes under the second and third order as 32-bit values.  ``token``: (token, place, s, n) of the infrequent tokens of
+    the prefix under the first order with their place in it, once per set and task.  ``hot``: (s, n, hot, tokens) of the sets that hold frequent
     tokens there, once per set and task: these tokens, and all tokens of the set.
     """
 
@@ -110,7 +109,7 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             s, n, b, c = [], [], [], []
-            token, owner, size = [], [], []
+            token, place, owner, size = [], [], [], []
             shared: dict[str, list] = {"s": [], "n": [], "hot": [], "tokens": []}
             for tokens in token_sets(strings(batch), k):
                 n.append(len(tokens))
@@ -125,13 +124,14 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
                 at = orders.prefix(tokens, hot, rank, ORDERS[0], percent)
                 rare = at[~hot[at]]
                 token.append(tokens[rare])
+                place.append(np.arange(len(rare)))  # the frequent ones come after them
                 owner.append(np.full(len(rare), own, np.int64))
                 size.append(np.full(len(rare), len(tokens), np.int64))
                 if len(rare) < len(at):
                     for name, value in zip(shared, (own, len(tokens), tokens[at[hot[at]]].view(np.int64), tokens.tobytes())):
                         shared[name].append(value)
             if token:
-                yield rows(token=owned(token), s=owned(owner), n=owned(size))
+                yield rows(token=owned(token), place=owned(place), s=owned(owner), n=owned(size))
             if shared["s"]:
                 yield rows(**{name: pa.array(values, kinds[name]) for name, values in shared.items()})
             yield rows(id=batch.column("id"), key=batch.column("key"), s=pa.array(s, pa.int64()), n=pa.array(n, pa.int64()), b=pa.array(b, kinds["b"]), c=pa.array(c, kinds["c"]))
@@ -144,25 +144,37 @@ def indexed(docs: DataFrame, orders: Orders, k: int, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(size, kind)) for c, kind in kinds.items()], names=list(kinds))
 
     id_kind = docs.schema["id"].dataType
-    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int32()), "c": pa.list_(pa.int32()), "token": pa.int64(), "hot": pa.list_(pa.int64()), "tokens": pa.binary()}
-    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<int>, c array<int>, token long, hot array<long>, tokens binary")
+    kinds = {"id": to_arrow_type(id_kind), "key": pa.int64(), "s": pa.int64(), "n": pa.int64(), "b": pa.list_(pa.int32()), "c": pa.list_(pa.int32()), "token": pa.int64(), "place": pa.int64(), "hot": pa.list_(pa.int64()), "tokens": pa.binary()}
+    return arrow_pass(docs.select("id", "key", "text"), run, f"id {id_kind.simpleString()}, key long, s long, n long, b array<int>, c array<int>, token long, place long, hot array<long>, tokens binary")
 
 
 def small_lists(posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of sets that share an infrequent token of the first order's prefixes and fit in size."""
-    own = posted.select("token", "s", "n")
+    """(a, b, na, nb): pairs of sets, with their sizes, that share an infrequent token of the first order's prefixes and
+    can share enough tokens from there on: the first shared token of a linked pair has all others after it in both."""
+    own = posted.select("token", "place", "s", "n")
     x, y = own.alias("x"), own.alias("y")  # one exchange serves both sides
-    fits = (F.col("x.s") < F.col("y.s")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    return x.join(y, F.col("x.token") == F.col("y.token")).where(fits).select(F.col("x.s").alias("a"), F.col("y.s").alias("b")).distinct()
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    fits = (F.col("x.s") < F.col("y.s")) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n")))
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(fits)
+    return pairs.select(F.col("x.s").alias("a"), F.col("y.s").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
 
 
-def other_orders(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose prefixes meet under the second and the third order too, with the keys of their documents."""
+def other_orders(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose prefixes meet under the second and the third order too, with the keys of their documents.
+
+    Of each prefix only that part counts, and is sent, which leaves enough tokens after it for this pair.
+    """
+
+    def head(prefix: str, size: str) -> Column:
+        needed = f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}"
+        return F.slice(prefix, 1, F.expr(f"cast({size} - {needed} + 1 as int)"))
+
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
     classes = store(rows.join(wanted, "s").groupBy("s").agg(F.min_by(F.struct("key", "b", "c"), "key").alias("x")), "jaccard-candidates")
-    x, y = classes.select(F.col("s").alias("a"), F.col("x")), classes.select(F.col("s").alias("b"), F.col("x").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    return both.where(F.arrays_overlap("x.b", "y.b") & F.arrays_overlap("x.c", "y.c")).select("a", "b", F.col("x.key").alias("ka"), F.col("y.key").alias("kb"))
+    x, y = (classes.select(F.col("s").alias(end), F.col("x.key").alias(f"k{end}"), F.col("x.b").alias("second"), F.col("x.c").alias("third")) for end in "ab")
+    left = pairs.join(x, "a").select("a", "b", "na", "nb", "ka", head("second", "na").alias("xb"), head("third", "na").alias("xc"))
+    both = left.join(y, "b")
+    return both.where(F.arrays_overlap("xb", head("second", "nb")) & F.arrays_overlap("xc", head("third", "nb"))).select("a", "b", "ka", "kb")
 
 
 def in_blocks(placed: DataFrame, block: int) -> DataFrame:
@@ -279,8 +291,9 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, block: int) ->
     """(id, key, s, n) of every row of ``docs`` (id, key, text), and (s, root) of every set: equal roots are one group.
 
     1. Tokens that repeat are counted over all documents; the more frequent a token, the later in every order.
-    2. Equal sets are one class.  Classes that share an infrequent token in their prefixes under the first order are
-       candidates; they stay so if their prefixes also meet under the second and third order; then the texts decide.
+    2. Equal sets are one class.  Classes that share an infrequent token in their prefixes under the first order, with
+       enough tokens after it, are candidates; they stay so if their prefixes also meet like that under the second and
+       third order; then the texts decide.
     3. Sets that share frequent tokens are dealt to blocks, and each pair of blocks that shares one is compared as a
        group, so a large group of near copies emits a spanning forest and no pairs.
     """
@@ -289,7 +302,7 @@ def grouped(docs: DataFrame, k: int, percent: int, frequent: int, block: int) ->
     rows = every.where("token is null and hot is null").select("id", "key", "s", "n", "b", "c")
     posted, shared = every.where("token is not null"), every.where("hot is not null")
     pairs = store(small_lists(posted, percent), "jaccard-pairs")
-    pairs = store(other_orders(pairs, rows.where("s is not null")), "jaccard-filtered")
+    pairs = store(other_orders(pairs, rows.where("s is not null"), percent), "jaccard-filtered")
     edges = store(verified(pairs, docs, k, percent, block).unionAll(large_lists(shared, percent, block)), "jaccard-edges")
     roots = components(edges, name="jaccard-components")
     sets = rows.where("s is not null").select("s").distinct()

@@ -165,6 +165,37 @@ def test_join_with_spread_lists_equals_brute_force(spark, frequent, block):
     assert got == {i: (len(s), rows[r][0]) for (i, _), s, r in zip(rows, sets, roots)}
 
 
+def test_shared_tokens_with_too_few_after_them_make_no_candidates(spark):
+    """Two sets of 100 have to share 92: the first shared token stands among the first nine of both orders."""
+    kind = "token long, place long, s long, n long"
+    posted = [(1, 8, 10, 100), (1, 8, 11, 100), (2, 9, 10, 100), (2, 3, 12, 100), (3, 0, 11, 100), (3, 14, 13, 117), (4, 0, 12, 100), (4, 18, 13, 117)]
+    pairs = jaccard_join.small_lists(spark.createDataFrame(posted, kind), 85)
+    assert sorted(map(tuple, pairs.collect())) == [(10, 11, 100, 100), (11, 13, 100, 117)]
+    order = [list(range(x, x + 16)) for x in (0, 1000, 2000)]
+    order[1][8], order[2][9] = order[0][8], order[0][8]  # met in time by the second, too late by the third
+    rows = spark.createDataFrame([(i, i, 100, b, b) for i, b in zip((10, 11, 12), order)], "key long, s long, n long, b array<int>, c array<int>")
+    pairs = spark.createDataFrame([(10, 11, 100, 100), (10, 12, 100, 100)], "a long, b long, na long, nb long")
+    assert [tuple(r) for r in jaccard_join.other_orders(pairs, rows, 85).collect()] == [(10, 11, 10, 11)]
+
+
+def test_pairs_around_the_threshold_equal_brute_force(spark):
+    """Sets of many sizes that differ in the middle, at the end and in length, just above and below the threshold."""
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        n = r.randint(5, 120)
+        own = [f"g{g}x{i}" for i in range(n)]
+        for _ in range(4):
+            cut, at = r.randint(0, n // 12), r.randint(0, n - 1)
+            text = [*own[:at], *(f"r{r.random()}" for _ in range(r.randint(0, 3))), *own[at + cut * r.randint(0, 1) :]]
+            rows.append((len(rows), " ".join(text[: len(text) - cut * r.randint(0, 1)])))
+    sets, roots = brute.jaccard_roots(rows)
+    least = {root: min(i for i, x in enumerate(roots) if x == root) for root in set(roots)}
+    got = {x.doc_id: x.component_id for x in jaccard_join.join(brute.table(spark, rows).repartition(3)).collect()}
+    assert got == {i: least[root] if sets[i] else i for i, root in enumerate(roots)}
+    assert 60 < len(set(got.values())) < 220
+
+
 def test_join_of_nothing(spark):
     assert jaccard_join.join(brute.table(spark, [])).count() == 0
     assert jaccard_join.one_of_each(brute.table(spark, [])).count() == 0
